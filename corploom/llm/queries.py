@@ -8,7 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, table
-from . import mixing, packing, tokens
+from . import lines, mixing, packing, tokens
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every occurrence of a line repeated excessively in its source."""
+    return lines.repeated_lines(table(spark, sf, "text_rows"))
+
+
+def p1_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Frequent sequences of lines: how many by source and length, and the greatest support."""
+    found = lines.prefix_span(lines.documents(table(spark, sf, "text_rows").where("text is not null and source is not null")))
+    return found.groupBy("source", F.size("pattern").alias("length")).agg(F.count(F.lit(1)).alias("sequences"), F.max("docs").alias("most_docs"))
+
+
+def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record without its repeated lines."""
+    return lines.clean(table(spark, sf, "text_rows")).select("row_id", "text", "boilerplate_content")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,6 +71,17 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("stage", "doc_id", "piece", "start", "length", "container")
 
 
+P1_FOUND = """
+WITH l AS (
+  SELECT row_id, source, content_sha256, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS line_no
+  FROM text_rows),
+k AS (SELECT row_id, source, content_sha256, line_no, lower(regexp_replace(line, '[^\\p{L}]+', '', 'g')) AS k FROM l),
+f AS (SELECT source, k FROM k WHERE k <> '' GROUP BY source, k HAVING count(DISTINCT content_sha256) >= 6)
+SELECT row_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (source, k)
+"""
+
+
 def queries() -> dict:
     """All queries by name."""
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
@@ -62,4 +89,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {}
+    return {"p1_found": P1_FOUND}
