@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, table
-from . import lines, mixing, packing, tokens
+from . import language, lines, mixing, packing, tokens
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,6 +27,17 @@ def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
     return lines.clean(table(spark, sf, "text_rows")).select("row_id", "text", "boilerplate_content")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose label is missing or wrong, and lines in another language."""
+    return language.wrong_labels(table(spark, sf, "text_rows"))
+
+
+def p2_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document and every line in another language with its language and confidence."""
+    rows = table(spark, sf, "text_rows")
+    return language.identify(rows, language.train(rows))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sources that cannot reach their share."""
     return mixing.short_sources(table(spark, sf, "text_rows"), table(spark, sf, "corpus_weights"), table(spark, sf, "planned_stages"))
