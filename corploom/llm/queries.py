@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, table
-from . import language, lines, mixing, packing, tokens
+from . import language, lines, mainbody, mixing, packing, tokens
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +38,16 @@ def p2_languages(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(rows, language.train(rows))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every furniture line of web pages."""
+    return mainbody.furniture_lines(table(spark, sf, "text_rows"))
+
+
+def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record with its body only."""
+    return mainbody.clean(table(spark, sf, "text_rows")).select("row_id", "text", "main_content")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sources that cannot reach their share."""
     return mixing.short_sources(table(spark, sf, "text_rows"), table(spark, sf, "corpus_weights"), table(spark, sf, "planned_stages"))
