@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, table
-from . import language, lines, mainbody, mixing, packing, tokens
+from . import language, lines, mainbody, mixing, packing, subjects, tokens
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,6 +103,21 @@ SELECT row_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (source,
 """
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The subject areas of every document."""
+    return p10_subjects(spark, sf).select("doc_id", "subject")
+
+
+def p10_subjects(spark: SparkSession, sf: str) -> DataFrame:
+    """The subject areas of every document with posterior and share of sentences."""
+    return subjects.assign(table(spark, sf, "documents"), table(spark, sf, "subject_labels"), table(spark, sf, "subjects"))
+
+
+def p10_makeup(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and characters by corpus and subject."""
+    return subjects.makeup(table(spark, sf, "documents"), p10_subjects(spark, sf))
+
+
 def queries() -> dict:
     """All queries by name."""
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
