@@ -224,15 +224,14 @@ def votes(documents: DataFrame, names: list[str], table: np.ndarray) -> DataFram
         heads = np.bincount(document[hit] * k + area[hit], None, n * k).reshape(n, k)
         total = about.sum(axis=1, keepdims=True)
         level = np.where(total == 0, 0, 1 + np.searchsorted(LEVELS, about / np.maximum(total, 1), "right") - 1)
-        section = np.where(heads.sum(axis=1, keepdims=True) == 0, 0, np.where(heads > 0, 2, 1))
+        section = np.where(heads > 0, 1, 0)
         address = np.zeros((n, k), int)
         for i, t in enumerate(texts):
             if "://" in t or "@" in t or "www." in t:
                 found = " ".join(_ADDRESS.findall(t)).lower()
                 named = [j for j, s in enumerate(names) if s in found]
                 if named:
-                    address[i] = 1
-                    address[i, named] = 2
+                    address[i, named] = 1
         columns = [np.repeat(np.array(ids, np.int64), k), np.tile(np.arange(k), n), level.ravel(), section.ravel(), address.ravel(), np.repeat(total.ravel(), k), about.ravel()]
         types = [pa.int64()] + [pa.int32()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "area", "level", "section", "address", "sentences", "about"])
@@ -241,19 +240,20 @@ def votes(documents: DataFrame, names: list[str], table: np.ndarray) -> DataFram
 
 
 def source_votes(documents: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
-    """source, area, said (1: seldom, 2: mostly) of sources with at least five labelled documents."""
+    """source, area, said (1) of the areas that at least half of the labelled documents have, for sources with at least five labelled documents."""
     of = labels.join(documents.select("doc_id", "source"), "doc_id")
     n = of.groupBy("source").agg(F.countDistinct("doc_id").alias("n")).where("n >= 5")
     each = of.groupBy("source", "subject").agg(F.count(F.lit(1)).alias("m"))
     number = F.create_map(*[F.lit(x) for i, s in enumerate(names) for x in (s, i)])
-    return each.join(n, "source").where(F.col("m") >= 0.5 * F.col("n")).select("source", number[F.col("subject")].alias("area"), F.lit(2).alias("said"))
+    return each.join(n, "source").where(F.col("m") >= 0.5 * F.col("n")).select("source", number[F.col("subject")].alias("area"), F.lit(1).alias("said"))
 
 
 def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[int, ...], float]:
     """The posterior of each pattern of votes (level, section, address, source) that the area is the document's.
 
     Given the truth the functions vote independently; how they vote for true and false areas is learnt from the
-    patterns' counts alone. The start takes the lexicon's higher levels for true.
+    patterns' counts alone. 0 is no vote: a heading, an address or a source speaks for an area, its silence not
+    against one. The start takes the lexicon's higher levels for true.
     """
     if not patterns:
         return {}
@@ -268,7 +268,7 @@ def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> dict
         for f in range(v.shape[1]):
             yes = np.bincount(v[:, f], q * n, sizes[f]) + 0.5
             no = np.bincount(v[:, f], (1 - q) * n, sizes[f]) + 0.5
-            odds += (np.log(yes / yes.sum()) - np.log(no / no.sum()))[v[:, f]]
+            odds += np.where(v[:, f] > 0, (np.log(yes / yes.sum()) - np.log(no / no.sum()))[v[:, f]], 0)
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return dict(zip(keys, q.tolist()))
 
@@ -289,9 +289,9 @@ def assign(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample:
     cast = checkpoint(votes(documents, names, table))
     # only sources that mostly have one area say something
     sources = documents.select("doc_id", "source").join(said, "source").select("doc_id", "area", "said")
-    voted = cast.join(sources, ["doc_id", "area"], "left").withColumn("said", F.coalesce("said", F.lit(1)))
+    voted = cast.join(sources, ["doc_id", "area"], "left").withColumn("said", F.coalesce("said", F.lit(0)))
     keys = ["level", "section", "address", "said"]
-    patterns = voted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 5 x 3 x 3 x 2
+    patterns = voted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 6 x 2 x 2 x 2
     posterior = learn([(tuple(r[c] for c in keys), r["n"]) for r in patterns])
     rows = [(*map(int, p), float(q)) for p, q in sorted(posterior.items())]
     found = voted.join(F.broadcast(spark.createDataFrame(rows, "level int, section int, address int, said int, posterior double")), keys)
