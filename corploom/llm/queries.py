@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, table
-from . import language, lines, mainbody, mixing, packing, subjects, tokens
+from . import language, lines, mainbody, mixing, packing, personal, subjects, tokens
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,6 +48,16 @@ def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
     return mainbody.clean(table(spark, sf, "text_rows")).select("row_id", "text", "main_content")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every personal item."""
+    return personal.found(table(spark, sf, "text_rows"))
+
+
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record with placeholders for its personal items."""
+    return personal.redact(table(spark, sf, "text_rows"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sources that cannot reach their share."""
     return mixing.short_sources(table(spark, sf, "text_rows"), table(spark, sf, "corpus_weights"), table(spark, sf, "planned_stages"))

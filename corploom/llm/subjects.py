@@ -94,11 +94,9 @@ class Terms:
 
 def sentence_scores(terms: np.ndarray, of: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
     """The sum of the scores of each sentence's terms: (sentences, areas)."""
-    known = table[terms].astype(np.float32)
-    hit = np.flatnonzero(known.any(axis=1))
-    out = np.zeros((n, table.shape[1]), np.float32)
-    np.add.at(out, of[hit], known[hit])
-    return out
+    hit = np.flatnonzero(table.any(axis=1)[terms])
+    known, of = table[terms[hit]].astype(np.float32), of[hit]
+    return np.stack([np.bincount(of, known[:, k], n) for k in range(table.shape[1])], axis=1).astype(np.float32)
 
 
 def areas_of(scores: np.ndarray) -> np.ndarray:
@@ -134,33 +132,42 @@ def fit(texts: list[str], labels: list[list[int]], areas: int, described: list[s
     kept = [(t, x) for t, x in zip(texts, labels) if t and x]
     if not kept:
         return np.zeros((1 << BITS, areas), np.float16)
-    terms, of, document, _ = Terms().of([t for t, _ in kept])
-    prior = np.zeros((len(kept), areas))
+    tool, parts, sentences = Terms(), [], 0
+    for a, b in blocks([t for t, _ in kept]):
+        x, y, z, _ = tool.of([t for t, _ in kept[a:b]])
+        parts.append((x.astype(np.int32), (y + sentences).astype(np.int32), (z + a).astype(np.int32)))
+        sentences += len(z)
+    terms, of, document = (np.concatenate(c) for c in zip(*parts))
+    del parts
+    prior = np.zeros((len(kept), areas), np.float32)
     for d, (_, x) in enumerate(kept):
         for k in x:
             prior[d, k] += 1
     prior /= prior.sum(axis=1, keepdims=True)
     weight = prior[document]
-    # a term counts once in a document, by the mean of its sentences there
-    key = document[of].astype(np.int64) << BITS | terms
-    uniq, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-    term = uniq & ((1 << BITS) - 1)
-    table = None
+    # a term counts once in a document, by the mean of its sentences there; terms of one document are left out at once
+    uniq, inverse, times = np.unique(document[of].astype(np.int64) << BITS | terms, return_inverse=True, return_counts=True)
+    inverse = inverse.astype(np.int32)
+    docs = np.bincount(uniq & ((1 << BITS) - 1), None, 1 << BITS)
+    common = docs[terms] >= LEAST_DOCS
+    terms, of, inverse = terms[common], of[common], inverse[common]
+    used, term = np.unique(uniq & ((1 << BITS) - 1), return_inverse=True)
+    table = np.zeros((1 << BITS, areas), np.float16)
     for _ in range(ROUNDS):
-        share = np.stack([np.bincount(inverse, weight[of, k], len(uniq)) for k in range(areas)], axis=1) / times[:, None]
-        count = np.stack([np.bincount(term, share[:, k], 1 << BITS) for k in range(areas)], axis=1)
-        docs = np.bincount(term, None, 1 << BITS)
+        count = np.zeros((len(used), areas), np.float32)
+        for k in range(areas):
+            count[:, k] = np.bincount(term, np.bincount(inverse, weight[of, k], len(uniq)) / times, len(used))
         base = (count.sum(axis=0) + 1) / (count.sum() + areas)
         # areas of different size weigh the same
         even = count / (base * areas)
         purity = (even + SHRINK / areas) / (even.sum(axis=1, keepdims=True) + SHRINK)
-        pure = (purity.max(axis=1) >= PURE) & (docs >= LEAST_DOCS)
-        table = np.where(pure[:, None], np.log(purity * areas), 0)
-        table[table < -3] = -3
-        scores = sentence_scores(terms, of, len(document), table)
-        found = areas_of(scores)
-        weight = np.where((found >= 0)[:, None], np.eye(areas)[found], prior[document])
-    return table.astype(np.float16)
+        pure = (purity.max(axis=1) >= PURE) & (docs[used] >= LEAST_DOCS)
+        table[:] = 0
+        table[used[pure]] = np.maximum(np.log(purity[pure] * areas), -3)
+        found = areas_of(sentence_scores(terms, of, len(document), table))
+        weight = prior[document]
+        weight[found >= 0] = np.eye(areas, dtype=np.float32)[found[found >= 0]]
+    return table
 
 
 def label_table(labels: DataFrame, subjects: DataFrame) -> DataFrame:
