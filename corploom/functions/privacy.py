@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from . import text as T
 
@@ -155,7 +156,7 @@ def eightgram_share(words: list[str]) -> float:
     return repeated / len(words) if len(words) >= 8 else 0.0
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_repetitive(words: pd.Series) -> pd.Series:
     """The repetition flag over arrays of words: fifty words or more, and a frequent 3-gram or repeated 8-grams."""
 
@@ -171,7 +172,7 @@ def is_repetitive(words: pd.Series) -> pd.Series:
     return words.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def truncate_utf8(text: pd.Series, limit: pd.Series) -> pd.Series:
     """The longest prefix of whole characters within a number of bytes."""
     return pd.Series([None if t is None else t.encode()[: int(n)].decode("utf-8", "ignore") for t, n in zip(text, limit)])

@@ -313,10 +313,16 @@ def unify_layout(df: DataFrame, origin: str) -> DataFrame:
     Legacy empty strings and zero scores and counts are absences. Older layouts have null flags and counters, and
     main_content true. A digest in hexadecimal of either case becomes bytes.
     """
-    have = {plain: c for c in df.columns if (plain := c.lower())}
+    none = F.lit(None).cast("int")
+    return df.select(F.lit(origin).alias("origin"), none.alias("file_no"), none.alias("line_no"), *layout_columns(df).values())
+
+
+def layout_columns(df: DataFrame) -> dict:
+    """The columns of the current layout by name, as expressions over df of any layout."""
+    have = {c.lower(): c for c in df.columns}
     legacy = {"content_sha256": "sha256", "language": "lang", "language_score": "lang_score", "token_count": "tokens"}
     is_legacy = "sha256" in have and "content_sha256" not in have
-    out = []
+    out = {}
     for n, kind in zip(NAMES, ["binary"] + ["string"] * 6 + ["int", "string", "bigint", "string"] + ["boolean"] * 4 + ["bigint"] * 5):
         name = have.get(n) or have.get(legacy.get(n, ""))
         if name is None:
@@ -330,9 +336,8 @@ def unify_layout(df: DataFrame, origin: str) -> DataFrame:
             col = F.col(name).cast(kind)
         if n == "main_content":
             col = F.coalesce(col, F.lit(True))
-        out.append(col.alias(n))
-    none = F.lit(None).cast("int")
-    return df.select(F.lit(origin).alias("origin"), none.alias("file_no"), none.alias("line_no"), *out)
+        out[n] = col.alias(n)
+    return out
 
 
 def layout_changes(layouts: list[tuple[str, DataFrame]]) -> list[tuple[str, str, str, str]]:
