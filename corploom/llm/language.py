@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, blocks, char_classes
+from .sampling import place
 
 LANGUAGES = ("en", "fr", "de", "es", "pt", "nl")
 
@@ -104,6 +105,12 @@ class Grams:
 
     def scores(self, lines: list[str], models: Models) -> tuple[np.ndarray, np.ndarray]:
         """Tempered log-likelihoods (lines, languages), and the number of letters of each line."""
+        parts = [self._scores(lines[a:b], models) for a, b in blocks(lines)]
+        if not parts:
+            return np.zeros((0, models.three.shape[1])), np.zeros(0, np.int64)
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _scores(self, lines: list[str], models: Models) -> tuple[np.ndarray, np.ndarray]:
         whole = "\n".join(lines)
         begin = np.zeros(len(lines) + 1, np.int64)
         np.cumsum(np.fromiter((len(t) + 1 for t in lines), np.int64, len(lines)), out=begin[1:])
@@ -120,13 +127,15 @@ class Grams:
 
     def count(self, lines: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weighted gram counts: two arrays (2**BITS, languages). weights: (lines, languages)."""
-        whole = "\n".join(lines)
-        begin = np.cumsum([0, *(len(t) + 1 for t in lines)])
-        out = []
-        for at, h in self.of(whole):
-            line = np.searchsorted(begin, at, "right") - 1
-            out.append(np.stack([np.bincount(h, weights[line, k], 1 << BITS) for k in range(weights.shape[1])], axis=1))
-        return tuple(out)
+        k = weights.shape[1]
+        out = (np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k)))
+        for a, b in blocks(lines):
+            begin = np.cumsum([0, *(len(t) + 1 for t in lines[a:b])])
+            for total, (at, h) in zip(out, self.of("\n".join(lines[a:b]))):
+                line = np.searchsorted(begin, at, "right") - 1
+                for j in range(k):
+                    total[:, j] += np.bincount(h, weights[a:b][line, j], 1 << BITS)
+        return out
 
 
 def log_table(counts: np.ndarray) -> np.ndarray:
@@ -238,14 +247,14 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Models:
     """Models from about ``sample`` labelled rows of each language (text, language, row_id), the first by a hash of row_id."""
     spelled = F.create_map(*[F.lit(x) for pair in (NAMES | {k: k for k in LANGUAGES}).items() for x in pair])
     base = F.trim(F.split(F.translate(F.lower(F.trim("language")), "_", "-"), "-")[0])
-    labelled = rows.where("text is not null and language is not null").select("text", spelled[base].alias("label"), F.xxhash64("row_id").alias("_h")).where("label is not null")
+    labelled = rows.where("text is not null and language is not null").select("text", spelled[base].alias("label"), place("row_id").alias("_at")).where("label is not null")
     # at most one row for each language
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return fit([], [])
     edge = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, float(sample) / n)])
-    # the hash as a fraction of its range
-    got = labelled.where((F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))) < edge[F.col("label")]).orderBy("_h").limit(2 * sample * len(LANGUAGES)).select("text", "label").toPandas()
+    got = labelled.where(F.col("_at") < edge[F.col("label")]).limit(2 * sample * len(LANGUAGES)).select("text", "label").toPandas()
+    got = got.sort_values(["label", "text"])
     return fit(got["text"].tolist(), got["label"].tolist())
 
 
