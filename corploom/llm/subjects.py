@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import LETTER, NUMBER, SPACE, blocks, char_classes
+from .bpe import LETTER, SPACE, blocks, char_classes
+from .sampling import sample as sample_rows
 
-#: Labelled documents at most from which the lexicon is fitted, the first by a hash of doc_id.
+#: Labelled documents, about, from which the lexicon is fitted, chosen by a hash of doc_id over all labelled documents.
 SAMPLE = 6000
 
 #: Share of the sentences about any area from which an area is a case.
@@ -187,12 +188,12 @@ def label_table(labels: DataFrame, subjects: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """The subjects in order and the lexicon, from at most ``sample`` labelled documents."""
+    """The subjects in order and the lexicon, from about ``sample`` labelled documents."""
     known = sorted((r["subject"], r["title"] or "", r["description"] or "") for r in subjects.collect())
     names = [s for s, *_ in known]
     each = label_table(labels, subjects).groupBy("doc_id").agg(F.collect_list("subject").alias("subjects"))
-    picked = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").toPandas()
+    picked = sample_rows(each, sample, "doc_id")
+    got = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").toPandas().sort_values("doc_id")
     lists = [[names.index(s) for s in x] for x in got["subjects"]]
     return names, fit(got["text"].tolist(), lists, len(names), [f"{t}. {d}" for _, t, d in known])
 
