@@ -22,6 +22,8 @@ COUNTS = ("emails", "ips", "phones", "headers", "credentials")
 
 _KEY = re.compile(T.PRIVATE_KEY)
 _CREDENTIAL = re.compile(T.CREDENTIAL.replace("(?:AKIA", r"(?<![0-9A-Za-z_])(?:AKIA").replace("{20,})", "{20,})(?![0-9A-Za-z_])"))
+#: What a text with a valid address has: four numbers with dots, two colons in a row, or seven groups with colons.
+_MAYBE_IP = re.compile(r"::|\d\.\d{1,3}\.\d{1,3}\.\d|(?:[0-9A-Fa-f]{1,4}:){7}")
 _EMAIL, _IP, _PHONE = re.compile(T.EMAIL), re.compile(T.IP), re.compile(T.PHONE)
 
 
@@ -83,7 +85,8 @@ def redact_text(text: str) -> tuple[str, list[int]]:
         text = _KEY.sub(put("credential", 4), text)
         text = _CREDENTIAL.sub(put("credential", 4), text)
         text = _EMAIL.sub(put("email", 0), text)
-        text = _IP.sub(put("ip", 1, _is_ip), text)
+        if _MAYBE_IP.search(text):
+            text = _IP.sub(put("ip", 1, _is_ip), text)
         text = _PHONE.sub(put("phone", 2, _is_phone), text)
         if not any(found):
             return text, total
@@ -119,6 +122,21 @@ def redact_json(document: str) -> tuple[str, list[int]]:
     return dumped, total
 
 
+def redact_conversation(document: str) -> tuple[str, list[int]]:
+    """A conversation ({"messages": [...], "tools": ...}) with every content and context redacted by itself, so that no header block runs across messages."""
+    value = json.loads(document)
+    total = [0] * 5
+    for m in value["messages"]:
+        for key in ("content", "context"):
+            if m.get(key):
+                m[key], n = redact_text(m[key])
+                total = [a + b for a, b in zip(total, n)]
+    if value.get("tools"):
+        value["tools"], n = redact_json(value["tools"]) if isinstance(value["tools"], str) else (lambda r: (json.loads(r[0]), r[1]))(redact_json(json.dumps(value["tools"])))
+        total = [a + b for a, b in zip(total, n)]
+    return (json.dumps(value, ensure_ascii=False, separators=(",", ":")) if any(total) else document), total
+
+
 _SCHEMA = "text string, " + ", ".join(f"{c} bigint" for c in COUNTS)
 
 
@@ -136,6 +154,11 @@ def redacted(text: Column) -> Column:
     return _function(redact_text)(text)
 
 
+def redacted_conversation(document: Column) -> Column:
+    """The same for conversations kept as JSON."""
+    return _function(redact_conversation)(document)
+
+
 def redacted_json(document: Column) -> Column:
     """The same for JSON documents (meta, tools)."""
     return _function(redact_json)(document)

@@ -170,3 +170,25 @@ def with_tools(messages: Column, tools: Column) -> Column:
     new = F.struct(F.lit("system").alias("role"), note.alias("content"), F.lit(None).cast("string").alias("context"))
     rest = F.slice(messages, F.lit(2), F.greatest(F.size(messages) - 1, F.lit(0)))
     return F.when(F.coalesce(tools, F.lit("")) == "", messages).when(first["role"] == "system", F.concat(F.array(merged), rest)).otherwise(F.concat(F.array(new), messages))
+
+
+def segments(messages: Column, template: str, supervised: tuple[str, ...] = ("assistant",)) -> Column:
+    """A rendered conversation in pieces: array of struct(text, supervised). The end marker of a message goes with its content."""
+    body = lambda m: F.when(F.coalesce(m["context"], F.lit("")) != "", F.concat(m["content"], F.lit("\n\n"), m["context"])).otherwise(m["content"])
+    piece = lambda t, s: F.struct(t.alias("text"), s.alias("supervised"))
+    no = F.lit(False)
+    if template == "user-assistant-v1":
+        marker = lambda m, i: F.concat(F.when(i > 0, F.lit("\n\n")).otherwise(F.lit("")), F.initcap(m["role"]), F.when(m["role"] == "assistant", ":").otherwise(": "))
+        one = lambda m, i: F.array(piece(marker(m, i), no), piece(body(m), m["role"].isin(*supervised)))
+    elif template == "chatml-v1":
+        one = lambda m, i: F.array(piece(F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n")), no), piece(F.concat(body(m), F.lit("<|im_end|>\n")), m["role"].isin(*supervised)))
+    else:
+        raise ValueError(f"unknown template {template!r}")
+    return F.flatten(F.transform(messages, one))
+
+
+def byte_mask(messages: Column, template: str, causal: bool = False, supervised: tuple[str, ...] = ("assistant",)) -> Column:
+    """Whether each byte token of a rendered conversation is a target, and the end token: it follows the last message's role; all are, if causal."""
+    parts = segments(messages, template, supervised)
+    flags = F.flatten(F.transform(parts, lambda p: F.array_repeat(p["supervised"] | F.lit(causal), F.octet_length(p["text"]))))
+    return F.concat(flags, F.array(F.element_at(messages, -1)["role"].isin(*supervised) | F.lit(causal)))

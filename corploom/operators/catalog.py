@@ -76,3 +76,35 @@ def canonical_category(c):
     known = ("public-dataset", "commercially-licensed", "private-third-party", "web-crawl", "user-data", "synthetic", "other")
     v = F.regexp_replace(F.lower(F.trim(c)), "[ _]+", "-")
     return F.when(v == "public", "public-dataset").when(v.isin(*known), v)
+
+
+def license_usage(rows: DataFrame) -> DataFrame:
+    """shard_id, usage: docs and tokens of every licence in a shard, as a map."""
+    each = rows.groupBy("shard_id", "license").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.coalesce("token_count", F.lit(0))).cast("bigint").alias("tokens")).where("license is not null")
+    entry = F.struct("license", F.struct("docs", "tokens"))
+    return each.groupBy("shard_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("usage"))
+
+
+def by_language(corpora: DataFrame, languages: list[str]) -> DataFrame:
+    """Corpora (with an array ``languages``) that declare any of the languages, whatever their case; undeclared ones never match."""
+    wanted = F.array(*[F.lit(x.lower()) for x in languages])
+    return corpora.where(F.coalesce(F.arrays_overlap(F.transform("languages", F.lower), wanted), F.lit(False)))
+
+
+def not_completed(selected: DataFrame, completed: DataFrame) -> DataFrame:
+    """Selections whose path (without .yaml, .yml, .json) no completed run has."""
+    plain = lambda c: F.regexp_replace(c, r"\.(ya?ml|json)$", "")
+    return selected.withColumn("_p", plain(F.col("path"))).join(completed.select(plain(F.col("path")).alias("_p")).distinct(), "_p", "left_anti").drop("_p")
+
+
+def advice(telemetry: DataFrame) -> DataFrame:
+    """run_id, first, latest (held-out loss), change, advice (stop, inspect, continue) of every training run.
+
+    The held-out loss grown by more than a quarter, or a loss that is not finite, means stop; by more than a
+    twentieth, inspect. Runs without held-out losses go on.
+    """
+    at = F.struct("step", "elapsed_seconds")
+    seen = F.col("heldout_loss").isNotNull()
+    g = telemetry.groupBy("run_id").agg(F.min_by("heldout_loss", F.when(seen, at)).alias("first"), F.max_by("heldout_loss", F.when(seen, at)).alias("latest"), F.max(F.coalesce(F.isnan("loss"), F.lit(False)) | F.coalesce(F.abs("loss") == float("inf"), F.lit(False))).alias("broken"))
+    change = F.col("latest") / F.col("first") - 1
+    return g.select("run_id", "first", "latest", change.alias("change"), F.when(F.col("broken") | (change > 0.25), "stop").when(change > 0.05, "inspect").otherwise("continue").alias("advice"))

@@ -172,12 +172,13 @@ def map_records(records: DataFrame, profile: Profile, record: str = "record") ->
     return records.select(*kept, apply(F.col(record)).alias("_m")).select(*[c for c in kept if c not in names], "_m.*")
 
 
-def canonical(mapped: DataFrame, fallback: str = "origin") -> DataFrame:
-    """Mapped records as rows of the current layout (first eleven columns and main_content): licences normalised, source from its fallbacks, digest computed."""
+def canonical(mapped: DataFrame, fallback: str = "origin", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Mapped records (and the columns ``extra``) as rows of the current layout (first eleven columns and main_content): licences normalised, source from its fallbacks, digest computed."""
     from ..functions import text as T
 
     blank = lambda c: F.when(F.trim(c) != "", F.col(c))
     return mapped.where("outcome = 'ok'").select(
+        *extra,
         F.unhex(F.sha2("text", 256)).alias("content_sha256"), "text", F.coalesce(blank("source"), blank("source_id"), F.col(fallback)).alias("source"), F.lit(None).cast("string").alias("source_name"),
         T.license_set(F.col("licenses")).alias("license"), F.when(F.size("licenses") > 1, F.to_json("licenses")).when(F.size("licenses") == 1, F.col("licenses")[0]).alias("license_raw"),
         "language", F.lit(None).cast("int").alias("language_score"), "date", F.lit(None).cast("bigint").alias("token_count"), "meta", "main_content",

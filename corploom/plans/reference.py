@@ -178,9 +178,10 @@ SELECT row_id, CAST(max(k) AS BIGINT) AS top, n >= 50 AND max(k) * 3 / n > 0.18
 def repetition_trigram(spark, sf):
     """The most frequent triple of words, and the flag it gives: counted inside each row, without a shuffle."""
     w = _rows(spark, sf).select("row_id", T.words(F.col("text")).alias("w")).where("size(w) >= 3")
-    g = w.select("row_id", F.size("w").alias("n"), F.array_sort(T.trigrams(F.col("w"))).alias("g"))
+    hashed = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.col("w")[i], F.col("w")[i + 1], F.col("w")[i + 2]))
+    g = w.select("row_id", F.size("w").alias("n"), F.array_sort(hashed).alias("g"))
     # in sorted triples, the longest run of equals
-    run = F.aggregate("g", F.struct(F.lit("").alias("last"), F.lit(0).alias("k"), F.lit(0).alias("top")), lambda s, x: F.struct(x.alias("last"), F.when(x == s["last"], s["k"] + 1).otherwise(1).alias("k"), F.greatest(s["top"], F.when(x == s["last"], s["k"] + 1).otherwise(1)).alias("top")))["top"]
+    run = F.aggregate("g", F.struct(F.lit(0).cast("bigint").alias("last"), F.lit(0).alias("k"), F.lit(0).alias("top")), lambda s, x: F.struct(x.alias("last"), F.when(x == s["last"], s["k"] + 1).otherwise(1).alias("k"), F.greatest(s["top"], F.when(x == s["last"], s["k"] + 1).otherwise(1)).alias("top")))["top"]
     g = g.select("row_id", "n", run.cast("bigint").alias("top"))
     return g.select("row_id", "top", ((F.col("n") >= T.LEAST_WORDS) & (F.col("top") * 3 / F.col("n") > T.TOP_TRIGRAM)).alias("repetitive"))
 
