@@ -51,10 +51,13 @@ def tree_totals(edges: DataFrame, leaves: DataFrame, value: str, rounds: int = 6
     The tree is climbed one level at a time on sums by node, never on single leaves, so every round shrinks.
     A tree deeper than ``rounds`` (or a circle) is an error.
     """
+    from ..session import checkpoint
+
     level = leaves.groupBy("node").agg(F.sum(value).cast("bigint").alias(value))
     out = level
     for _ in range(rounds):
         level = level.join(edges, level["node"] == edges["child"]).groupBy("parent").agg(F.sum(value).cast("bigint").alias(value)).withColumnRenamed("parent", "node")
+        level = checkpoint(level)
         if level.isEmpty():
             return out.groupBy("node").agg(F.sum(value).cast("bigint").alias(value))
         out = out.unionByName(level)
