@@ -227,12 +227,13 @@ def infer(grams: Grams, models: Models, lines: list[str], of: np.ndarray, n: int
     return language, letters, (odds, post[np.arange(len(s)), language]), (main2, score, evidence, total)
 
 
-_ADDRESS = re.compile(r"\S*[@/]\S*")
+_ADDRESS = re.compile(r"\S*[  ]?(?:@|[(\[{]at[)\]}]|(?<=[  ])AT(?=[  ]))[  ]?\S*(?:[  ](?:[(\[{]dot[)\]}]|DOT)[  ]\S+)*|\S*/\S*")
+_SIGNS = ("@", "/", "(at)", "[at]", "{at}", " AT ")
 
 
 def plain(line: str) -> str:
-    """A line without addresses and handles; a long line in capitals only in lower case."""
-    if "@" in line or "/" in line:
+    """A line without addresses (disguised ones as well) and handles; a long line in capitals only in lower case."""
+    if any(x in line for x in _SIGNS):
         line = _ADDRESS.sub(" ", line)
     return line.lower() if len(line) > 60 and line.isupper() else line
 

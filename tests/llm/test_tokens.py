@@ -165,6 +165,14 @@ def test_pack_splits_only_what_does_not_fit(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long"), 100).count() == 0
 
 
+def test_samples_are_bounded_and_repeatable(spark):
+    from corploom.llm.sampling import sample
+
+    df = spark.range(20_000).withColumnRenamed("id", "row_id")
+    a, b = ({r["row_id"] for r in sample(df, 500, "row_id").collect()} for _ in range(2))
+    assert a == b and 350 < len(a) < 650 and sample(df, 30_000, "row_id").count() == 20_000
+
+
 def test_vocabulary_is_a_parameter(tmp_path):
     (tmp_path / "v").write_bytes(b"YQ== 0\nYg== 1\nYWI= 2\n")
     assert bpe.parse_ranks(bpe.read_ranks(str(tmp_path / "v"))) == {b"a": 0, b"b": 1, b"ab": 2}
