@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 #: Distinct documents of a source from which a line or sequence is repeated excessively.
 SUPPORT = 6
 
-#: Steps of pattern growth.
-LENGTH = 4
-
 
 def letters(line):
     """The letters of a line in lower case, everything else dropped."""
@@ -54,12 +51,14 @@ def frequent_lines(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     return items.groupBy("source", "id").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support)
 
 
-def prefix_span(docs: DataFrame, support: int = SUPPORT, length: int = LENGTH) -> DataFrame:
-    """Frequent sequences: source, pattern (array of identifiers), docs; up to ``length`` lines that follow one another.
+def prefix_span(docs: DataFrame, support: int = SUPPORT, length: int | None = None) -> DataFrame:
+    """Frequent sequences: source, pattern (array of identifiers), docs; lines that follow one another, of every length
+    (of up to ``length`` lines if that is given).
 
     Before growth every sequence is reduced to frequent lines; a pattern's lines then stand next to each other (a gap
-    would make the number of patterns explode: every subset of a menu would be one). Each level counts the extensions
-    of the frequent prefixes and keeps those with enough distinct documents.
+    would make the number of patterns explode: every subset of a menu would be one). Each level counts the sequences
+    whose two parts without the last and without the first line are frequent, and keeps those with enough distinct
+    documents, until none is left. Its places are found again by a 64-bit hash of source and pattern.
     """
     from ..session import checkpoint
 
@@ -69,16 +68,21 @@ def prefix_span(docs: DataFrame, support: int = SUPPORT, length: int = LENGTH) -
     out = level.select("source", F.array("id").alias("pattern"), "docs")
     each = docs.select("source", "doc", F.posexplode("k").alias("pos", "id")).join(level.select("source", "id"), ["source", "id"])
     reduced = each.groupBy("source", "doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("k"))
-    # projections: where each frequent prefix ends in each document
-    ends = reduced.select("source", "doc", "k", F.posexplode("k").alias("end", "last")).select("source", "doc", "k", "end", F.array("last").alias("pattern"))
-    for _ in range(1, length):
-        grown = ends.where("end + 1 < size(k)").select("source", "doc", "k", (F.col("end") + 1).alias("end"), F.concat("pattern", F.array(F.expr("k[end + 1]"))).alias("pattern"))
-        counts = grown.select("source", "doc", "pattern").distinct().groupBy("source", "pattern").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support)
-        counts = checkpoint(counts)
+    # live: where the frequent sequences of the last level start in each document
+    live = reduced.where("size(k) > 1").withColumn("live", F.sequence(F.lit(0), F.size("k") - 1))
+    n = 1
+    while length is None or n < length:
+        n += 1
+        live = checkpoint(live.withColumn("live", F.filter("live", lambda s, i: F.get("live", i + 1) == s + 1)).where("size(live) > 0"))
+        at = lambda s: F.slice("k", s + 1, n)  # noqa: B023, E731
+        grown = live.select("source", F.explode(F.array_distinct(F.transform("live", at))).alias("pattern"))
+        counts = checkpoint(grown.groupBy("source", "pattern").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support))
         if counts.isEmpty():
             break
         out = out.unionByName(counts)
-        ends = grown.join(counts.select("source", "pattern"), ["source", "pattern"])
+        places = live.select("doc", "source", "k", F.explode("live").alias("s")).select("doc", "s", F.xxhash64("source", at(F.col("s"))).alias("h"))
+        kept = places.join(counts.select(F.xxhash64("source", "pattern").alias("h")), "h", "left_semi")
+        live = live.drop("live").join(kept.groupBy("doc").agg(F.sort_array(F.collect_list("s")).alias("live")), "doc")
     return out
 
 

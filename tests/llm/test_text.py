@@ -64,6 +64,16 @@ def test_sequences_against_brute_force(spark):
     assert got == want
 
 
+def test_sequences_of_any_length(spark):
+    block = [f"menu {'abcdefghijk'[i] * 3}" for i in range(11)]
+    items = [("s", None, "\n".join([f"own {'q' * i}", *block, f"end {'z' * i}"]), None) for i in range(1, 8)]
+    got = defaultdict(int)
+    for r in lines.prefix_span(lines.documents(rows(spark, items)), 6).collect():
+        assert r["docs"] == 7
+        got[len(r["pattern"])] += 1
+    assert got == {n: 12 - n for n in range(1, 12)}
+
+
 SENTENCES = {
     "en": "The old mill near the river was moved before anyone had asked what it would cost the town. There are many reasons to look at the bridge again.",
     "fr": "Le vieux moulin près de la rivière a été déplacé avant que quelqu'un ne demande ce que cela coûterait. Il y a beaucoup de raisons de revoir le pont.",
