@@ -70,12 +70,12 @@ def nodes(pages: DataFrame) -> DataFrame:
     """
     named = pages.join(_names(pages), "source", "left").select("row_id", F.xxhash64("source").alias("site"), F.lower("text").alias("t"), F.coalesce("name", F.lit("")).alias("name"))
 
-    # the parts of each line are made once, then its nodes from them
-    split = F.transform(F.split("t", "\n", -1), lambda x: F.struct(x.alias("line"), F.when(F.length(x) < 1000, F.filter(F.split(F.trim(x), PARTS), lambda p: p.rlike(r"\p{L}"))).alias("p")))
+    # the parts of each line are made once, then its nodes from them; a line without letters has none
+    split = F.transform(F.split("t", "\n", -1), lambda x: F.struct(x.alias("line"), F.filter(F.split(F.trim(x), PARTS), lambda p: p.rlike(r"\p{L}")).alias("p")))
 
     def of(x, i):
         # a line without separators has one part, which is the line
-        texts = F.when(F.coalesce(F.size(x["p"]), F.lit(0)) <= 0, F.array().cast("array<string>")).when(F.size(x["p"]) == 1, F.array(x["line"])).otherwise(F.concat(F.array(x["line"]), x["p"]))
+        texts = F.when(F.size(x["p"]) == 0, F.array().cast("array<string>")).when(F.size(x["p"]) == 1, F.array(x["line"])).otherwise(F.concat(F.array(x["line"]), x["p"]))
         return F.transform(texts, lambda t, k: F.struct(i.alias("line_no"), (k - 1).alias("part"), F.size(x["p"]).alias("parts"), F.replace(letters(t), F.col("name")).alias("l")))
 
     flat = F.flatten(F.transform(split, of))

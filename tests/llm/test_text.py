@@ -121,6 +121,21 @@ def test_page_bodies(spark):
     assert mainbody.furniture_lines(df.limit(0)).count() == 0
 
 
+def test_long_lines_of_pages(spark):
+    random.seed(6)
+    word = lambda: "".join(random.choices("abcdefghij", k=7))
+    notice, links = " ".join(word() for _ in range(200)) + ".", [f"{word()} {word()}" for _ in range(100)]
+    items = []
+    for i in range(40):
+        menu = random.sample(links, 100)  # in another order on every page: only the parts recur
+        own = " ".join(word() for _ in range(200)) + "."
+        items.append(("web/h", None, "\n".join([" | ".join(menu), f"Title {word()}", own, notice]), None))
+    assert len(notice) >= 1000 and all(len(t.split("\n")[0]) >= 1000 for _, _, t, _ in items)
+    df = rows(spark, items)
+    assert {(r["row_id"], r["line_no"]) for r in mainbody.furniture_lines(df).collect()} == {(i, no) for i in range(40) for no in (0, 3)}
+    assert all(len(r["text"].split("\n")) == 2 for r in mainbody.clean(df).collect())
+
+
 def test_boosted_trees():
     rng = np.random.default_rng(5)
     x = rng.random((3000, 6))
