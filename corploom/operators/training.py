@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import lcm
+from math import ceil, lcm
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -50,6 +50,40 @@ def holdout(records: DataFrame, seed: int, fraction: float = 0.01, most: int = 2
     return got
 
 
+def stratified_holdout(records: DataFrame, seed: int, fraction: float = 0.01, most: int = 256, budget: int = 1 << 20) -> DataFrame:
+    """The held-out records, corpora in turns: corpus, id, size; ids are unique, size is in bytes.
+
+    n = min(ceil(fraction x N), most, N - 1), at least 1 for two records or more. Round by round, the corpora (in the
+    order of their names) each give the record with the next lowest score; one that exceeds what is left of the byte
+    budget is passed over. Only the ``most`` lowest scores of a corpus are candidates; if the first ``most`` x 8 do
+    not fill the set, all are tried.
+    """
+    total = records.count()
+    if not (fraction > 0 and most > 0 and budget > 0 and total >= 2):
+        return records.select("corpus", "id", "size").limit(0)
+    n = max(1, min(ceil(total * fraction), most, total - 1))
+    w = Window.partitionBy("corpus").orderBy("score", "id")
+    ranked = records.select("corpus", "id", "size", score(seed, F.col("id")).alias("score")).withColumn("round", F.row_number().over(w)).where(F.col("round") <= most)
+
+    def fill(batches):
+        left, count = budget, 0
+        for pdf in batches:
+            keep = []
+            for size in pdf["size"]:
+                ok = count < n and size <= left
+                keep.append(ok)
+                if ok:
+                    left, count = left - size, count + 1
+            yield pdf.loc[keep, ["corpus", "id", "size"]]
+
+    for candidates in (most * 8, None):
+        some = ranked.orderBy("round", "corpus").limit(candidates) if candidates else ranked
+        got = some.repartition(1).sortWithinPartitions("round", "corpus").mapInPandas(fill, "corpus string, id string, size long")
+        if candidates is None or total <= candidates or got.count() >= n:
+            return got
+    return got
+
+
 def weighted_order(records: DataFrame, weights: dict[str, int]) -> DataFrame:
     """records (corpus, seq, tokens) with ``place``: corpora take turns so that each has its weight's share of tokens.
 

@@ -435,6 +435,14 @@ def holdout_stratified(spark, sf):
     return r.withColumn("score", training.score(42, F.col("id"))).withColumn("n", F.row_number().over(w)).where("n <= 2").select("source", "id")
 
 
+@query(f"""WITH r AS (SELECT source, CAST(row_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY source ORDER BY {_SCORE}, CAST(row_id AS VARCHAR)) AS n, count(*) OVER () AS c FROM text_rows)
+SELECT corpus, id FROM (SELECT source AS corpus, id, c, row_number() OVER (ORDER BY n, source) AS place FROM r WHERE n <= 256) WHERE place <= greatest(1, least(CAST(ceil(c * CAST(0.01 AS DOUBLE)) AS BIGINT), 256, c - 1))""")
+def holdout_stratified_rounds(spark, sf):
+    """The stratified held-out set: the lowest scores of the sources in turns, at most 256 records."""
+    records = _rows(spark, sf).select(F.col("source").alias("corpus"), F.col("row_id").cast("string").alias("id"), F.octet_length("text").cast("bigint").alias("size"))
+    return training.stratified_holdout(records, 42, 0.01, 256, 1 << 30).select("corpus", "id")
+
+
 @query(f"SELECT row_id FROM text_rows WHERE row_id NOT IN (SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY {_SCORE}, CAST(row_id AS VARCHAR)) AS n, count(*) OVER () AS c FROM text_rows) WHERE n <= least(CAST(ceil(0.01 * c) AS BIGINT), 256))")
 def holdout_anti(spark, sf):
     """The training records: all that are not held out."""

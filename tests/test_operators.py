@@ -58,6 +58,28 @@ def test_prefix_sums_over_many_ranges(spark):
         run += r["v"]
 
 
+def test_stratified_holdout(spark):
+    import hashlib
+
+    records = [("ab"[i % 2], str(i), 10 + 30 * (i % 3)) for i in range(8)] + [("c", "8", 500)]
+    df = spark.createDataFrame(records, "corpus string, id string, size long")
+    got = training.stratified_holdout(df.where("corpus <> 'c'"), 7, 0.5, 4, 1000).collect()
+    assert sorted(r["corpus"] for r in got) == ["a", "a", "b", "b"]
+    # more corpora than places, and records beyond the bytes left
+    for fraction, most, budget in ((0.2, 2, 1000), (0.9, 20, 150), (1.0, 20, 1000), (0.01, 20, 1000)):
+        scored = sorted((c, hashlib.sha256((7).to_bytes(8, "big") + i.encode()).hexdigest(), i, n) for c, i, n in records)
+        seen, order = {}, []
+        for c, _, i, n in scored:
+            seen[c] = seen.get(c, 0) + 1
+            order.append((seen[c], c, i, n))
+        want, left = set(), budget
+        for _, c, i, n in sorted(order):
+            if len(want) < min(-(-len(records) * int(fraction * 100) // 100), most, len(records) - 1) and n <= left:
+                want, left = want | {i}, left - n
+        assert {r["id"] for r in training.stratified_holdout(df, 7, fraction, most, budget).collect()} == want
+    assert training.stratified_holdout(df, 7, 0, 20, 120).count() == 0 and training.stratified_holdout(df.limit(1), 7).count() == 0
+
+
 def test_holdout_skips_what_does_not_fit(spark):
     df = spark.createDataFrame([(f"s:{i}", 100 if i % 2 else 10) for i in range(40)], "id string, size long")
     got = training.holdout(df, 7, 0.5, 20, 120).collect()
