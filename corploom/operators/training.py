@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from math import ceil, lcm
 
 import pandas as pd
@@ -98,6 +99,26 @@ def weighted_order(records: DataFrame, weights: dict[str, int]) -> DataFrame:
     return before.withColumn("key", key)
 
 
+def stage_order(records: DataFrame, weights: DataFrame) -> DataFrame:
+    """weighted_order of every stage of weights (stage, corpus, weight; some rows in all): stage, corpus, seq, before, weight, key.
+
+    The weights of one corpus in a stage add up; corpora with no weight in a stage are not in its order. The key is
+    exact in 38 digits; one that does not fit is an error.
+    """
+    total: dict[str, dict[str, int]] = {}
+    for r in weights.where("weight > 0").groupBy("stage", "corpus").agg(F.sum("weight").cast("bigint").alias("weight")).collect():
+        total.setdefault(r["stage"], {})[r["corpus"]] = r["weight"]
+    scales = [(stage, corpus, w, Decimal(lcm(*each.values()) // w)) for stage, each in total.items() for corpus, w in each.items()]
+    scale = records.sparkSession.createDataFrame(scales, "stage string, corpus string, weight long, scale decimal(38,0)")
+    both = prefix_sums(records, ["corpus"], "seq", "tokens").join(F.broadcast(scale), "corpus")
+    return both.select("stage", "corpus", "seq", "before", "weight", (F.col("before").cast("decimal(20,0)") * F.col("scale")).alias("key"))
+
+
+def balanced_order(records: DataFrame) -> DataFrame:
+    """weighted_order of all corpora with the same weight: the key is what the corpus gave before."""
+    return prefix_sums(records, ["corpus"], "seq", "tokens").withColumn("key", F.col("before"))
+
+
 def prefix_sums(df: DataFrame, keys: list[str], order: str, value: str, width: int = 100_000) -> DataFrame:
     """df with ``before``: the sum of ``value`` over the earlier rows (by the unique integer ``order``) of the same keys.
 

@@ -467,6 +467,28 @@ def weighted_interleave(spark, sf):
     return o.select("corpus", "seq", "before", F.col("key").cast("bigint").alias("key"))
 
 
+_BEFORE = "SELECT source AS corpus, row_id AS seq, CAST(coalesce(sum(coalesce(token_count, 0)) OVER (PARTITION BY source ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM text_rows"
+
+
+@query(f"""WITH w AS (SELECT stage, regexp_replace(lower(trim(corpus)), '\\.(ya?ml|json)$', '') AS corpus, CAST(sum(weight) AS BIGINT) AS weight FROM corpus_weights WHERE weight > 0 GROUP BY 1, 2),
+l AS (SELECT stage, list_reduce(list(CAST(weight AS HUGEINT)), lambda x, y: lcm(x, y)) AS whole FROM w GROUP BY stage)
+SELECT stage, corpus, seq, before, weight, CAST(before * (whole // weight) AS VARCHAR) AS key FROM ({_BEFORE}) JOIN w USING (corpus) JOIN l USING (stage)""")
+def stage_interleave(spark, sf):
+    """The sources of every stage in turns by its weights: the key of the order (exact, as digits)."""
+    w = table(spark, sf, "corpus_weights").select("stage", F.regexp_replace(F.lower(F.trim("corpus")), r"\.(ya?ml|json)$", "").alias("corpus"), "weight")
+    return training.stage_order(_tokens_of(spark, sf), w).withColumn("key", F.col("key").cast("string"))
+
+
+@query(f"SELECT corpus, seq, before, before AS key FROM ({_BEFORE})")
+def balanced_interleave(spark, sf):
+    """All sources in turns, each with the same weight: the key of the order."""
+    return training.balanced_order(_tokens_of(spark, sf)).select("corpus", "seq", "before", "key")
+
+
+def _tokens_of(spark, sf):
+    return _rows(spark, sf).select(F.col("source").alias("corpus"), F.col("row_id").alias("seq"), F.coalesce("token_count", F.lit(0)).alias("tokens"))
+
+
 @query("SELECT CAST(sum(strlen(text) + 1) - 1 AS BIGINT) AS targets FROM text_rows")
 def byte_targets(spark, sf):
     """Byte targets of one epoch."""

@@ -80,6 +80,25 @@ def test_stratified_holdout(spark):
     assert training.stratified_holdout(df, 7, 0, 20, 120).count() == 0 and training.stratified_holdout(df.limit(1), 7).count() == 0
 
 
+def test_stage_order_takes_turns_by_weight(spark):
+    records = [("abc"[i % 3], i, 1 + i * 7 % 5) for i in range(60)]
+    df = spark.createDataFrame(records, "corpus string, seq long, tokens long")
+    weights = {"s": {"a": 3, "b": 2}, "t": {"a": 999_999_999_989, "b": 999_999_999_961, "c": 7, "none": 5}}
+    w = spark.createDataFrame([(s, c, n) for s, each in weights.items() for c, n in each.items()] + [("t", "b", 0)], "stage string, corpus string, weight long")
+    got = training.stage_order(df, w).collect()
+    for stage, each in weights.items():
+        heads = {c: [r for r in records if r[0] == c] for c in each}
+        spent, want = dict.fromkeys(each, 0), []
+        while any(heads.values()):
+            c = next(c for c in sorted(each) if heads[c] and all(spent[c] * each[o] <= spent[o] * each[c] for o in each if heads[o]))
+            r = heads[c].pop(0)
+            want.append(r[1])
+            spent[c] += r[2]
+        mine = sorted((r for r in got if r["stage"] == stage), key=lambda r: (r["key"], r["corpus"], r["seq"]))
+        assert [r["seq"] for r in mine] == want
+    assert {r["seq"] for r in training.balanced_order(df).collect()} == set(range(60))
+
+
 def test_holdout_skips_what_does_not_fit(spark):
     df = spark.createDataFrame([(f"s:{i}", 100 if i % 2 else 10) for i in range(40)], "id string, size long")
     got = training.holdout(df, 7, 0.5, 20, 120).collect()
