@@ -296,6 +296,14 @@ def canonical_jsonl(spark, sf):
     return _rows(spark, sf).where(~F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")).select("row_id", F.sha2(T.canonical_json(c), 256).alias("line"))
 
 
+@query()
+def canonical_jsonl_whole(spark, sf):
+    """Canonical JSON lines of all rows (as digests) with all their columns, whatever characters they have."""
+    names = {"lang": "language", "lang_score": "language_score", "tokens": "token_count"}
+    c = {k: F.col(names.get(k, k)) for k in ("text", "source", "source_name", "license", "license_raw", "lang", "lang_score", "date", "tokens", "meta")}
+    return _rows(spark, sf).select("row_id", F.sha2(T.canonical_json({"sha256": T.text_hash(F.col("text"))} | c), 256).alias("line"))
+
+
 # Conversations, from documents in pairs: the source asks, the text answers
 
 _ASK = "SELECT doc_id, source AS q, text AS a FROM documents WHERE trim(text) <> ''"

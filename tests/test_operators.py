@@ -99,6 +99,25 @@ def test_stage_order_takes_turns_by_weight(spark):
     assert {r["seq"] for r in training.balanced_order(df).collect()} == set(range(60))
 
 
+def test_canonical_lines_have_all_columns(spark, small, tmp_path):
+    import hashlib
+    import json
+
+    from corploom.plans import reference
+
+    kept = spark.read.parquet(f"{small}/text_rows.parquet")
+    rare = kept.limit(1).withColumn("row_id", F.lit(-1).cast("long")).withColumn("text", F.lit("a\x01\x0b\x0c\x08\x1f b"))
+    kept.unionByName(rare).write.parquet(str(tmp_path / "text_rows.parquet"))
+    want = {}
+    for r in kept.unionByName(rare).collect():
+        one = {"sha256": hashlib.sha256(r["text"].encode()).hexdigest(), "kind": "pretrain", "text": r["text"], "source": r["source"]}
+        optional = {"source_name": "source_name", "license": "license", "license_raw": "license_raw", "lang": "language", "lang_score": "language_score", "date": "date", "tokens": "token_count"}
+        one |= {k: r[v] for k, v in optional.items() if r[v]}
+        line = json.dumps(one, ensure_ascii=False, separators=(",", ":"))
+        want[r["row_id"]] = hashlib.sha256((line[:-1] + (f',"meta":{r["meta"]}' if r["meta"] else "") + "}").encode()).hexdigest()
+    assert {r["row_id"]: r["line"] for r in reference.canonical_jsonl_whole(spark, str(tmp_path)).collect()} == want
+
+
 def test_holdout_skips_what_does_not_fit(spark):
     df = spark.createDataFrame([(f"s:{i}", 100 if i % 2 else 10) for i in range(40)], "id string, size long")
     got = training.holdout(df, 7, 0.5, 20, 120).collect()
