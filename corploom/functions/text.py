@@ -119,6 +119,12 @@ def license_set(raw: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(terms)), " AND ")
 
 
+def normalize_raw_license(raw: Column) -> Column:
+    """A raw licence, or a JSON list of them as one conjunction; null stays null."""
+    terms = F.when(F.trim(raw).startswith("["), F.from_json(raw, "array<string>"))
+    return F.when(terms.isNotNull(), license_set(terms)).otherwise(normalize_license(raw))
+
+
 def json_string(text: Column) -> Column:
     """text as a JSON string: quotes, backslashes and control characters escaped, everything else verbatim."""
     s = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -196,6 +198,15 @@ def license_normalize(spark, sf):
     return _rows(spark, sf).select("row_id", T.normalize_license(F.element_at(F.array(*[F.lit(x) for x in raw]), (F.col("row_id") % 8 + 1).cast("int"))).alias("license"))
 
 
+@query()
+def license_raw_normalize(spark, sf):
+    """The raw licences of all rows and shard tables (by row id or digest) as identifiers; the terms of a JSON list as one conjunction."""
+    parts = [_rows(spark, sf).select(F.lit("text_rows").alias("part"), F.col("row_id").cast("string").alias("id"), "license_raw")]
+    for name, digest in (("shard_v1", F.lower(F.hex("content_sha256"))), ("shard_v2", F.lower(F.hex("content_sha256"))), ("shard_v3", F.lower(F.hex("content_sha256"))), ("shard_legacy", F.lower("sha256"))):
+        parts.append(table(spark, sf, name).select(F.lit(name).alias("part"), digest.alias("id"), "license_raw"))
+    return reduce(DataFrame.unionByName, parts).select("part", "id", "license_raw", T.normalize_raw_license(F.col("license_raw")).alias("license"))
+
+
 @query("SELECT row_id, CASE WHEN license IS NULL THEN 'MIT' WHEN license < 'MIT' THEN license || ' AND MIT' WHEN license = 'MIT' THEN 'MIT' ELSE 'MIT AND ' || license END AS licenses FROM text_rows")
 def license_set(spark, sf):
     """Several licences of one row as one conjunction."""

@@ -57,6 +57,25 @@ def test_eightgrams():
     assert privacy.eightgram_share(w) == 16 / 24
 
 
+@pytest.mark.parametrize("raw, wanted", [('["cc by-nc 4.0","CC-BY-NC-4.0"]', "CC-BY-NC-4.0"), ('["MIT License", "cc0 1.0"]', "CC0-1.0 AND MIT"), ("CC_ZERO 1.0", "CC0-1.0"), ("[own terms", "[own terms"), (None, None)])
+def test_raw_licenses(spark, raw, wanted):
+    df = spark.createDataFrame([(raw,)], "v string")
+    assert df.select(T.normalize_raw_license(F.col("v"))).first()[0] == wanted
+
+
+def test_every_raw_license_is_read(spark, small):
+    from corploom.plans import reference
+
+    got = reference.license_raw_normalize(spark, small)
+    rows = {r["row_id"]: r["license_raw"] for r in spark.read.parquet(f"{small}/text_rows.parquet").select("row_id", "license_raw").collect()}
+    known = {"cc by 4.0": "CC-BY-4.0", "CC-BY 4.0": "CC-BY-4.0", "cc by-sa 4.0": "CC-BY-SA-4.0", "CC_ZERO 1.0": "CC0-1.0", "MIT License": "MIT", "Public Domain": "LicenseRef-Public-Domain", '["cc by-nc 4.0","CC-BY-NC-4.0"]': "CC-BY-NC-4.0"}
+    mine = {int(r["id"]): r for r in got.where("part = 'text_rows'").collect()}
+    assert mine.keys() == rows.keys() and any(rows.values())
+    assert all(mine[k]["license_raw"] == v and mine[k]["license"] == known.get(v, mine[k]["license"]) for k, v in rows.items())
+    assert got.where("(license is null) <> (license_raw is null)").count() == 0
+    assert {r["part"] for r in got.select("part").distinct().collect()} == {"text_rows", "shard_v1", "shard_v2", "shard_v3", "shard_legacy"}
+
+
 def test_canonical_json_escapes(spark):
     c = {k: F.col(k) for k in ("sha256", "text", "source", "source_name", "license", "license_raw", "lang", "date", "meta")} | {"lang_score": F.lit(0), "tokens": F.lit(3)}
     line = one(spark, T.canonical_json(c), sha256="ab", text='q" \\ \n\x01é', source="s", source_name=None, license="MIT", license_raw="", lang=None, date=None, meta='{"a":1}')
