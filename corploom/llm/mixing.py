@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .tokens import count_tokens
 
-#: Buckets of seeded hashes per stage and source in which tokens are pre-aggregated.
-BUCKETS = 4096
+#: Records, about, in a bucket of seeded hashes: tokens are summed by bucket first, and only the bucket at the edge is put in order.
+PER_BUCKET = 50_000
 
 
 def corpus_key(c):
@@ -48,9 +48,9 @@ def source_tokens(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _wanted(weights: DataFrame, stages: DataFrame) -> DataFrame:
-    """stage, key, corpus, weight, max_repeats, of (sum of weights) and planned_tokens; one row per stage and source."""
+    """stage, key, weight, max_repeats, of (sum of weights) and planned_tokens; one row per stage and source, whatever its spellings."""
     w = weights.where(F.col("weight") > 0).groupBy("stage", corpus_key(F.col("corpus")).alias("key"))
-    w = w.agg(F.min("corpus").alias("corpus"), F.sum("weight").alias("weight"), F.max(F.greatest("max_repeats", F.lit(0))).alias("max_repeats"))
+    w = w.agg(F.sum("weight").alias("weight"), F.max(F.greatest("max_repeats", F.lit(0))).alias("max_repeats"))
     of = w.groupBy("stage").agg(F.sum("weight").alias("of"))
     s = stages.select(F.col("name").alias("stage"), "planned_tokens", F.coalesce("seed", F.lit(0)).alias("seed"))
     return w.join(of, "stage").join(s, "stage")
@@ -59,13 +59,14 @@ def _wanted(weights: DataFrame, stages: DataFrame) -> DataFrame:
 def short_sources(rows: DataFrame, weights: DataFrame, stages: DataFrame, path: str | None = None) -> DataFrame:
     """stage, source of sources that cannot reach their share: max_repeats x tokens < weight / sum x planned_tokens.
 
-    source is spelled as in rows (the first spelling if there are several), or as in weights if it has no rows.
+    source is spelled as in rows (the first spelling if there are several). One without rows is named by its key: the
+    name in weights without outer blanks, capitals and a suffix of a file, which is how the rows of a source are spelled.
     """
     have = source_tokens(rows, path).groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.min("source").alias("source"))
     wanted = _wanted(weights, stages).join(have, "key", "left")
     exact = lambda c: F.col(c).cast("decimal(19,0)")
     short = F.coalesce("tokens", F.lit(0)).cast("decimal(19,0)") * exact("max_repeats") * exact("of") < exact("weight") * exact("planned_tokens")
-    return wanted.where(short).select("stage", F.coalesce("source", "corpus").alias("source"))
+    return wanted.where(short).select("stage", F.coalesce("source", "key").alias("source"))
 
 
 def plan(have: DataFrame, weights: DataFrame, stages: DataFrame) -> list[dict]:
@@ -82,18 +83,19 @@ def plan(have: DataFrame, weights: DataFrame, stages: DataFrame) -> list[dict]:
     return plans
 
 
-def mix(rows: DataFrame, weights: DataFrame, stages: DataFrame, path: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+def mix(rows: DataFrame, weights: DataFrame, stages: DataFrame, path: str | None = None, per_bucket: int = PER_BUCKET) -> DataFrame:
     """The mix: stage, source, row_id, copies (1 or more), n_tokens (of one copy).
 
     Every record of a source is used ``whole`` times; of the fraction left, records in the order of a hash of the
     stage's seed and row_id are used once more while more than half of them lies within it, so a source misses its
-    goal by less than one record. No source is sorted whole: the fraction is first found among hash buckets, and only
-    the bucket that it ends in is put in order. Rows without tokens are not used.
+    goal by less than one record. No source is sorted whole: the fraction is first found among hash buckets, whose number
+    follows that of the records, and only the bucket that it ends in is put in order. Rows without tokens are not used.
     """
     from ..session import checkpoint
 
     spark = rows.sparkSession
     counted = checkpoint(source_tokens(rows, path).where("n_tokens > 0"))
+    buckets = max(64, counted.count() // per_bucket)
     plans = plan(counted.groupBy("key").agg(F.sum("n_tokens").alias("tokens")), weights, stages)
     schema = "stage string, key string, seed long, whole long, part long"
     goals = spark.createDataFrame([tuple(p[k] for k in ("stage", "key", "seed", "whole", "part")) for p in plans], schema)
@@ -122,4 +124,4 @@ def mix_shares(mixed: DataFrame, weights: DataFrame, stages: DataFrame) -> DataF
     used = mixed.groupBy("stage", corpus_key(F.col("source")).alias("key")).agg(F.min("source").alias("source"), F.sum("copies").alias("records"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
     w = _wanted(weights, stages).join(used, ["stage", "key"], "left")
     tokens = F.coalesce("tokens", F.lit(0))
-    return w.select("stage", F.coalesce("source", "corpus").alias("source"), F.coalesce("records", F.lit(0)).alias("records"), tokens.alias("tokens"), F.round(F.col("weight") / F.col("of"), 6).alias("target_share"), F.round(tokens / F.col("planned_tokens"), 6).alias("actual_share"))
+    return w.select("stage", F.coalesce("source", "key").alias("source"), F.coalesce("records", F.lit(0)).alias("records"), tokens.alias("tokens"), F.round(F.col("weight") / F.col("of"), 6).alias("target_share"), F.round(tokens / F.col("planned_tokens"), 6).alias("actual_share"))

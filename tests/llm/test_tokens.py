@@ -111,19 +111,29 @@ def test_water_filling():
 def test_mix_and_short_sources(spark):
     rows = [(i, "word " * (i % 7 + 1), "web/Big" if i % 3 else "gov/small") for i in range(600)] + [(1000, None, "web/Big"), (1001, "", "gov/small")]
     df = spark.createDataFrame(rows, "row_id long, text string, source string")
-    weights = spark.createDataFrame([("s", "WEB/big.yaml", 1, 3), ("s", "gov/small", 3, 2), ("s", "gone.json", 1, 5)], "stage string, corpus string, weight long, max_repeats int")
+    weights = spark.createDataFrame([("s", "WEB/big.yaml", 1, 3), ("s", "gov/small", 3, 2), ("s", " Science/Gone.json ", 1, 5)], "stage string, corpus string, weight long, max_repeats int")
     stages = spark.createDataFrame([("s", 5000, 1)], "name string, planned_tokens long, seed long")
-    m = mixing.mix(df, weights, stages, buckets=16).collect()
+    m = mixing.mix(df, weights, stages, per_bucket=9).collect()
     by = Counter()
     for r in m:
         by[r["source"]] += r["copies"] * r["n_tokens"]
         assert r["copies"] <= (3 if r["source"] == "web/Big" else 2)
     small = sum(r["n_tokens"] for r in mixing.source_tokens(df).where("source = 'gov/small'").collect())
     assert by["gov/small"] == 2 * small and abs(by["web/Big"] - (5000 - 2 * small)) <= 8
-    assert {(r["stage"], r["source"]) for r in mixing.short_sources(df, weights, stages).collect()} == {("s", "gov/small"), ("s", "gone.json")}
+    assert {(r["stage"], r["source"]) for r in mixing.short_sources(df, weights, stages).collect()} == {("s", "gov/small"), ("s", "science/gone")}
     assert mixing.mix(df.limit(0), weights, stages).count() == 0
 
 
+def test_names_of_short_sources(spark):
+    """Two spellings of one source are one; a source without rows is named without blanks, capitals and suffix; no rows at all is no failure."""
+    df = spark.createDataFrame([(1, "some words", "web/Big")], "row_id long, text string, source string")
+    weights = spark.createDataFrame([("s", " WEB/BIG.yaml", 1, 1), ("s", "web/big", 1, 1), ("s", " X.yaml", 1, 9), ("s", "Y.JSON", 1, 9), ("s", "z", 0, 1)], "stage string, corpus string, weight long, max_repeats int")
+    stages = spark.createDataFrame([("s", 1000, 1)], "name string, planned_tokens long, seed long")
+    found = lambda rows: sorted(r["source"] for r in mixing.short_sources(rows, weights, stages).collect())
+    assert found(df) == ["web/Big", "x", "y"]
+    assert found(df.limit(0)) == ["web/big", "x", "y"]
+
+
 def test_patterns_hold_every_item_once():
     rng = np.random.default_rng(8)
     for capacity in (1, 7, 64, 300):
