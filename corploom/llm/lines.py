@@ -1,14 +1,17 @@
 """Lines repeated across the documents of one source: distributed PrefixSpan over sequences of line identifiers.
 
-A document is the sequence of its lines' identifiers (a hash of their letters). Support is the number of distinct
-documents of the source. Pattern growth runs level by level over all sources at once; every level is one aggregation
-with map-side sums, so a source that holds a third of all rows is spread like any other. The support of a sequence is
-at most that of its rarest line, so the lines of all frequent sequences are exactly the frequent lines: deletion needs
-the first level only, and the longer levels tell which lines come as a block.
+A document is the sequence of its lines' identifiers (a hash of their letters), support the number of distinct
+documents of the source. Growth runs level by level over all sources at once: a level counts the sequences that are one
+line longer than the frequent ones, as an aggregation with map-side sums, so a source that holds a third of all rows is
+spread like any other. Every document keeps the places at which the frequent sequences of the level start (its
+projections). A place whose sequence cannot be grown, to either side, is done: the lines of that sequence are deleted.
+Growth ends when no document has a place left; there is no longest sequence.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,81 +24,101 @@ def letters(line):
     return F.lower(F.regexp_replace(line, r"[^\p{L}]+", ""))
 
 
-def _identifiers(rows: DataFrame) -> DataFrame:
-    """row_id, source, sha and k: the identifier of every line in order, null for lines without letters."""
-    plain = F.split(letters_of_text(F.col("text")), "\n", -1)
-    return rows.select("row_id", "source", "content_sha256", F.transform(plain, lambda x: F.when(x != "", F.xxhash64(x, F.lit(0)))).alias("k"))
-
-
 def letters_of_text(text):
     """letters() of every line of a text at once: line feeds stay."""
     return F.lower(F.regexp_replace(text, r"[^\p{L}\n]+", ""))
 
 
-def documents(rows: DataFrame) -> DataFrame:
-    """One sequence per source and content_sha256: source, k (identifiers, lines without letters left out).
+def sequences(rows: DataFrame) -> DataFrame:
+    """row_id, source, w and k: the lines with letters of every row in order, as (no, id); w is 1 for the first row of each document.
 
-    Rows delivered again (same source and digest) are set aside by their ids: only the ids of the repeated digests
-    are shuffled, not the texts. A null digest is a document of its own.
+    Rows delivered again (same source and digest) have w 0: their lines are deleted, too, but do not count. Only the
+    ids of repeated digests are shuffled, not the texts. A null digest is a document of its own. Rows with a null text
+    or source have no sequence.
     """
-    seen = rows.where("content_sha256 is not null").groupBy("source", "content_sha256").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n"))
-    again = seen.where("n > 1").select("source", "content_sha256", F.col("row_id").alias("first"))
-    known = _identifiers(rows)
-    kept = known.join(again, ["source", "content_sha256"], "left").where("first is null or first = row_id")
-    return kept.select("source", F.filter("k", lambda x: x.isNotNull()).alias("k"))
+    rows = rows.where("text is not null and source is not null")
+    seen = rows.where("content_sha256 is not null").groupBy("source", "content_sha256").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    again = seen.where("n > 1").select("source", "content_sha256", "first")
+    plain = F.split(letters_of_text(F.col("text")), "\n", -1)
+    known = F.filter(F.transform(plain, lambda x, i: F.struct(i.alias("no"), F.when(x != "", F.xxhash64(x, F.lit(0))).alias("id"))), lambda e: e["id"].isNotNull())
+    each = rows.select("row_id", "source", "content_sha256", known.alias("k")).join(again, ["source", "content_sha256"], "left")
+    return each.select("row_id", "source", F.when(F.col("first").isNull() | (F.col("first") == F.col("row_id")), 1).otherwise(0).alias("w"), "k")
 
 
 def frequent_lines(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """source, id, docs: the patterns of length 1."""
-    items = docs.select("source", F.explode(F.array_distinct("k")).alias("id"))
+    """source, id, docs: the sequences of one line."""
+    items = docs.where("w = 1").select("source", F.explode(F.array_distinct(F.transform("k", lambda e: e["id"]))).alias("id"))
     return items.groupBy("source", "id").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support)
 
 
-def prefix_span(docs: DataFrame, support: int = SUPPORT, length: int | None = None) -> DataFrame:
-    """Frequent sequences: source, pattern (array of identifiers), docs; lines that follow one another, of every length
-    (of up to ``length`` lines if that is given).
+def _levels(docs: DataFrame, support: int):
+    """(length, counts, places) of every level. counts: source, h (of the sequence), docs. places: doc, row_id, source, w, k, live, over.
 
-    Before growth every sequence is reduced to frequent lines; a pattern's lines then stand next to each other (a gap
-    would make the number of patterns explode: every subset of a menu would be one). Each level counts the sequences
-    whose two parts without the last and without the first line are frequent, and keeps those with enough distinct
-    documents, until none is left. Its places are found again by a 64-bit hash of source and pattern.
+    k has the frequent lines of a document only, so what stands between them does not separate them. live are the
+    places where a frequent sequence of the level's length starts, with its hash; over those of the level before that
+    could not be grown. Documents without any place are left out of the next level.
     """
     from ..session import checkpoint
 
-    docs = docs.withColumn("doc", F.monotonically_increasing_id())
-    docs = checkpoint(docs)
+    docs = checkpoint(docs.withColumn("doc", F.monotonically_increasing_id()))
     level = checkpoint(frequent_lines(docs, support))
-    out = level.select("source", F.array("id").alias("pattern"), "docs")
-    each = docs.select("source", "doc", F.posexplode("k").alias("pos", "id")).join(level.select("source", "id"), ["source", "id"])
-    reduced = each.groupBy("source", "doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("k"))
-    # live: where the frequent sequences of the last level start in each document
-    live = reduced.where("size(k) > 1").withColumn("live", F.sequence(F.lit(0), F.size("k") - 1))
+    each = docs.select("doc", "source", F.explode("k").alias("e")).select("doc", "source", "e.no", "e.id")
+    kept = each.join(level.select("source", "id"), ["source", "id"], "left_semi").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("no", "id"))).alias("k"))
+    live = F.transform("k", lambda e, i: F.struct(i.alias("at"), e["id"].alias("h")))
+    none = F.array().cast("array<int>")
+    state = checkpoint(docs.select("doc", "row_id", "source", "w").join(kept, "doc").withColumn("live", live).withColumn("over", none))
     n = 1
-    while length is None or n < length:
+    yield n, level.select("source", F.col("id").alias("h"), "docs"), state
+    while True:
+        state = state.where("size(live) > 0")
         n += 1
-        live = checkpoint(live.withColumn("live", F.filter("live", lambda s, i: F.get("live", i + 1) == s + 1)).where("size(live) > 0"))
-        at = lambda s: F.slice("k", s + 1, n)  # noqa: B023, E731
-        grown = live.select("source", F.explode(F.array_distinct(F.transform("live", at))).alias("pattern"))
-        counts = checkpoint(grown.groupBy("source", "pattern").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support))
-        if counts.isEmpty():
-            break
-        out = out.unionByName(counts)
-        places = live.select("doc", "source", "k", F.explode("live").alias("s")).select("doc", "s", F.xxhash64("source", at(F.col("s"))).alias("h"))
-        kept = places.join(counts.select(F.xxhash64("source", "pattern").alias("h")), "h", "left_semi")
-        live = live.drop("live").join(kept.groupBy("doc").agg(F.sort_array(F.collect_list("s")).alias("live")), "doc")
-    return out
+        grown = F.transform(F.filter("live", lambda e, i: F.get("live", i + 1)["at"] == e["at"] + 1), lambda e: F.struct(e["at"].alias("at"), F.xxhash64(e["h"], F.get("k", e["at"] + n - 1)["id"]).alias("h")))  # noqa: B023
+        tried = state.withColumn("tried", grown)
+        once = tried.where("w = 1").select("source", F.explode(F.array_distinct(F.transform("tried", lambda e: e["h"]))).alias("h"))
+        counts = checkpoint(once.groupBy("source", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support))
+        places = tried.select("doc", "source", F.explode("tried").alias("e")).select("doc", "source", "e.at", "e.h").join(counts.select("source", "h"), ["source", "h"], "left_semi")
+        places = places.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("next"))
+        joined = state.drop("over").join(places, "doc", "left")
+        starts = F.transform("next", lambda e: e["at"])
+        stuck = F.filter(F.transform("live", lambda e: e["at"]), lambda a: F.col("next").isNull() | ~(F.array_contains(starts, a) | F.array_contains(starts, a - 1)))
+        empty = F.array().cast("array<struct<at:int,h:bigint>>")
+        state = checkpoint(joined.withColumn("over", stuck).withColumn("live", F.coalesce("next", empty)).drop("next"))
+        more = not counts.isEmpty()
+        yield n, counts, state
+        if not more:
+            return
+
+
+def prefix_span(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """source, length, h (a hash of the sequence), docs of every frequent sequence of every length. docs: sequences(rows).
+
+    A sequence's lines follow one another among the frequent lines of a document; with any gaps allowed every subset of
+    a menu would be a sequence of its own. The identifiers and hashes have 64 bits and are compared within a source.
+    """
+    parts = [counts.select("source", F.lit(n).alias("length"), "h", "docs") for n, counts, _ in _levels(docs, support)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def spans(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """row_id, first, length, lines: every occurrence of a frequent sequence that no longer frequent one holds, with its line numbers."""
+    parts = []
+    for n, _, state in _levels(docs, support):
+        # what is over at this level was frequent at the one before, with n - 1 lines
+        over = state.where("size(over) > 0").select("row_id", "k", F.explode("over").alias("at"))
+        if n > 1:
+            parts.append(over.select("row_id", F.get("k", F.col("at"))["no"].alias("first"), F.lit(n - 1).alias("length"), F.transform(F.slice("k", F.col("at") + 1, n - 1), lambda e: e["no"]).alias("lines")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def repeated_lines(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """row_id, line_no of every occurrence of a line that stands in ``support`` or more distinct texts of its source.
+    """row_id, line_no of every line of an occurrence of a frequent sequence of ``support`` or more distinct texts of its source.
 
     Lines are split at LF and numbered from 0; two are the same when their letters are. A line without letters, a
-    null text and a null source are never cases. The identifiers are 64-bit hashes of the letters.
+    null text and a null source are never cases. A line stands in a frequent sequence exactly if it is frequent itself,
+    since the sequence of that line alone is one.
     """
-    rows = rows.where("text is not null and source is not null")
-    frequent = frequent_lines(documents(rows), support)
-    lines = _identifiers(rows).select("row_id", "source", F.posexplode("k").alias("line_no", "id")).where("id is not null")
-    return lines.join(frequent.select("source", "id"), ["source", "id"], "left_semi").select("row_id", "line_no")
+    found = spans(sequences(rows), support).groupBy("row_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+    return found.select("row_id", F.explode("lines").alias("line_no"))
 
 
 def clean(rows: DataFrame, support: int = SUPPORT) -> DataFrame:

@@ -18,8 +18,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """Frequent sequences of lines: how many by source and length, and the greatest support."""
-    found = lines.prefix_span(lines.documents(table(spark, sf, "text_rows").where("text is not null and source is not null")))
-    return found.groupBy("source", F.size("pattern").alias("length")).agg(F.count(F.lit(1)).alias("sequences"), F.max("docs").alias("most_docs"))
+    found = lines.prefix_span(lines.sequences(table(spark, sf, "text_rows")))
+    return found.groupBy("source", "length").agg(F.count(F.lit(1)).alias("sequences"), F.max("docs").alias("most_docs"))
 
 
 def p1_clean(spark: SparkSession, sf: str) -> DataFrame:

@@ -49,8 +49,8 @@ def test_sequences_against_brute_force(spark):
     random.seed(2)
     items = [("s", None, "\n".join(random.choices("abcd", k=6)) + f"\nz{'q' * i}", None) for i in range(40)]
     got = defaultdict(int)
-    for r in lines.prefix_span(lines.documents(rows(spark, items)), 5, 3).collect():
-        got[len(r["pattern"])] += 1
+    for r in lines.prefix_span(lines.sequences(rows(spark, items)), 5).where("length <= 3").collect():
+        got[r["length"]] += 1
     counts = defaultdict(set)
     for t in {t for _, _, t, _ in items}:
         seq = t.split("\n")[:6]
@@ -68,10 +68,21 @@ def test_sequences_of_any_length(spark):
     block = [f"menu {'abcdefghijk'[i] * 3}" for i in range(11)]
     items = [("s", None, "\n".join([f"own {'q' * i}", *block, f"end {'z' * i}"]), None) for i in range(1, 8)]
     got = defaultdict(int)
-    for r in lines.prefix_span(lines.documents(rows(spark, items)), 6).collect():
+    for r in lines.prefix_span(lines.sequences(rows(spark, items)), 6).collect():
         assert r["docs"] == 7
-        got[len(r["pattern"])] += 1
+        got[r["length"]] += 1
     assert got == {n: 12 - n for n in range(1, 12)}
+    # the whole block is deleted as one sequence in every document
+    whole = lines.spans(lines.sequences(rows(spark, items)), 6).collect()
+    assert {(r["row_id"], r["first"], r["length"]) for r in whole} == {(i, 1, 11) for i in range(7)}
+    assert all(r["lines"] == list(range(1, 12)) for r in whole)
+
+
+def test_spans_are_the_longest_sequences(spark):
+    """x y z stands in six texts, y z alone in two more: there the shorter sequence is deleted; a row delivered again is cleaned but does not count."""
+    texts = [f"xx\nyy\n{i}\nzz\nown {'q' * i}" for i in range(6)] + [f"own {'r' * i}\nyy\nzz" for i in (1, 2)] + ["aa"] * 9
+    found = lines.spans(lines.sequences(rows(spark, [("s", None, t, None) for t in texts] + [(None, None, "xx", None), ("s", None, None, None)])), 6).collect()
+    assert {(r["row_id"], tuple(r["lines"])) for r in found} == {(i, (0, 1, 3)) for i in range(6)} | {(i, (1, 2)) for i in (6, 7)}
 
 
 SENTENCES = {
