@@ -1,16 +1,19 @@
 """The main body of web pages: a site style tree whose unimportant branches are removed.
 
-The pages of a host are merged into one tree: host, then style (whole lines; the parts of lines that are joined by
-separators), then content. A content node that stands on many pages of its host, or on pages of many hosts, has a low
-importance, 1 - log(pages) / log(all pages) (one minus the entropy of an even spread). A page's lines are then read from
-top to bottom with the importance of their nodes; branches go as a whole: a menu whose items are unimportant, a trail
-of such items, a label that only introduces links, and the list below a heading of links.
+The pages of a host are merged into one tree: host, presentation (whole lines; the parts of lines that are joined by
+separators), content. A content node that stands on many pages of its host, or on many hosts, has a low importance,
+1 - log(pages) / log(all pages) (one minus the entropy of an even spread).
+
+What a node is for is learnt from where it stands, over all pages; there are no word lists. A low node that mostly
+stands just below titles belongs to the head of a page (a byline, a date line) and stays there. A low node that is
+mostly followed by lines of their own that are no sentences is the heading of a list; the list below it goes with it.
+A beginning of lines (their first two words) that many hosts have, never as a title or a sentence and spread over the
+page, is that of a link: the lines differ, but their presentation node holds no content of the page.
 """
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,33 +30,26 @@ SENTENCE_IMPORTANCE, SENTENCE_LETTERS = 0.45, 45
 #: What separates the parts of a line.
 PARTS = r"\s*[·|/>–]\s*|\s{2,}|\s*:\s"
 
-#: How bylines begin or end and how date lines begin, in en, fr, de, es, pt, nl. These name the author and the date, which stay.
-BY_START = ("by", "words", "words by", "text", "texte", "par", "von", "por", "door", "tekst", "texto", "escrito por", "author", "authors", "auteur", "auteurs", "autor", "autoren", "autores")
-BY_END = ("staff writer", "rédaction", "redaktion", "redacción", "redação", "redactie", "reporter", "editor", "correspondent")
-DATE_START = ("last updated", "updated", "published", "posted", "mis à jour", "publié", "stand", "aktualisiert", "veröffentlicht", "actualizado", "publicado", "atualizado", "bijgewerkt", "gepubliceerd")
+#: Lines below the title that are the head of a page, and the share of a node's places there from which it belongs to it.
+HEAD, HEAD_SHARE = 3, 0.7
+
+#: Share of a node's places with a line of its own below, beyond those with a title below, from which it is a heading of lists.
+LIST_SHARE = 0.8
 
-#: Headings of lists of other pages, in the same languages.
-LIST_HEADINGS = (
-    "related stories", "related articles", "related content", "most read", "most popular", "you may also like", "you might also like", "more stories", "more on this topic", "recommended", "popular now", "trending", "read next", "see also",
-    "articles liés", "à lire aussi", "vous aimerez aussi", "les plus lus", "sur le même sujet", "le plus lu",
-    "mehr zum thema", "meistgelesen", "das könnte sie auch interessieren", "verwandte artikel", "auch interessant", "lesen sie auch", "das könnte ihnen auch gefallen",
-    "noticias relacionadas", "lo más leído", "también le puede gustar", "más sobre el tema", "artículos relacionados", "le puede interesar", "lea también",
-    "notícias relacionadas", "mais lidas", "também pode gostar", "mais sobre o tema", "artigos relacionados", "leia também",
-    "verwante artikelen", "meest gelezen", "misschien ook iets voor u", "lees ook", "meer over dit onderwerp",
-)
+#: Of the lines with a beginning, shares of titles, of sentences and of lines in the head up to which it is that of links.
+LINK_TITLE, LINK_SENTENCE, LINK_HEAD = 0.02, 0.1, 0.5
 
-#: How a line begins that only leads to another page.
-LINK_START = (
-    "read more about", "read more:", "read also", "also read", "see also", "continue reading", "more about", "related:", "à lire aussi", "lire aussi", "lire la suite", "lesen sie auch", "mehr dazu", "weiterlesen", "lea también", "leer más", "seguir leyendo", "leia também", "ler mais", "continuar a ler", "lees ook", "lees meer", "lees verder",
-)
+#: Learnt nodes up to which they are broadcast (8 bytes each); beyond that they are joined.
+BROADCAST = 1_000_000
 
-#: How a trail of links begins.
-TRAIL_START = ("you are here", "vous êtes ici", "sie sind hier", "usted está aquí", "está aquí", "u bent hier", "home >", "accueil >", "startseite >", "inicio >", "início >")
+#: What lines are, as bits: a sentence's end, a letter at the start; the bits above count the signs of a trail (" > ").
+ENDS, LETTER, TRAIL = 1, 2, 4
 
-_TRIM = re.compile(r"^[\s•»›—*…\-|·«‹>.]+|[\s•»›—*…|·«‹]+$")
-_SPACES = re.compile(r"\s+")
-_COUNT = re.compile(r"\(\d{1,3}\)$")
-_CAPITAL = re.compile(r"[^\W\d_]")
+#: Share of low lines among those with a number of trail signs from which all lines of that shape are trails.
+TRAIL_SHARE = 0.5
+
+#: What the learnt nodes are.
+IN_HEAD, HEADING, LINK, TRAILS = 0, 1, 2, 3
 
 
 def _names(rows: DataFrame) -> DataFrame:
@@ -63,117 +59,205 @@ def _names(rows: DataFrame) -> DataFrame:
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """The nodes of every page, one row a page: row_id, site (a hash of the source), nodes and contents; the site's name left out.
+    """The nodes of every page, one row a page: row_id, site (a hash of the source), arrays over its lines, and contents; the site's name left out.
 
-    nodes: line_no, part (-1: the whole line), parts (of the line), key (a hash of the letters). contents: the
-    different keys with the number of their letters.
+    Over the lines that are not blank: no, key (a hash of the letters, 0 without letters), lead (of the first two words),
+    flags, and parts (keys of the parts of a line with separators). contents: the different keys with the number of
+    their letters.
     """
     named = pages.join(_names(pages), "source", "left").select("row_id", F.xxhash64("source").alias("site"), F.lower("text").alias("t"), F.coalesce("name", F.lit("")).alias("name"))
+    split = F.filter(F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(i.alias("no"), F.regexp_replace(x, r"^[\s\u00a0]+|[\s\u00a0]+$", "").alias("x"))), lambda e: e["x"] != "")
+
+    def line(e):
+        words = F.split(F.trim(F.regexp_replace(e["x"], r"[^\p{L}]+", " ")), " ")
+        parts = F.filter(F.split(e["x"], PARTS), lambda p: p.rlike(r"\p{L}"))
+        bare = F.regexp_replace(e["x"], r"[\s•»›—*…|·«‹]+$", "")
+        flags = F.when(bare.rlike(r"[.!?;,]$"), ENDS).otherwise(0) + F.when(e["x"].rlike(r"^\p{L}"), LETTER).otherwise(0) + (F.size(F.split(e["x"], r"\s>\s")) - 1) * TRAIL
+        return F.struct(e["no"].alias("no"), words.alias("w"), F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>")).alias("p"), flags.alias("flags"))
+
+    def known(e):
+        l = F.replace(F.array_join(e["w"], ""), F.col("name"))  # noqa: E741
+        parts = F.transform(F.transform(e["p"], lambda p: F.replace(letters(p), F.col("name"))), lambda p: F.struct(F.xxhash64(p).alias("key"), F.length(p).alias("letters")))
+        key = F.when(l == "", F.lit(0).cast("long")).otherwise(F.xxhash64(l))
+        return F.struct(e["no"].alias("no"), F.struct(key.alias("key"), F.length(l).alias("letters")).alias("whole"), F.xxhash64(F.slice(e["w"], 1, 2)).alias("lead"), e["flags"].alias("flags"), parts.alias("p"))
+
+    each = named.select("row_id", "site", "name", F.transform(split, line).alias("s"))
+    each = each.select("row_id", "site", F.transform("s", known).alias("s"))
+    contents = F.filter(F.array_distinct(F.flatten(F.transform("s", lambda e: F.concat(F.array(e["whole"]), e["p"])))), lambda c: c["key"] != 0)
+    take = lambda f: F.transform("s", f)
+    return each.select(
+        "row_id", "site", take(lambda e: e["no"]).alias("no"), take(lambda e: e["whole"]["key"]).alias("key"), take(lambda e: e["lead"]).alias("lead"), take(lambda e: e["flags"]).alias("flags"),
+        take(lambda e: F.transform(e["p"], lambda p: p["key"])).alias("parts"), contents.alias("contents"),
+    )
+
+
+def again(rows: DataFrame) -> DataFrame:
+    """row_id of rows delivered again: their source and digest stand in an earlier row. Rows with a null digest are none."""
+    ids = rows.where("content_sha256 is not null").select("row_id", "source", "content_sha256")
+    seen = ids.groupBy("source", "content_sha256").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return ids.join(seen, ["source", "content_sha256"]).where("row_id <> first").select("row_id")
+
+
+def unimportant(pages: DataFrame, every: DataFrame, importance: float = IMPORTANCE, least: int = LEAST) -> DataFrame:
+    """site, key of the unimportant nodes of the site style trees, by host or over all hosts. every: nodes(pages). Texts delivered again count once."""
+    skip = again(pages)
+    contents = every.select("row_id", "site", "contents").join(skip, "row_id", "left_anti").select("site", F.explode("contents").alias("c")).select("site", "c.key", "c.letters")
+    counts = contents.groupBy("site", "key").agg(F.count(F.lit(1)).alias("n"), F.max("letters").alias("letters"))
+    size = pages.join(skip, "row_id", "left_anti").groupBy(F.xxhash64("source").alias("site")).agg(F.count(F.lit(1)).alias("m"))
+    hosts = size.count()  # one number
+    value = lambda n, m: 1 - F.log(n) / F.log(F.greatest(m, F.lit(2)))
+    most = F.when(F.col("letters") >= SENTENCE_LETTERS, min(SENTENCE_IMPORTANCE, importance)).otherwise(importance)
+    everywhere = counts.groupBy("key").agg(F.count(F.lit(1)).alias("h")).where((F.col("h") >= least) & (value(F.col("h"), F.lit(hosts)) <= importance)).select("key", F.lit(True).alias("_all"))
+    by_host = (F.col("n") >= least) & (value(F.col("n"), F.col("m")) <= most)
+    return counts.join(size, "site").join(everywhere, "key", "left").where(by_host | F.col("_all")).select("site", "key")
 
-    # the parts of each line are made once, then its nodes from them; a line without letters has none
-    split = F.transform(F.split("t", "\n", -1), lambda x: F.struct(x.alias("line"), F.filter(F.split(F.trim(x), PARTS), lambda p: p.rlike(r"\p{L}")).alias("p")))
-
-    def of(x, i):
-        # a line without separators has one part, which is the line
-        texts = F.when(F.size(x["p"]) == 0, F.array().cast("array<string>")).when(F.size(x["p"]) == 1, F.array(x["line"])).otherwise(F.concat(F.array(x["line"]), x["p"]))
-        return F.transform(texts, lambda t, k: F.struct(i.alias("line_no"), (k - 1).alias("part"), F.size(x["p"]).alias("parts"), F.replace(letters(t), F.col("name")).alias("l")))
 
-    flat = F.flatten(F.transform(split, of))
-    keyed = named.select("row_id", "site", F.transform(flat, lambda n: F.struct(n["line_no"], n["part"], n["parts"], F.xxhash64(n["l"]).alias("key"), F.length(n["l"]).alias("letters"))).alias("nodes"))
-    return keyed.withColumn("contents", F.array_distinct(F.transform("nodes", lambda n: F.struct(n["key"].alias("key"), n["letters"].alias("letters")))))
+def _columns(batch, names):
+    """The list columns of a batch, flattened, and the row of each element."""
+    first = batch.column(batch.schema.names.index(names[0]))
+    sizes = np.diff(np.asarray(first.offsets))
+    return [batch.column(batch.schema.names.index(n)).flatten().to_numpy(zero_copy_only=False) for n in names], np.repeat(np.arange(batch.num_rows), sizes), sizes
 
 
-def unimportant(pages: DataFrame, every: DataFrame, importance: float = IMPORTANCE, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """The site style trees' unimportant nodes: (site, key) by host and (key) over all hosts. every: nodes(pages). Texts delivered again count once."""
-    first = pages.groupBy("source", "content_sha256").agg(F.min("row_id").alias("row_id")).select(F.xxhash64("source").alias("site"), "row_id")
-    once = every.select("row_id", "site", "contents").join(first.select("row_id"), "row_id", "left_semi").select("site", F.explode("contents").alias("c")).select("site", "c.key", "c.letters")
-    counts = once.groupBy("site", "key").agg(F.count(F.lit(1)).alias("n"), F.max("letters").alias("letters"))
-    size = first.groupBy("site").agg(F.count(F.lit(1)).alias("m"))
-    value = lambda n, m: 1 - F.log(n) / F.log(F.greatest(m, F.lit(2)))
-    most = F.when(F.col("letters") >= SENTENCE_LETTERS, min(SENTENCE_IMPORTANCE, importance)).otherwise(importance)
-    by_host = counts.join(size, "site").where((F.col("n") >= least) & (value(F.col("n"), F.col("m")) <= most)).select("site", "key")
-    hosts = size.agg(F.count(F.lit(1)).alias("m"))
-    everywhere = counts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    over_all = everywhere.join(F.broadcast(hosts)).where(value(F.col("n"), F.col("m")) <= importance).select("key")
-    return by_host, over_all
-
-
-def _read(lines: list[str], whole: set[int], parts: dict[int, set[int]], sizes: dict[int, int]) -> list[int]:
-    """Numbers of the furniture lines of one page. whole: lines with unimportant nodes; parts: unimportant parts by line."""
-    out: list[int] = []
-    body = 0  # lines of the page's own since the top
-    listing = False
-    for i, line in enumerate(lines):
-        if not line.strip():
-            listing = False
-            continue
-        text = _SPACES.sub(" ", _TRIM.sub("", line)).strip()
-        low = text.lower()
-        bare = low.rstrip(" :.")
-        has_digit = any(c.isdigit() for c in low)
-        if body <= 3 and (low.startswith(DATE_START) and has_digit or _byline(low)):
-            body += 1
-            listing = False
-            continue
-        low_parts, n = parts.get(i, ()), sizes.get(i, 1)
-        furniture = i in whole or low.startswith(LINK_START) or bare in LIST_HEADINGS
-        if not furniture and n > 1 and low_parts:
-            if low.startswith(TRAIL_START) or ">" in line:
-                furniture = low.startswith(TRAIL_START) or len(low_parts) >= n - 1
-            else:
-                furniture = len(low_parts) >= 0.7 * n and n >= 3 or len(low_parts) == n
-        if not furniture and low.startswith(TRAIL_START):
-            furniture = True
-        if furniture:
-            listing = bare in LIST_HEADINGS
-            out.append(i)
-        elif listing and len(text) <= 140 and not text.endswith((".", "!", "?", ";", ",")):
-            out.append(i)
-        elif _COUNT.search(text) and line.lstrip().startswith(("›", "»", "•")) and len(text) <= 160:
-            out.append(i)
-        else:
-            listing = False
-            body += 1
-    return out
+def _mark(every: DataFrame, low: DataFrame) -> DataFrame:
+    """row_id, site and the lines of every page (no, key, lead, flags), low if their content is unimportant: the whole line, or enough of its parts.
 
+    Of a trail as many parts as it has signs (the last may be the title), of other lines seven in ten of three or more, or all.
+    """
+    lows = F.array_sort(F.collect_list("key"))
+    marks = every.select("row_id", "site", F.explode("contents.key").alias("key")).join(low, ["site", "key"], "left_semi").groupBy("row_id").agg(lows.alias("lows"))
+    lines = every.select("row_id", "site", "no", "key", "lead", "flags", "parts").join(marks, "row_id", "left")
+    is_low = lambda k: F.array_contains("lows", k)
+    hit = F.transform("parts", lambda p: F.struct(F.size(p).alias("n"), F.size(F.filter(p, is_low)).alias("m")))
+    enough = F.zip_with(hit, "flags", lambda h, f: (h["n"] > 1) & (h["m"] > 0) & F.when(f >= TRAIL, h["m"] >= F.shiftright(f, 2)).otherwise((h["m"] == h["n"]) | ((h["n"] >= 3) & (h["m"] >= 0.7 * h["n"]))))
+    both = F.when(F.col("lows").isNull(), F.transform("no", lambda x: F.lit(False))).otherwise(F.zip_with(F.transform("key", is_low), enough, lambda a, b: a | b))
+    return lines.select("row_id", "site", "no", "key", "lead", "flags", both.alias("low"))
+
+
+def _places(row, low, ends):
+    """Of every line: whether it is the title of its page (the first line that is not low and no sentence), and whether it is in the head below it."""
+    n = len(row)
+    order = np.arange(n)
+    own = np.flatnonzero(~low & ~ends)
+    title = np.zeros(n, bool)
+    if len(own):
+        title[own[np.r_[True, row[own][1:] != row[own][:-1]]]] = True
+    last = np.maximum.accumulate(np.where(title, order, -1))
+    far = order - last
+    head = (last >= 0) & (far > 0) & (far <= HEAD)
+    head[head] = row[last[head]] == row[head]
+    return title, head
+
+
+def signs(state: DataFrame, least: int = LEAST) -> DataFrame:
+    """kind, key of the nodes whose purpose their places tell: IN_HEAD and HEADING (keys of low lines), LINK (leads of other lines), TRAILS (numbers of signs).
+
+    Places are counted within each batch first, then over all pages.
+    """
 
-def _byline(low: str) -> bool:
-    if len(low) > 120:
-        return False
-    return any(low.startswith(w + s) for w in BY_START for s in (" ", ":")) and len(low.split()) <= 14 and not low.endswith(".") or any(low.endswith("· " + w) for w in BY_END)
+    def count(batches):
+        for batch in batches:
+            (no, key, lead, flags, low), row, _ = _columns(batch, ["no", "key", "lead", "flags", "low"])
+            site = batch.column(batch.schema.names.index("site")).to_numpy(zero_copy_only=False)
+            if not len(row):
+                continue
+            low = low.astype(bool)
+            ends = flags & ENDS > 0
+            title, head = _places(row, low, ends)
+            below = np.zeros(len(row), bool)
+            below[:-1] = (row[1:] == row[:-1]) & (no[1:] == no[:-1] + 1)
+            after = lambda x: below & np.r_[x[1:], False]
+            listed, titled = after(~low & ~ends), after(title)
+            signs_of = (flags // TRAIL).astype(np.int64)
+            for kind, at, what, a, b, c in (
+                (IN_HEAD, low & (key != 0), key, head, listed, titled),
+                (LINK, ~low & (flags & LETTER > 0), lead, title, ends, head),
+                (TRAILS, (signs_of > 0) & (flags & LETTER > 0), signs_of, low, ends, head),
+            ):
+                where = np.flatnonzero(at)
+                if not len(where):
+                    continue
+                of = site[row[where]] if kind != IN_HEAD else np.zeros(len(where), np.int64)
+                pairs, back = np.unique(np.stack([what[where], of]), axis=1, return_inverse=True)
+                back = back.ravel()
+                sums = [np.bincount(back, x[where]).astype(np.int64) for x in (a, b, c)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], kind, np.int32)), pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.bincount(back)), *map(pa.array, sums)], names=["kind", "key", "site", "n", "a", "b", "c"])
+
+    counted = state.select("site", "no", "key", "lead", "flags", "low").mapInArrow(count, "kind int, key bigint, site bigint, n bigint, a bigint, b bigint, c bigint")
+    sums = [F.sum(x).alias(x) for x in "nabc"]
+    by_site = counted.groupBy("kind", "key", "site").agg(*sums)
+    total = by_site.groupBy("kind", "key").agg(*sums, F.count(F.lit(1)).alias("sites")).where(F.col("n") >= least)
+    n, a, b, c = (F.col(x) for x in "nabc")
+    low, other = F.col("kind") == IN_HEAD, F.col("kind") == LINK
+    kinds = F.array(
+        F.when(low & (a >= HEAD_SHARE * n), IN_HEAD),
+        F.when(low & (b - c >= LIST_SHARE * n), HEADING),
+        # of few lines none need be a title by chance: the rate counts with one more
+        F.when(other & (F.col("sites") >= least) & (a + 1 < LINK_TITLE * (n + 2)) & (b <= LINK_SENTENCE * n) & (c <= LINK_HEAD * n), LINK),
+        F.when((F.col("kind") == TRAILS) & (F.col("sites") >= least) & (a >= TRAIL_SHARE * n), TRAILS),
+    )
+    return total.select(F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"), "key")
+
+
+def _furniture(no, row, flags, low, in_head, heading, link, trail):
+    """Whether each line is furniture. in_head, heading, link and trail tell of what learnt kind its node is."""
+    low = low | trail
+    ends = flags & ENDS > 0
+    _, head = _places(row, low, ends)
+    out = (low & ~(in_head & head)) | (link & ~low & ~ends)
+    for i in np.flatnonzero(heading & out):
+        # the list below a heading: lines that follow at once, are no sentences and no furniture of their own
+        j = i + 1
+        while j < len(row) and row[j] == row[i] and no[j] == no[j - 1] + 1 and not ends[j] and not out[j] and not (in_head[j] and head[j]):
+            out[j] = True
+            j += 1
+    return out
 
 
-def furniture(rows: DataFrame) -> DataFrame:
+def furniture(rows: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     """row_id, lines (array of line numbers) of every page of a web source that has furniture.
 
     Rows of other sources, null sources and null texts have none. Lines are split at LF and numbered from 0; blank
-    lines are never cases.
+    lines are never cases. Lines may be of any length. The text is read once and never shuffled; ``broadcast`` bounds
+    the number of learnt nodes sent to every task, beyond it they are joined.
     """
     pages = rows.where("source like 'web/%' and text is not null").select("row_id", "source", "source_name", "content_sha256", "text")
     every = checkpoint(nodes(pages))
-    by_host, over_all = unimportant(pages, every)
-    each = every.select("row_id", "site", F.explode("nodes").alias("n")).select("row_id", "site", "n.*").drop("letters")
-    marked = each.join(by_host.withColumn("a", F.lit(True)), ["site", "key"], "left").join(over_all.withColumn("b", F.lit(True)), "key", "left")
-    low = marked.where("a is not null or b is not null")
-    grouped = low.groupBy("row_id").agg(F.collect_list(F.struct("line_no", "part", "parts")).alias("nodes"))
-    joined = pages.select("row_id", "text").join(grouped, "row_id", "left")
+    state = checkpoint(_mark(every, unimportant(pages, every)))
+    known = checkpoint(signs(state))
+    names = ["no", "key", "lead", "flags", "low"]
+    if known.count() <= broadcast:
+        found = known.toPandas()
+        sets = state.sparkSession.sparkContext.broadcast([np.sort(found["key"].to_numpy(np.int64)[found["kind"].to_numpy() == k]) for k in (IN_HEAD, HEADING, LINK, TRAILS)])
+        joined = state
+    else:
+        kinds = F.concat(F.transform("key", lambda k: F.struct(F.lit(IN_HEAD).alias("kind"), k.alias("key"))), F.transform("key", lambda k: F.struct(F.lit(HEADING).alias("kind"), k.alias("key"))), F.transform("lead", lambda k: F.struct(F.lit(LINK).alias("kind"), k.alias("key"))), F.transform("flags", lambda f: F.struct(F.lit(TRAILS).alias("kind"), F.shiftright(f, 2).cast("long").alias("key"))))
+        each = state.select("row_id", F.explode(F.array_distinct(kinds)).alias("e")).select("row_id", "e.kind", "e.key").join(known, ["kind", "key"]).groupBy("row_id").agg(F.collect_set(F.struct("kind", "key")).alias("known"))
+        joined, sets = state.join(each, "row_id", "left"), None
+
+    def member(x, sorted_keys):
+        if not len(sorted_keys):
+            return np.zeros(len(x), bool)
+        at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
+        return sorted_keys[at] == x
 
     def make(batches):
         for batch in batches:
-            ids, texts, found = (batch.column(i).to_pylist() for i in range(3))
-            out = []
-            for text, marks in zip(texts, found):
-                whole, parts, sizes = set(), {}, {}
-                for m in marks or ():
-                    sizes[m["line_no"]] = m["parts"]
-                    if m["part"] < 0:
-                        whole.add(m["line_no"])
-                    else:
-                        parts.setdefault(m["line_no"], set()).add(m["part"])
-                out.append(_read(text.split("\n"), whole, parts, sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["row_id", "lines"])
-
-    return joined.select("row_id", "text", "nodes").mapInArrow(make, "row_id bigint, lines array<int>").where("size(lines) > 0")
+            (no, key, lead, flags, low), row, sizes = _columns(batch, names)
+            if not len(row):
+                continue
+            low = low.astype(bool)
+            values = (key, key, lead, (flags // TRAIL).astype(np.int64))
+            if sets is not None:
+                in_head, heading, link, trail = (member(x, s) for x, s in zip(values, sets.value))
+            else:
+                have = [{(g["kind"], g["key"]) for g in x or ()} for x in batch.column(batch.schema.names.index("known")).to_pylist()]
+                in_head, heading, link, trail = (np.array([(k, v) in have[r] for v, r in zip(x.tolist(), row.tolist())], bool) for k, x in enumerate(values))
+            out = np.flatnonzero(_furniture(no, row, flags, low, in_head & low, heading & low, link & (flags & LETTER > 0), trail & (flags & LETTER > 0)))
+            offsets = np.searchsorted(row[out], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("row_id")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(no[out].astype(np.int32)))], names=["row_id", "lines"])
+
+    return joined.mapInArrow(make, "row_id bigint, lines array<int>").where("size(lines) > 0")
 
 
 def furniture_lines(rows: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def test_labels(text, code):
 def test_page_bodies(spark):
     random.seed(4)
     items, truth = [], set()
-    for i in range(60):
+    for i in range(120):
         host = i % 3
         body = [f"Title {chr(97 + i % 26) * 3} {chr(97 + i // 26) * 4} of the day", "By Ann Author", "Last updated: 2020-01-02", f"Sentence about {'qwertzuiop'[i % 10] * (i // 10 + 2)} that nobody wrote twice."]
         top, bottom = ["Home | News | Shop", f"You are here: Home > News > {body[0]}"], [f"Read more about {chr(97 + i % 26)} things", "Related stories", f"Other {chr(97 + i % 26)} {chr(98 + i // 26)} headline (12)", f"© 2020 Site {host}. All rights reserved.", "", f"We of Site {host} use cookies here."]
@@ -127,11 +127,25 @@ def test_page_bodies(spark):
     items += [("mail/x", None, items[0][2], None), ("web/h0", None, None, None), ("web/h0", None, "", None), (None, None, "x", None)]
     df = rows(spark, items)
     assert {(r["row_id"], r["line_no"]) for r in mainbody.furniture_lines(df).collect()} == truth
+    joined = mainbody.furniture(df, broadcast=0).selectExpr("row_id", "explode(lines) AS line_no").collect()
+    assert {(r["row_id"], r["line_no"]) for r in joined} == truth  # the learnt nodes joined instead of broadcast
     clean = {r["row_id"]: r for r in mainbody.clean(df).collect()}
-    assert len(clean) == len(items) and clean[0]["text"].startswith("Title") and clean[60]["text"] == items[0][2] and not clean[61]["main_content"] and clean[61]["text"] is None
+    assert len(clean) == len(items) and clean[0]["text"].startswith("Title") and clean[120]["text"] == items[0][2] and not clean[121]["main_content"] and clean[121]["text"] is None
     assert mainbody.furniture_lines(df.limit(0)).count() == 0
 
 
+def test_headings_and_bylines_are_learnt(spark):
+    """In no known language: a line that is followed by other pages' titles heads a list, one that stands below titles is of the head."""
+    random.seed(9)
+    word = lambda: "".join(random.choices("bdfgklmn", k=6))
+    items, truth = [], set()
+    for i in range(90):
+        text = [f"{word()} {word()} {word()}", f"qq {'rst'[i % 3]} xyz", *(f"{word()} {word()} {word()}." for _ in range(3)), "vv ww", f"{word()} {word()} {word()}", f"{word()} {word()}", f"{word()} {word()}, {word()}."]
+        truth |= {(i, 5), (i, 6), (i, 7)}
+        items.append((f"web/h{i % 4}", None, "\n".join(text), None))
+    assert {(r["row_id"], r["line_no"]) for r in mainbody.furniture_lines(rows(spark, items)).collect()} == truth
+
+
 def test_long_lines_of_pages(spark):
     random.seed(6)
     word = lambda: "".join(random.choices("abcdefghij", k=7))
