@@ -30,7 +30,7 @@ SENTENCE_IMPORTANCE, SENTENCE_LETTERS = 0.45, 45
 #: What separates the parts of a line.
 PARTS = r"\s*[·|/>–]\s*|\s{2,}|\s*:\s"
 
-#: Lines below the title that are the head of a page, and the share of a node's places there from which it belongs to it.
+#: Lines below the title, before its first sentence, that are the head of a page, and the share of a node's places there from which it belongs to it.
 HEAD, HEAD_SHARE = 3, 0.7
 
 #: Share of a node's places with a line of its own below, beyond those with a title below, from which it is a heading of lists.
@@ -135,7 +135,7 @@ def _mark(every: DataFrame, low: DataFrame) -> DataFrame:
 
 
 def _places(row, low, ends):
-    """Of every line: whether it is the title of its page (the first line that is not low and no sentence), and whether it is in the head below it."""
+    """Of every line: whether it is the title of its page (the first line that is not low and no sentence), and whether it is in the head below it, before its first sentence."""
     n = len(row)
     order = np.arange(n)
     own = np.flatnonzero(~low & ~ends)
@@ -145,7 +145,8 @@ def _places(row, low, ends):
     last = np.maximum.accumulate(np.where(title, order, -1))
     far = order - last
     head = (last >= 0) & (far > 0) & (far <= HEAD)
-    head[head] = row[last[head]] == row[head]
+    said = np.cumsum(~low & ends)
+    head[head] = (row[last[head]] == row[head]) & (said[last[head]] == said[head])
     return title, head
 
 
