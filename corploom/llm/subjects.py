@@ -1,10 +1,10 @@
 """Subject areas of documents: labelling functions combined by a latent model that learns their accuracies.
 
-Four labelling functions vote on every document and area: the lexicon (how many of the sentences about any area are
-about this one), the sections (what headings are about), addresses (areas named in links and mail addresses) and the
-source (areas that its labelled documents mostly have). The lexicon is fitted on a bounded sample of labelled
-documents. Votes are counted over all documents by their pattern; expectation-maximisation on the few patterns learns
-how often each function is right, and gives the posterior of each pattern.
+Six labelling functions vote on what each sentence is about: single words and pairs of words by a lexicon, the section
+it stands in, the title, addresses, and the source of the document. The lexicon is fitted on a bounded sample of
+labelled documents. The ways of voting are few and are counted over all sentences of all documents;
+expectation-maximisation on these counts learns how often each function names which area, and gives the posterior of
+each way of voting. A document's areas are those that at least a quarter of its sentences about any area are about.
 """
 
 from __future__ import annotations
@@ -35,9 +35,6 @@ SCORE, LEAD = 1.0, 0.7
 #: Rounds in which sentences are assigned anew and the lexicon is counted again.
 ROUNDS = 4
 
-#: Levels of the lexicon's vote by the area's share of the sentences.
-LEVELS = (0.0, 0.125, 0.25, 0.5)
-
 
 class Terms:
     """Hashed words and pairs of words of texts, with their sentences."""
@@ -54,11 +51,13 @@ class Terms:
         self.power = np.array(power, np.uint32)
 
     def of(self, texts: list[str]):
-        """(terms, the sentence of each, the document of each sentence, whether a sentence is a heading). Words are runs of letters."""
+        """(terms, the sentence of each, the document of each sentence, whether a sentence is a heading). Words are runs of letters.
+
+        The first ``self.words`` terms are single words, the others pairs.
+        """
         whole = "\n".join(texts) + "\n"
         cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
         cls = self.classes[cp]
-        n = len(cp)
         ends = np.cumsum([len(t) + 1 for t in texts])
         line = cp == 0x0A
         stop = ((cp == 0x2E) | (cp == 0x21) | (cp == 0x3F) | (cp == 0x3002))
@@ -76,6 +75,7 @@ class Terms:
         begin = letter.copy()
         begin[1:] &= ~letter[:-1]
         starts = np.flatnonzero(begin)
+        self.words = 0
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), document, heading
         where = np.flatnonzero(letter)
@@ -86,10 +86,10 @@ class Terms:
         h = np.add.reduceat(value, first).astype(np.uint32)
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         of = sentence[starts]
+        self.words = len(h)
         mix = lambda x: ((x ^ (x >> np.uint32(13))) * np.uint32(0x297A2D39) >> np.uint32(32 - BITS)).astype(np.int64)
         same = of[1:] == of[:-1]
         pair = (h[:-1] * np.uint32(0x85EBCA6B) + h[1:])[same]
-        assert n
         return np.concatenate([mix(h), mix(pair)]), np.concatenate([of, of[1:][same]]), document, heading
 
 
@@ -201,13 +201,19 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample:
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 _TOOLS: list[Terms] = []
 
-VOTES = "doc_id bigint, area int, level int, section int, address int, sentences int, about int"
+#: The labelling functions that read the text; source is added to them by document.
+FUNCTIONS = ("words", "pairs", "section", "title", "address")
+
+VOTES = "doc_id bigint, source string, patterns array<int>, counts array<int>"
 
 
 def votes(documents: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
-    """One row per document with text and area: the votes of lexicon (level), sections and addresses, and the sentences about any area and about this one.
+    """One row per document with text: VOTES, how many of its sentences the functions vote on in each way.
 
-    Documents with null or blank texts have no rows.
+    Of every sentence each function names an area or none. words and pairs: by the lexicon of single words and of pairs
+    of words; section: what the last heading above it is about; title: what the document's first line is about, if that
+    is a heading; address: an area named in a link or mail address of the document. A pattern has one digit for each
+    function, to the base of one more than the areas, 0 for no vote. Documents with null or blank texts have no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(table)
     k = len(names)
@@ -216,101 +222,137 @@ def votes(documents: DataFrame, names: list[str], table: np.ndarray) -> DataFram
         if not _TOOLS:
             _TOOLS.append(Terms())
         for batch in batches:
-            ids, texts = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("doc_id", "text"))
+            ids, sources, texts = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("doc_id", "source", "text"))
             some = [i for i, t in enumerate(texts) if t is not None and not t.isspace() and t]
-            ids, texts = [ids[i] for i in some], [texts[i] for i in some]
+            ids, sources, texts = ([x[i] for i in some] for x in (ids, sources, texts))
             for a, b in blocks(texts):
-                yield _vote(_TOOLS[0], shared.value, names, ids[a:b], texts[a:b])
-
-    def _vote(tool, scores_of, names, ids, texts):
-        n = len(texts)
-        terms, of, document, heading = tool.of(texts)
-        area = areas_of(sentence_scores(terms, of, len(document), scores_of))
-        hit = area >= 0
-        about = np.bincount(document[hit] * k + area[hit], None, n * k).reshape(n, k)
-        hit &= heading
-        heads = np.bincount(document[hit] * k + area[hit], None, n * k).reshape(n, k)
-        total = about.sum(axis=1, keepdims=True)
-        level = np.where(total == 0, 0, 1 + np.searchsorted(LEVELS, about / np.maximum(total, 1), "right") - 1)
-        section = np.where(heads > 0, 1, 0)
-        address = np.zeros((n, k), int)
-        for i, t in enumerate(texts):
-            if "://" in t or "@" in t or "www." in t:
-                found = " ".join(_ADDRESS.findall(t)).lower()
-                named = [j for j, s in enumerate(names) if s in found]
-                if named:
-                    address[i, named] = 1
-        columns = [np.repeat(np.array(ids, np.int64), k), np.tile(np.arange(k), n), level.ravel(), section.ravel(), address.ravel(), np.repeat(total.ravel(), k), about.ravel()]
-        types = [pa.int64()] + [pa.int32()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "area", "level", "section", "address", "sentences", "about"])
-
-    return documents.select("doc_id", "text").mapInArrow(make, VOTES)
+                docs, patterns, counts = _vote(_TOOLS[0], shared.value, names, texts[a:b])
+                offsets = pa.array(np.searchsorted(docs, np.arange(b - a + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (patterns, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(sources[a:b], pa.string()), *lists], names=["doc_id", "source", "patterns", "counts"])
+
+    return documents.select("doc_id", "source", "text").mapInArrow(make, VOTES)
+
+
+def _vote(tool: Terms, table: np.ndarray, names: list[str], texts: list[str]):
+    """(document, pattern, number of sentences), by document."""
+    n, k = len(texts), len(names)
+    terms, of, document, heading = tool.of(texts)
+    single = np.arange(len(terms)) < tool.words
+    words, pairs = (sentence_scores(terms[x], of[x], len(document), table) for x in (single, ~single))
+    both = areas_of(words + pairs) + 1
+    order = np.arange(len(document))
+    # the last heading above with an area, and the area of the first line
+    at = np.maximum.accumulate(np.where(heading & (both > 0), order, -1))
+    above = np.concatenate([[-1], at[:-1]])
+    section = np.where((above >= 0) & (document[above] == document), both[above], 0)
+    first = np.flatnonzero(np.concatenate([[True], document[1:] != document[:-1]])) if len(document) else np.zeros(0, int)
+    title = np.zeros(n, np.int64)
+    title[document[first]] = np.where(heading[first], both[first], 0)
+    titled = title[document]
+    titled[first] = 0  # a title is no evidence for itself
+    address = np.zeros(n, np.int64)
+    for i, t in enumerate(texts):
+        if "://" in t or "@" in t or "www." in t:
+            found = " ".join(_ADDRESS.findall(t)).lower()
+            address[i] = max(((found.count(s), -j) for j, s in enumerate(names) if s in found), default=(0, 1))[1] * -1 + 1
+    pattern = np.zeros(len(document), np.int64)
+    for vote in (areas_of(words) + 1, areas_of(pairs) + 1, section, titled, address[document]):
+        pattern = pattern * (k + 1) + vote
+    size = (k + 1) ** len(FUNCTIONS)
+    keys, counts = np.unique(document.astype(np.int64) * size + pattern, return_counts=True)
+    return keys // size, keys % size, counts
 
 
 def source_votes(documents: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
-    """source, area, said (1) of the areas that at least half of the labelled documents have, for sources with at least five labelled documents."""
+    """source, said (1 and up) of sources with at least five labelled documents: the area that most of them have, if a quarter do."""
     of = labels.join(documents.select("doc_id", "source"), "doc_id")
     n = of.groupBy("source").agg(F.countDistinct("doc_id").alias("n")).where("n >= 5")
-    each = of.groupBy("source", "subject").agg(F.count(F.lit(1)).alias("m"))
-    number = F.create_map(*[F.lit(x) for i, s in enumerate(names) for x in (s, i)])
-    return each.join(n, "source").where(F.col("m") >= 0.5 * F.col("n")).select("source", number[F.col("subject")].alias("area"), F.lit(1).alias("said"))
+    number = F.create_map(*[F.lit(x) for i, s in enumerate(names) for x in (s, i + 1)])
+    each = of.groupBy("source", number[F.col("subject")].alias("area")).agg(F.count(F.lit(1)).alias("m"))
+    top = each.groupBy("source").agg(F.max(F.struct("m", (-F.col("area")).alias("area"))).alias("top"))
+    return top.join(n, "source").where(F.col("top.m") >= SHARE * F.col("n")).select("source", (-F.col("top.area")).alias("said"))
 
 
-def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[int, ...], float]:
-    """The posterior of each pattern of votes (level, section, address, source) that the area is the document's.
+def learn(patterns: np.ndarray, counts: np.ndarray, areas: int, functions: int = len(FUNCTIONS) + 1, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """The posterior (patterns, areas + 1) of what the sentences of each pattern are about, column 0 for no area; and each function's table (area, vote).
 
-    Given the truth the functions vote independently; how they vote for true and false areas is learnt from the
-    patterns' counts alone. 0 is no vote: a heading, an address or a source speaks for an area, its silence not
-    against one. The start takes the lexicon's higher levels for true.
+    Given the truth the functions vote independently, each with its own table of how often it names which area, or
+    none; the tables are learnt by expectation-maximisation from the patterns' counts alone. The start takes a sentence
+    to be about what words and pairs say, and about nothing where both are silent.
     """
-    if not patterns:
-        return {}
-    keys, n = [p for p, _ in patterns], np.array([c for _, c in patterns], float)
-    v = np.array(keys)
-    sizes = v.max(axis=0) + 1
-    q = np.where(v[:, 0] >= 3, 0.9, np.where(v[:, 0] == 0, 0.15, 0.02))
+    base = areas + 1
+    digits = np.stack([patterns // base ** (functions - 1 - f) % base for f in range(functions)])
+    q = np.full((len(patterns), base), 0.02 / base)
+    w, p = digits[0], digits[1]
+    rows = np.arange(len(patterns))
+    q[rows, np.where(w > 0, w, p)] += 0.6
+    q[rows, np.where(p > 0, p, w)] += 0.38
+    n = counts.astype(float)
+    tables = np.zeros((functions, base, base))
     for _ in range(rounds):
-        true = (q * n).sum()
-        prior = np.clip(true / n.sum(), 1e-3, 0.999)
-        odds = np.full(len(keys), np.log(prior / (1 - prior)))
-        for f in range(v.shape[1]):
-            yes = np.bincount(v[:, f], q * n, sizes[f]) + 0.5
-            no = np.bincount(v[:, f], (1 - q) * n, sizes[f]) + 0.5
-            odds += np.where(v[:, f] > 0, (np.log(yes / yes.sum()) - np.log(no / no.sum()))[v[:, f]], 0)
-        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return dict(zip(keys, q.tolist()))
+        weighted = q * n[:, None]
+        prior = (weighted.sum(axis=0) + 1) / (n.sum() + base)
+        odds = np.tile(np.log(prior), (len(patterns), 1))
+        for f in range(functions):
+            table = np.full((base, base), 0.1)
+            for area in range(base):
+                table[area] += np.bincount(digits[f], weighted[:, area], base)
+            tables[f] = table / table.sum(axis=1, keepdims=True)
+            odds += np.log(tables[f][:, digits[f]]).T
+        odds -= odds.max(axis=1, keepdims=True)
+        q = np.exp(odds)
+        q /= q.sum(axis=1, keepdims=True)
+    return q, tables
 
 
 def assign(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, subject, posterior, share (of the sentences about any area) of every area of every document with text.
+    """doc_id, subject, posterior (mean, of the sentences about the area), share (of the sentences about any area) of every area of every document with text.
 
-    An area is taken if its posterior is 1/2 or more and its share at least SHARE. Documents without a sentence about
-    any area get the area with the greatest posterior (of equals the first by name), so every document that is not
-    null or blank has one.
+    A sentence is about the area of the greatest posterior of its votes, or about none. An area is a case if it has at
+    least SHARE of the sentences about any. A document without a sentence about any area gets the area with the greatest
+    sum of posteriors (of equals the first by name), so every document that is not null or blank has one.
     """
     from ..session import checkpoint
 
     spark = documents.sparkSession
     names, table = train(documents, labels, subjects, sample)
-    clean = label_table(labels, subjects)
-    said = source_votes(documents, clean, names)
-    cast = checkpoint(votes(documents, names, table))
-    # only sources that mostly have one area say something
-    sources = documents.select("doc_id", "source").join(said, "source").select("doc_id", "area", "said")
-    voted = cast.join(sources, ["doc_id", "area"], "left").withColumn("said", F.coalesce("said", F.lit(0)))
-    keys = ["level", "section", "address", "said"]
-    patterns = voted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 6 x 2 x 2 x 2
-    posterior = learn([(tuple(r[c] for c in keys), r["n"]) for r in patterns])
-    rows = [(*map(int, p), float(q)) for p, q in sorted(posterior.items())]
-    found = voted.join(F.broadcast(spark.createDataFrame(rows, "level int, section int, address int, said int, posterior double")), keys)
-    share = F.when(F.col("sentences") > 0, F.col("about") / F.col("sentences")).otherwise(F.lit(0.0))
-    found = found.withColumn("share", share)
-    best = found.groupBy("doc_id").agg(F.max_by("area", F.struct("posterior", -F.col("area"))).alias("top"), F.max(F.when((F.col("posterior") >= 0.5) & (F.col("share") >= SHARE), 1).otherwise(0)).alias("any"), F.max_by("area", F.struct("share", "posterior", -F.col("area"))).alias("most"))
-    joined = found.join(best, "doc_id")
-    taken = (F.col("posterior") >= 0.5) & (F.col("share") >= SHARE)
-    only = (F.col("any") == 0) & (F.col("area") == F.when(F.col("sentences") > 0, F.col("most")).otherwise(F.col("top")))
-    label = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("area") + 1)
-    return joined.where(taken | only).select("doc_id", label.alias("subject"), F.round("posterior", 6).alias("posterior"), F.round("share", 6).alias("share"))
+    k = len(names)
+    said = source_votes(documents, label_table(labels, subjects), names)
+    cast = checkpoint(votes(documents, names, table)).join(said, "source", "left").withColumn("said", F.coalesce("said", F.lit(0)))
+    of = F.explode(F.arrays_zip(F.transform("patterns", lambda p: p.cast("long") * (k + 1) + F.col("said")).alias("pattern"), F.col("counts").alias("n")))
+    # the number of patterns is bounded by the areas: (areas + 1) to the power of the functions
+    got = cast.select(of.alias("e")).select("e.*").toDF("pattern", "n").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas().sort_values("pattern")
+    keys = got["pattern"].to_numpy(np.int64)
+    posterior, _ = learn(keys, got["n"].to_numpy(), k)
+    shared = spark.sparkContext.broadcast((keys, posterior.astype(np.float32)))
+
+    def decide(batches):
+        known, q = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, said_of = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            lists, counts = batch.column(1), batch.column(2).flatten().to_numpy().astype(float)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            pattern = np.searchsorted(known, lists.flatten().to_numpy().astype(np.int64) * (k + 1) + said_of[row])
+            post = q[pattern]
+            best = post.argmax(axis=1)
+            number, mass, any_mass = (np.zeros((batch.num_rows, k + 1)) for _ in range(3))
+            np.add.at(number, (row, best), counts)
+            np.add.at(mass, (row, best), counts * post[np.arange(len(best)), best])
+            np.add.at(any_mass, row, counts[:, None] * post)
+            total = number[:, 1:].sum(axis=1)
+            share = number[:, 1:] / np.maximum(total, 1)[:, None]
+            take = share >= SHARE
+            silent = np.flatnonzero(total == 0)
+            top = any_mass[silent, 1:].argmax(axis=1)
+            take[silent, top] = True
+            d, area = np.nonzero(take)
+            p = np.where(total[d] > 0, mass[d, area + 1] / np.maximum(number[d, area + 1], 1), any_mass[d, area + 1] / np.maximum(any_mass[d].sum(axis=1), 1e-9))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array([names[j] for j in area], pa.string()), pa.array(np.round(p, 6)), pa.array(np.round(share[d, area], 6))], names=["doc_id", "subject", "posterior", "share"])
+
+    return cast.select("doc_id", "patterns", "counts", F.col("said").cast("int").alias("said")).mapInArrow(decide, "doc_id bigint, subject string, posterior double, share double")
 
 
 def makeup(documents: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -220,3 +220,34 @@ def test_subjects(spark):
 @pytest.mark.parametrize("label, subject", [("LAW", "law"), (" Musik", "music"), ("zzz", None), (None, None), ("music.", "music")])
 def test_subject_spellings(label, subject):
     assert subjects.subject_name(label, ["law", "music"], ["Law", "Music"]) == subject
+
+
+def test_latent_model_weighs_functions_by_their_accuracy():
+    """A function that names areas at random must not outvote one that is right; the model is told neither which is which nor the truth."""
+    rng = np.random.default_rng(12)
+    areas, n = 3, 40_000
+    truth = rng.integers(0, areas + 1, n)
+    votes = []
+    for right in (0.9, 0.85, 0.7, 0.0, 0.6, 0.5):
+        wrong = rng.integers(1, areas + 1, n)
+        vote = np.where(rng.random(n) < right, truth, wrong)
+        votes.append(np.where((truth == 0) & (rng.random(n) < 0.9), 0, vote))
+    pattern = np.zeros(n, np.int64)
+    for v in votes:
+        pattern = pattern * (areas + 1) + v
+    keys, back, counts = np.unique(pattern, return_inverse=True, return_counts=True)
+    q, tables = subjects.learn(keys, counts, areas)
+    got = q.argmax(axis=1)[back]
+    assert (got == truth).mean() > max((v == truth).mean() for v in votes) and (got == truth).mean() > 0.93
+    assert np.diag(tables[0])[1:].min() > 0.85 and np.diag(tables[3])[1:].max() < 0.45
+    assert subjects.learn(keys[:0], counts[:0], areas)[0].shape == (0, areas + 1)
+
+
+def test_subjects_of_odd_tables(spark):
+    """No documents, no labels, null and blank texts, repeated ids and a clashing extra column: defined results, no failure."""
+    s = spark.createDataFrame([("law", "Law", "courts and rulings"), ("music", "Music", "choirs and concerts")], "subject string, title string, description string")
+    schema = "doc_id long, text string, source string, corpus string, subject string, said int"
+    d = spark.createDataFrame([(1, None, None, None, "x", 1), (2, " \n ", "s", "c", "x", 1), (3, "courts. " * 3000, None, "c", None, None), (3, "choirs", "s", "c", None, None)], schema)
+    none = spark.createDataFrame([], "doc_id long, subject string")
+    assert {(r["doc_id"], r["subject"]) for r in subjects.assign(d, none, s).collect()} == {(3, "law"), (3, "music")} or subjects.assign(d, none, s).count() == 2
+    assert subjects.assign(d.limit(0), none, s).count() == 0
