@@ -30,6 +30,12 @@ SENTENCE_IMPORTANCE, SENTENCE_LETTERS = 0.45, 45
 #: What separates the parts of a line.
 PARTS = r"\s*[·|/>–]\s*|\s{2,}|\s*:\s"
 
+#: A cheap sign that a line may have parts.
+SOME_PARTS = r"[·|/>–:]|\s\s"
+
+#: Sources whose names are broadcast (some 60 bytes each); more are joined.
+NAMES = 100_000
+
 #: Lines below the title, before its first sentence, that are the head of a page, and the share of a node's places there from which it belongs to it.
 HEAD, HEAD_SHARE = 3, 0.7
 
@@ -65,24 +71,25 @@ def nodes(pages: DataFrame) -> DataFrame:
     flags, and parts (keys of the parts of a line with separators). contents: the different keys with the number of
     their letters.
     """
-    named = pages.join(_names(pages), "source", "left").select("row_id", F.xxhash64("source").alias("site"), F.lower("text").alias("t"), F.coalesce("name", F.lit("")).alias("name"))
-    split = F.filter(F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(i.alias("no"), F.regexp_replace(x, r"^[\s\u00a0]+|[\s\u00a0]+$", "").alias("x"))), lambda e: e["x"] != "")
-
-    def line(e):
-        words = F.split(F.trim(F.regexp_replace(e["x"], r"[^\p{L}]+", " ")), " ")
-        parts = F.filter(F.split(e["x"], PARTS), lambda p: p.rlike(r"\p{L}"))
-        bare = F.regexp_replace(e["x"], r"[\s•»›—*…|·«‹]+$", "")
-        flags = F.when(bare.rlike(r"[.!?;,]$"), ENDS).otherwise(0) + F.when(e["x"].rlike(r"^\p{L}"), LETTER).otherwise(0) + (F.size(F.split(e["x"], r"\s>\s")) - 1) * TRAIL
-        return F.struct(e["no"].alias("no"), words.alias("w"), F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>")).alias("p"), flags.alias("flags"))
+    names = checkpoint(_names(pages))
+    names = F.broadcast(names) if names.count() <= NAMES else names
+    named = pages.join(names, "source", "left").select("row_id", F.xxhash64("source").alias("site"), F.lower("text").alias("t"), F.coalesce("name", F.lit("")).alias("name"))
+    blank = F.lit(" \t\r\x0b\x0c\u00a0")
+    split = F.filter(F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(i.alias("no"), F.trim(x, blank).alias("x"))), lambda e: e["x"] != "")
+    bare = lambda x: F.replace(F.regexp_replace(x, r"[^\p{L}]+", ""), F.col("name"))
 
     def known(e):
-        l = F.replace(F.array_join(e["w"], ""), F.col("name"))  # noqa: E741
-        parts = F.transform(F.transform(e["p"], lambda p: F.replace(letters(p), F.col("name"))), lambda p: F.struct(F.xxhash64(p).alias("key"), F.length(p).alias("letters")))
-        key = F.when(l == "", F.lit(0).cast("long")).otherwise(F.xxhash64(l))
-        return F.struct(e["no"].alias("no"), F.struct(key.alias("key"), F.length(l).alias("letters")).alias("whole"), F.xxhash64(F.slice(e["w"], 1, 2)).alias("lead"), e["flags"].alias("flags"), parts.alias("p"))
+        x = e["x"]
+        parts = F.when(x.rlike(SOME_PARTS), F.filter(F.split(x, PARTS), lambda p: p.rlike(r"\p{L}")))
+        flags = F.when(x.rlike(r"[.!?;,][\s•»›—*…|·«‹]*$"), ENDS).otherwise(0) + F.when(x.rlike(r"^\p{L}"), LETTER).otherwise(0) + F.when(x.contains(" > "), (F.size(F.split(x, r"\s>\s")) - 1) * TRAIL).otherwise(0)
+        return F.struct(e["no"].alias("no"), bare(x).alias("l"), F.xxhash64(F.regexp_replace(F.regexp_extract(x, r"^[^\p{L}]*\p{L}+(?:[^\p{L}]+\p{L}+)?", 0), r"[^\p{L}]+", " ")).alias("lead"), flags.alias("flags"), parts.alias("p"))
+
+    def keyed(e):
+        node = lambda l: F.struct(F.when(l == "", F.lit(0).cast("long")).otherwise(F.xxhash64(l)).alias("key"), F.length(l).alias("letters"))  # noqa: E731, E741
+        return F.struct(e["no"].alias("no"), node(e["l"]).alias("whole"), e["lead"].alias("lead"), e["flags"].alias("flags"), F.when(F.size(e["p"]) > 1, F.transform(F.transform(e["p"], bare), node)).otherwise(F.array().cast("array<struct<key:bigint,letters:int>>")).alias("p"))
 
-    each = named.select("row_id", "site", "name", F.transform(split, line).alias("s"))
-    each = each.select("row_id", "site", F.transform("s", known).alias("s"))
+    each = named.select("row_id", "site", "name", F.transform(split, known).alias("s"))
+    each = each.select("row_id", "site", F.transform("s", keyed).alias("s"))
     contents = F.filter(F.array_distinct(F.flatten(F.transform("s", lambda e: F.concat(F.array(e["whole"]), e["p"])))), lambda c: c["key"] != 0)
     take = lambda f: F.transform("s", f)
     return each.select(
