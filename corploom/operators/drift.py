@@ -20,9 +20,6 @@ HASHES = 12
 #: Score from which a field that left and one that came are the same.
 SAME = 0.5
 
-#: Rounds in which types are carried over renames of fields that hold nulls only.
-CARRY_ROUNDS = 3
-
 #: Kinds of JSON values by the name of their variant type.
 KINDS = {"STRING": "string", "BIGINT": "integer", "DOUBLE": "fraction", "FLOAT": "fraction", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
 
@@ -57,8 +54,7 @@ def field_values(records: DataFrame) -> DataFrame:
     Records that are null, not JSON or not an object have no fields.
     """
     parsed = records.select("feed", "file_no", F.try_parse_json("record_json").alias("v")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
-    parsed.createOrReplaceTempView("_corploom_parsed")
-    each = parsed.sparkSession.sql("SELECT feed, file_no, e.key AS field, e.value AS v FROM _corploom_parsed, LATERAL variant_explode(v) AS e")
+    each = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("field"), F.col("value").alias("held"))).select("feed", "file_no", "field", F.col("held").alias("v"))
     raw = F.regexp_extract(F.expr("schema_of_variant(v)"), "^([A-Z]+)", 1)
     text = F.expr("cast(v as string)")
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[raw]
@@ -216,7 +212,7 @@ def changes(records: DataFrame) -> DataFrame:
     there = profile.select("feed", "file_no", "field", "kind")
     back = files.select("feed", F.col("file_no").alias("at"), F.col("before").alias("file_no")).where("file_no is not null")
 
-    carried = _carry(there, files, renamed)
+    carried = _carry(chains(there, files, renamed))
     then = carried.join(back, ["feed", "file_no"]).select("feed", F.col("at").alias("file_no"), F.col("field").alias("old"), F.col("kind").alias("old_kind"))
     now = carried.join(files.where("before is not null").select("feed", "file_no"), ["feed", "file_no"]).join(renamed.withColumnRenamed("new", "field"), ["feed", "file_no", "field"], "left")
     now = now.withColumn("is_renamed", F.col("old").isNotNull()).withColumn("old", F.coalesce("old", "field"))
@@ -231,22 +227,64 @@ def changes(records: DataFrame) -> DataFrame:
     return both.select("feed", "file_no", F.coalesce("field", "old").alias("field_name"), F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("change_kind"))
 
 
-def _carry(there: DataFrame, files: DataFrame, renamed: DataFrame) -> DataFrame:
-    """there with the kind of fields of nulls only filled from their earlier files, across renames as well."""
+def chains(there: DataFrame, files: DataFrame, renamed: DataFrame) -> DataFrame:
+    """there with root and since: the field and file with which the chain of renames that a field stands in began (since null: from the start).
+
+    A name that was left by a rename and is used again begins anew. The chains, however long, are followed by doubling:
+    every round halves what is left of them, and only the renames themselves are joined.
+    """
+    from ..session import checkpoint
+
+    events = renamed.select("feed", "file_no", F.explode(F.array("old", "new")).alias("field")).distinct()
     line = Window.partitionBy("feed", "field").orderBy("file_no", "given").rowsBetween(Window.unboundedPreceding, 0)
-    known = there.withColumn("given", F.lit(1))
-
-    def filled(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("kind", F.last("kind", ignorenulls=True).over(line)).where("given = 1").drop("given")
-
-    out = filled(known)
-    for _ in range(CARRY_ROUNDS):
-        before = files.where("before is not null").select("feed", "file_no", "before")
-        moved = renamed.join(before, ["feed", "file_no"]).select("feed", "file_no", "old", "new", "before")
-        was = out.select("feed", F.col("file_no").alias("before"), F.col("field").alias("old"), "kind")
-        seeds = moved.join(was, ["feed", "before", "old"]).select("feed", "file_no", F.col("new").alias("field"), "kind", F.lit(0).alias("given"))
-        out = filled(known.unionByName(seeds))
-    return out
+    both = there.withColumn("given", F.lit(1)).withColumn("event", F.lit(None).cast("int"))
+    both = both.unionByName(events.select("feed", "file_no", "field", F.lit(0).alias("given"), F.col("file_no").alias("event")), allowMissingColumns=True)
+    rows = both.withColumn("since", F.last("event", ignorenulls=True).over(line)).where("given = 1").drop("given", "event")
+    before = files.where("before is not null").select("feed", "file_no", "before")
+    was = rows.select("feed", F.col("file_no").alias("before"), F.col("field").alias("old"), F.col("since").alias("to_since"))
+    links = renamed.join(before, ["feed", "file_no"]).join(was, ["feed", "before", "old"])
+    links = checkpoint(links.select("feed", F.col("new").alias("field"), F.col("file_no").alias("since"), F.col("old").alias("to"), "to_since"))
+    while True:
+        r = links.select(F.col("feed").alias("f"), F.col("field").alias("g"), F.col("since").alias("s"), F.col("to").alias("further"), F.col("to_since").alias("further_since"))
+        met = (F.col("feed") == F.col("f")) & (F.col("to") == F.col("g")) & F.col("to_since").eqNullSafe(F.col("s"))
+        joined = checkpoint(links.join(r, met, "left"))
+        links = joined.select("feed", "field", "since", F.coalesce("further", "to").alias("to"), F.when(F.col("g").isNotNull(), F.col("further_since")).otherwise(F.col("to_since")).alias("to_since"))
+        if joined.where("g is not null").isEmpty():
+            break
+    ends = links.select("feed", "field", "since", F.col("to").alias("root"), F.col("to_since").alias("root_since"))
+    placed = rows.join(ends, ["feed", "field", "since"], "left")
+    return placed.select(*there.columns, F.when(F.col("root").isNull(), F.col("since")).otherwise(F.col("root_since")).alias("since"), F.coalesce("root", "field").alias("root"))
+
+
+def _carry(chained: DataFrame) -> DataFrame:
+    """feed, file_no, field, kind: the kind of fields of nulls only is that of their earlier files, across any number of renames."""
+    line = Window.partitionBy("feed", "root", "since").orderBy("file_no").rowsBetween(Window.unboundedPreceding, 0)
+    return chained.select("feed", "file_no", "field", F.last("kind", ignorenulls=True).over(line).alias("kind"))
+
+
+def field_links(records: DataFrame) -> DataFrame:
+    """feed, file_no, links: for each file with any, which column its fields belong to that only their chain of renames tells (field -> column).
+
+    A field whose own name is a column's, now or formerly, needs no link. Of a chain with several columns' names the
+    first counts. Links are by file, so a name that is used again for something else later is not mapped.
+    """
+    from ..session import checkpoint
+
+    records = records.select("feed", "file_no", "record_json").where("feed is not null and file_no is not null")
+    files = checkpoint(records.select("feed", "file_no").distinct().withColumn("before", F.lag("file_no").over(Window.partitionBy("feed").orderBy("file_no"))))
+    profile = checkpoint(profiles(records))
+    renamed = checkpoint(renames(profile, files))
+    chained = checkpoint(chains(profile.select("feed", "file_no", "field"), files, renamed)).withColumn("to", _canonical(F.col("field")))
+    first = chained.where("to is not null").groupBy("feed", "root", "since").agg(F.min_by("to", F.struct("file_no", "field")).alias("of"))
+    same = (F.col("a.feed") == F.col("b.feed")) & (F.col("a.root") == F.col("b.root")) & F.col("a.since").eqNullSafe(F.col("b.since"))
+    need = chained.where("to is null").alias("a").join(first.alias("b"), same).select("a.feed", "a.file_no", "a.field", "b.of")
+    return need.groupBy("feed", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "of"))).alias("links"))
+
+
+def unreadable(records: DataFrame) -> DataFrame:
+    """feed, file_no, unreadable: how many records of each file are null, not JSON or no JSON object; files without any have no row."""
+    bad = F.from_json("record_json", "map<string,string>").isNull()
+    return records.groupBy("feed", "file_no").agg(F.count_if(bad).alias("unreadable")).where("unreadable > 0")
 
 
 def plain_name(c):
@@ -276,27 +314,31 @@ def _date(c):
     return F.when(c.rlike(r"^\d{8}$"), F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise(c)
 
 
-def unify_records(records: DataFrame, renamed: DataFrame | None = None) -> DataFrame:
-    """raw_records as rows of the current layout, with origin (the feed), file_no and line_no.
+def unify_records(records: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """raw_records as rows of the current layout, with origin (the feed), file_no and line_no; every record gives one row.
 
-    A field goes to the column whose name (or former name) it has; a field that was renamed from such a field goes
-    there too; what fits no column is kept in meta under its own name. Values of another type are cast, those that
-    cannot be are null. content_sha256 is computed from the text.
+    A field goes to the column whose name (or former name) it has; a field that was renamed from such a field, over any
+    number of files, goes there too (links: field_links(records)). Of several fields of one record that belong to one
+    column, the column's own name comes first, then the first by name, fields with a value before nulls; the others and
+    what fits no column are kept in meta under their own names. Values of another type are cast, those that cannot be
+    are null. content_sha256 is computed from the text. A record that is null, not JSON or no JSON object gives a row of
+    nulls with the record itself in meta (see unreadable).
     """
-    rows = records.select("feed", "file_no", "line_no", F.from_json("record_json", "map<string,string>").alias("m")).where("m is not null")
+    rows = records.select("feed", "file_no", "line_no", "record_json", F.from_json("record_json", "map<string,string>").alias("m"))
     target = _canonical
-    if renamed is not None:
-        known = renamed.withColumn("to", _canonical(F.col("old"))).where(F.col("to").isNotNull() & _canonical(F.col("new")).isNull())
-        links = known.groupBy("feed", "new").agg(F.min("to").alias("to")).groupBy("feed").agg(F.map_from_entries(F.collect_list(F.struct("new", "to"))).alias("links"))
-        rows = rows.join(links, "feed", "left")
+    if links is not None:
+        rows = rows.join(links, ["feed", "file_no"], "left")
         target = lambda k: F.coalesce(_canonical(k), F.col("links")[k])
-    rows = rows.withColumn("e", F.transform(F.map_entries("m"), lambda x: F.struct(target(x["key"]).alias("to"), x["key"].alias("field"), x["value"].alias("value"))))
+    entry = lambda x: F.struct(target(x["key"]).alias("to"), x["value"].isNull().alias("empty"), (x["key"] != target(x["key"])).alias("other"), x["key"].alias("field"), x["value"].alias("value"))
+    rows = rows.withColumn("e", F.array_sort(F.transform(F.map_entries("m"), entry)))
+    rows = rows.withColumn("e", F.transform("e", lambda x, i: F.struct(F.when((i > 0) & (F.get("e", i - 1)["to"] == x["to"]), None).otherwise(x["to"]).alias("to"), x["field"].alias("field"), x["value"].alias("value"))))
     rest = F.map_from_entries(F.transform(F.filter("e", lambda x: x["to"].isNull()), lambda x: F.struct(x["field"], x["value"])))
     first = lambda n: F.get(F.filter("e", lambda x: x["to"] == n), F.lit(0))["value"]
-    wide = rows.select("feed", "file_no", "line_no", *[first(n).alias(n) for n in NAMES], rest.alias("_rest"))
+    wide = rows.select("feed", "file_no", "line_no", "record_json", F.col("m").isNull().alias("_bad"), *[first(n).alias(n) for n in NAMES], rest.alias("_rest"))
     c = {n: F.col(n) for n in NAMES}
     rest = F.when(F.size("_rest") > 0, F.to_json("_rest"))
     meta = F.when(rest.isNull(), c["meta"]).when(c["meta"].isNull(), rest).otherwise(F.concat(F.lit('{"meta":'), F.when(F.try_parse_json("meta").isNotNull(), c["meta"]).otherwise(F.to_json(F.struct("meta"))), F.lit(',"other":'), rest, F.lit("}")))
+    meta = F.when(F.col("_bad"), F.col("record_json")).otherwise(meta)
     return wide.select(
         F.col("feed").alias("origin"), F.col("file_no"), F.col("line_no"),
         F.when(c["text"].isNotNull(), F.unhex(F.sha2("text", 256))).alias("content_sha256"), "text", "source", "source_name", "license", "license_raw", "language",

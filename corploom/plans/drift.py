@@ -21,19 +21,16 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
     """All records and layouts as one table of the current layout."""
     records = table(spark, sf, "raw_records")
-    from pyspark.sql import Window
-
-    files = records.select("feed", "file_no").distinct().withColumn("before", F.lag("file_no").over(Window.partitionBy("feed").orderBy("file_no")))
-    renamed = drift.renames(drift.profiles(records), files)
-    parts = [drift.unify_records(records, renamed), *[drift.unify_layout(table(spark, sf, t), t) for t in LAYOUTS]]
+    parts = [drift.unify_records(records, drift.field_links(records)), *[drift.unify_layout(table(spark, sf, t), t) for t in LAYOUTS]]
     return reduce(DataFrame.unionByName, parts)
 
 
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Every change: between files of feeds, and between the layouts."""
+    """Every change: between files of feeds, and between the layouts; and how many records of a file could not be read (field_name null)."""
     found = p5_found(spark, sf).select("feed", F.col("file_no").cast("string").alias("version"), "field_name", "change_kind")
     rows = [("layouts", f"{a} -> {b}", f, k) for a, b, f, k in drift.layout_changes([(t, table(spark, sf, t).select(*[c for c in table(spark, sf, t).columns if t != "text_rows" or c not in ("row_id", "shard_id", "row_no", "received_at")])) for t in LAYOUTS])]
-    return found.unionByName(spark.createDataFrame(rows, "feed string, version string, field_name string, change_kind string"))
+    bad = drift.unreadable(table(spark, sf, "raw_records")).select("feed", F.col("file_no").cast("string").alias("version"), F.lit(None).cast("string").alias("field_name"), F.concat(F.col("unreadable"), F.lit(" unreadable")).alias("change_kind"))
+    return found.unionByName(bad).unionByName(spark.createDataFrame(rows, "feed string, version string, field_name string, change_kind string"))
 
 
 def queries() -> dict:

@@ -37,6 +37,42 @@ def test_nulls_keep_the_type_across_a_rename(spark):
     assert found(frame(spark, {1: a, 2: b, 3: c})) == {(2, "n_tokens", "renamed"), (3, "n_tokens", "retyped")}
 
 
+def test_types_over_many_renames_of_nulls(spark):
+    """Six renames of a field of nulls, then values of another type: it is still known that they were numbers."""
+    names = ["tokens", "tokens_a", "tokens_b", "tokens_c", "tokens_d", "tokens_e", "tokens_f"]
+    files = {1: [{"tokens": i, "id": "a"} for i in range(9)]} | {no + 2: [{n: None, "id": "a"}] for no, n in enumerate(names[1:])} | {9: [{"tokens_f": "seven", "id": "a"}]}
+    want = {(no + 2, n, "renamed") for no, n in enumerate(names[1:])} | {(9, "tokens_f", "retyped")}
+    assert found(frame(spark, files)) == want
+
+
+def test_a_name_used_again_begins_anew(spark):
+    a = [{"tokens": i, "id": "a"} for i in range(9)]
+    b = [{"n_tokens": i, "id": "a"} for i in range(9)]
+    c = [{"n_tokens": i, "id": "a", "tokens": "x y"} for i in range(9)]
+    assert found(frame(spark, {1: a, 2: b, 3: c})) == {(2, "n_tokens", "renamed"), (3, "tokens", "added")}
+
+
+def test_values_of_a_chain_of_renames_are_kept(spark):
+    """language -> zunge -> spr: the values stay in the column, and a surplus field of the column goes to meta."""
+    say = lambda i: ["en", "fr", "de", "es"][i % 4]
+    a = [{"language": say(i), "text": f"t{i}"} for i in range(30)]
+    b = [{"zunge": say(i), "text": f"t{i}"} for i in range(30)]
+    c = [{"spr": say(i), "text": f"t{i}"} for i in range(30)] + [{"spr": "de", "lang": "nl", "text": "both", "body": None}]
+    df = frame(spark, {1: a, 2: b, 3: c})
+    got = drift.unify_records(df, drift.field_links(df)).collect()
+    assert len(got) == 91 and sum(r["language"] is not None for r in got) == 91
+    both = next(r for r in got if r["text"] == "both")
+    assert {both["language"]} | set(json.loads(both["meta"]).values()) == {"de", "nl"} | ({None} & set(json.loads(both["meta"]).values()))
+
+
+def test_unreadable_records_are_reported(spark):
+    df = frame(spark, {1: [{"text": "a"}, "not json", None, "[1]"], 2: [{"text": "b"}]})
+    got = {(r["file_no"], r["line_no"]): r for r in drift.unify_records(df, drift.field_links(df)).collect()}
+    assert len(got) == 5 and got[1, 1]["meta"] == "not json" and got[1, 1]["text"] is None and got[1, 2]["meta"] is None and got[1, 0]["text"] == "a"
+    assert [(r["file_no"], r["unreadable"]) for r in drift.unreadable(df).collect()] == [(1, 3)]
+    assert drift.unify_records(df.limit(0), drift.field_links(df.limit(0))).count() == 0
+
+
 def test_unreadable_records_and_empty_tables(spark):
     assert found(frame(spark, {1: [{"a": 1}, "not json", None, "[1]"], 2: ['{"a": 2}', ""]})) == set()
     assert drift.changes(frame(spark, {1: [{}]}).limit(0)).count() == 0
