@@ -251,3 +251,24 @@ def test_subjects_of_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, subject string")
     assert {(r["doc_id"], r["subject"]) for r in subjects.assign(d, none, s).collect()} == {(3, "law"), (3, "music")} or subjects.assign(d, none, s).count() == 2
     assert subjects.assign(d.limit(0), none, s).count() == 0
+
+
+def test_names_in_small_letters_and_telephones_after_addresses(held_out):
+    model = personal.train(held_out[:1500])
+    given = max((g for g in model.letters.small_givens if g.isalpha()), key=lambda g: model.letters.givens[g])
+    family = max((f for f in model.letters.families if f.isalpha() and f not in model.letters.small), key=lambda f: model.letters.families[f])
+    texts = [f"From: {given} {family} <x@y.test>", f"written by {given} k. {family}, later", f"see {given}.{family}@y.test", f"{given} and others", f"From: {given.upper()} {family.upper()} <x@y.test>"]
+    got = [[(k, t[a:b]) for k, a, b, _ in r if k == "name"] for t, r in zip(texts, personal.find(model, texts))]
+    assert got[0] == [("name", f"{given} {family}")] and got[1] == [("name", f"{given} k. {family}")] and got[2] == got[3] == [] and got[4] == [("name", f"{given} {family}".upper())]
+    calls = ["write to a.b@c.test or 030/23125953.", "12 Harbour Lane, 00999 4100 5408", "call 07700 900 362 now", "Docket 495.3710 replaced 7913-45/96"]
+    got = [[(k, t[a:b]) for k, a, b, _ in r] for t, r in zip(calls, personal.find(model, calls))]
+    assert ("phone", "030/23125953") in got[0] and got[1] == [("address", "12 Harbour Lane"), ("phone", "00999 4100 5408")] and got[2] == [("phone", "07700 900 362")] and got[3] == []
+
+
+def test_address_trees_know_decoys(held_out):
+    """A street without a number, a year before a street that is a place, and a house named after a street are no addresses."""
+    model = personal.train(held_out[:1500])
+    assert model.trees["address"] is not None
+    texts = ["Ann lives at 12 Harbour Lane, 00945 Port.", "Originals go to Flat 3, 77b Mill Road.", "As early as in 1934 Harbour Lane was closed.", "They met in Harbour Lane before noon.", "Calle Mayor 135, 2.º B", "wohnhaft Hafenstraße 97."]
+    got = [[(k, t[a:b]) for k, a, b, _ in r if k == "address"] for t, r in zip(texts, personal.find(model, texts))]
+    assert got == [[("address", "12 Harbour Lane, 00945 Port")], [("address", "Flat 3, 77b Mill Road")], [], [], [("address", "Calle Mayor 135, 2.º B")], [("address", "Hafenstraße 97")]]
