@@ -79,7 +79,7 @@ def date_overlaps(date: Column, begin: str | None, until: str | None) -> Column:
 
 @dataclass(frozen=True)
 class RecordFilter:
-    """A record is kept if it has main content, is not excluded, and passes every value and date condition.
+    """A record is kept if its main content is as asked (None: whatever it is), it is not excluded, and passes every value and date condition.
 
     repetitive and boilerplate exclude records whose flag equals the given value; a null flag never excludes.
     """
@@ -92,10 +92,26 @@ class RecordFilter:
     repetitive: bool | None = None
     boilerplate: bool | None = None
     exclude_licenses: list[str] = field(default_factory=list)
+    main_content: bool | None = True
+
+    def validate(self) -> None:
+        """Raises ValueError for a filter without any condition, contradictory licences, patterns that cannot be read, and dates out of order."""
+        values = (self.licenses, self.languages, self.sources)
+        if not (any(v.include or v.exclude for v in values) or self.date_from or self.date_to or self.exclude_licenses or self.repetitive is not None or self.boilerplate is not None or self.main_content is not None):
+            raise ValueError("a record filter needs at least one condition")
+        if self.exclude_licenses and (self.licenses.include or self.licenses.exclude):
+            raise ValueError("excluded licences cannot be combined with a licence filter")
+        for p in [p for v in values for p in (*v.include, *v.exclude)] + self.exclude_licenses:
+            glob_regex(p)
+        for d in (self.date_from, self.date_to):
+            if d is not None and not re.fullmatch(r"\d{4}(-\d{2}(-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2}))?)?)?", d):
+                raise ValueError(f"{d!r} is no year, month, day or instant")
+        if self.date_from and self.date_to and self.date_from[: len(self.date_to)] > self.date_to[: len(self.date_from)]:
+            raise ValueError("the first date is after the last")
 
     def predicate(self) -> Column:
         c = F.col
-        keep = F.coalesce(c("main_content"), F.lit(True))
+        keep = F.lit(True) if self.main_content is None else F.coalesce(c("main_content"), F.lit(True)) == self.main_content
         for flag, value in (("repetitive_content", self.repetitive), ("boilerplate_content", self.boilerplate)):
             if value is not None:
                 keep &= ~F.coalesce(c(flag) == value, F.lit(False))
@@ -104,3 +120,27 @@ class RecordFilter:
         if self.date_from or self.date_to:
             keep &= date_overlaps(c("date"), self.date_from, self.date_to)
         return keep
+
+
+@dataclass(frozen=True)
+class FilterPolicy:
+    """A filter for all records and further ones for single corpora: a record must pass the first and that of its corpus, if there is one."""
+
+    overall: RecordFilter | None = None
+    corpora: dict[str, RecordFilter] = field(default_factory=dict)
+
+    def validate(self, selected: list[str]) -> None:
+        """Raises ValueError if there is no filter at all, one of a corpus that is not selected, or one that is not valid itself."""
+        if self.overall is None and not self.corpora:
+            raise ValueError("a filter policy needs a filter")
+        for name in sorted(set(self.corpora) - set(selected)):
+            raise ValueError(f"the filter policy names the corpus {name!r}, which is not selected")
+        for f in ([self.overall] if self.overall else []) + list(self.corpora.values()):
+            f.validate()
+
+    def predicate(self, corpus: Column) -> Column:
+        """One predicate over the records; the corpora of the policy are compared, the others pass."""
+        keep = self.overall.predicate() if self.overall else F.lit(True)
+        for name, f in sorted(self.corpora.items()):
+            keep &= F.coalesce(corpus != name, F.lit(True)) | f.predicate()
+        return keep

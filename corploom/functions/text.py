@@ -10,7 +10,7 @@ EMAIL = r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za
 
 #: Private keys, credentials, candidates of IP addresses and telephone numbers. White space is spelled out so that engines agree.
 PRIVATE_KEY = r"(?s)-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----.*?-----END (?:[A-Z0-9 ]+ )?PRIVATE KEY-----"
-CREDENTIAL = r"""(?i)authorization[\t\n\f\r ]*:[\t\n\f\r ]*(?:bearer|basic)[\t\n\f\r ]+[A-Za-z0-9._~+/=-]+|(?:password|passwd|api[_-]?key|access[_-]?token|secret)[\t\n\f\r ]*[:=][\t\n\f\r ]*(?:"[^"\r\n]{8,}"|'[^'\r\n]{8,}'|[A-Za-z0-9_./+=-]{16,})|(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,})"""
+CREDENTIAL = r"""(?i)authorization[\t\n\f\r ]*:[\t\n\f\r ]*(?:bearer|basic)[\t\n\f\r ]+[A-Za-z0-9._~+/=-]+|(?:password|passwd|api[_-]?key|access[_-]?token|secret)[\t\n\f\r ]*[:=][\t\n\f\r ]*(?:"[^"\r\n]{8,}"|'[^'\r\n]{8,}'|[A-Za-z0-9_./+=-]{16,})|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,})\b"""
 IP = r"\[?[0-9A-Fa-f:.]*[0-9A-Fa-f][0-9A-Fa-f:.]*\]?"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{3,4}"
 
@@ -89,12 +89,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
 
-def trigrams(w: Column) -> Column:
-    """Overlapping triples of words."""
-    n = F.size(w)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))).otherwise(F.array().cast("array<string>"))
-
-
 def normalize_license(raw: Column) -> Column:
     """Known licence names, Creative Commons addresses and short names as identifiers; anything else trimmed."""
     v = F.regexp_replace(raw, rf"^{WHITE}+|{WHITE}+$", "")
@@ -151,10 +145,8 @@ def canonical_json(c: dict[str, Column]) -> Column:
 
 def byte_ids(text: Column) -> Column:
     """Ids of the byte tokenizer: every byte plus 3 (0 pads, 1 begins, 2 ends)."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    one = lambda i: F.conv(F.substring(h, i * 2 - 1, F.lit(2)), 16, 10).cast("int") + 3
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).when(n == 0, F.array().cast("array<int>"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int") + 3)
 
 
 def render(messages: Column, template: str) -> Column:

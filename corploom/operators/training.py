@@ -172,11 +172,20 @@ class SplitMix:
         return z ^ (z >> 31)
 
 
+def record_bytes(selection: Column, record: Column, text: Column, *others: Column) -> Column:
+    """What a record counts in a shuffle's buffer: seven string headers, its two ids, text, and other strings (source, licence, language, corpus)."""
+    out = F.lit(7 * 16).cast("bigint")
+    for c in (selection, record, text, *others):
+        out = out + F.coalesce(F.octet_length(c), F.lit(0))
+    return out
+
+
 def bounded_shuffle(records: DataFrame, seed: int, epoch: int = 0, most: int = 1024, most_bytes: int = 64 << 20) -> DataFrame:
     """records (corpus, shard, row, size) with ``place``, a position in the corpus's bounded shuffle: sequential by definition, one corpus per task.
 
     Shards are permuted first; then rows pass a buffer bounded by records and bytes from which a random one is drawn.
-    A record larger than the byte bound passes at once. For orders of any size use seeded_order.
+    A record larger than the byte bound passes at once. For orders of any size use seeded_order. The seeds and the
+    order of the draws are those of the named policy: another order would be another policy.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -241,8 +250,8 @@ ACCELERATORS = [
     ("Instinct MI350X", 288, 400.0, {1: 1.0, 4: 0.82, 8: 0.75}),
 ]
 
-#: Share of time beside computing, share of memory that may be used, bytes of optimiser state per parameter.
-OVERHEAD, USABLE, STATE_BYTES = 1.08, 0.9, 16
+#: Share of time beside computing, share of memory that stays free, bytes of optimiser state per parameter, of activations and logits per element, and of the runtime.
+OVERHEAD, FREE, STATE_BYTES, ACTIVATION_BYTES, LOGIT_BYTES, RUNTIME = 1.08, 10, 16, 72, 6, 4 << 30
 
 
 def accelerators(spark) -> DataFrame:
@@ -251,12 +260,180 @@ def accelerators(spark) -> DataFrame:
     return spark.createDataFrame(rows, "device string, gib int, tflops double, gpus int")
 
 
-def forecast(spark, parameters: int, tokens: int, workspace: int = 4 << 30) -> DataFrame:
-    """device, gpus, seconds, fits of a training run: 6 x parameters x tokens operations; memory of sharded state and workspace per device."""
-    need = F.ceil(F.lit(parameters * STATE_BYTES) / F.col("gpus")) + F.lit(workspace)
-    seconds = F.ceil(F.lit(6.0 * parameters * tokens) / (F.col("tflops") * 1e12) * OVERHEAD)
-    fits = need <= F.col("gib").cast("bigint") * (1 << 30) * USABLE
-    return accelerators(spark).select("device", "gpus", seconds.cast("bigint").alias("seconds"), fits.alias("fits"))
+def forecast(stages: DataFrame, shape: dict, measured: DataFrame | None = None) -> DataFrame:
+    """device, gpus, required (bytes a device), tflops, seconds, estimate of training all stages, on every accelerator that has the memory; slowest first.
+
+    stages: planned_tokens, batch_size (null counts as 1), sequence_length. shape: vocabulary, hidden, layers and the
+    arguments of decoder_parameters. A device holds its part of the sharded state (16 bytes a parameter), the
+    activations and logits of a whole batch of the largest stage, and the runtime, within nine tenths of its memory.
+    measured: device, gpus, tflops of observed runs (calibrations()), which replace the catalogue's throughput and need
+    no overhead. Without planned tokens the seconds are -1, with any at least 1.
+    """
+    parameters = decoder_parameters(**shape)
+    batch = F.coalesce("batch_size", F.lit(1)).cast("bigint") * F.col("sequence_length")
+    work = batch * F.lit(shape["hidden"] * shape["layers"] * ACTIVATION_BYTES) + batch * F.lit(shape["vocabulary"] * LOGIT_BYTES)
+    need = stages.agg(F.coalesce(F.sum("planned_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.max(work), F.lit(0)).alias("work"))
+    each = accelerators(stages.sparkSession).join(need)  # need has one row
+    if measured is not None:
+        each = each.join(measured.select(accelerator_key(F.col("device")).alias("key"), "gpus", F.col("tflops").alias("seen")), [accelerator_key(F.col("device")) == F.col("key"), each["gpus"] == measured["gpus"]], "left").drop(measured["gpus"])
+    else:
+        each = each.withColumn("seen", F.lit(None).cast("double"))
+    required = F.ceil(F.lit(parameters * STATE_BYTES) / F.col("gpus")).cast("bigint") + F.col("work") + F.lit(RUNTIME)
+    memory = F.col("gib").cast("bigint") * (1 << 30)
+    operations = F.lit(6.0 * parameters) * F.col("tokens")
+    seconds = F.ceil(F.when(F.col("seen").isNull(), operations / (F.col("tflops") * 1e12) * OVERHEAD).otherwise(operations / (F.col("seen") * 1e12))).cast("bigint")
+    seconds = F.when(F.col("tokens") > 0, F.greatest(seconds, F.lit(1).cast("bigint"))).otherwise(F.lit(-1).cast("bigint"))
+    out = each.select("device", "gpus", required.alias("required"), F.coalesce("seen", "tflops").alias("tflops"), seconds.alias("seconds"), F.when(F.col("seen").isNull(), "catalog").otherwise("observed-runs").alias("estimate"), memory.alias("memory"))
+    fits = F.col("required") <= F.col("memory") - F.floor(F.col("memory") / FREE)
+    return out.where(fits).drop("memory").orderBy(F.desc("seconds"), "device", "gpus")
+
+
+#: Families of accelerators by which spellings of a device are the same.
+FAMILIES = ("m4 max", "m5 max", "rtx pro 6000", "rtx 5090", "h100", "h200", "mi325x", "mi350x")
+
+
+def accelerator_key(device: Column) -> Column:
+    """A device's family, or else its letters and digits in lower case."""
+    low = F.lower(device)
+    out = F.regexp_replace(low, r"[^\p{L}\p{N}]", "")
+    for f in reversed(FAMILIES):
+        out = F.when(low.contains(f), f.replace(" ", "")).otherwise(out)
+    return out
+
+
+def calibrations(runs: DataFrame) -> DataFrame:
+    """device (the first spelling), gpus, runs, tflops of observed runs (device, gpus, flops, seconds): operations by time of all runs of a family and number."""
+    g = runs.where("seconds > 0").groupBy(accelerator_key(F.col("device")).alias("key"), "gpus")
+    g = g.agg(F.min("device").alias("device"), F.count(F.lit(1)).alias("runs"), F.sum("flops").alias("f"), F.sum("seconds").alias("s"))
+    return g.select("device", "gpus", "runs", (F.col("f") / F.col("s") / 1e12).alias("tflops"))
+
+
+#: Named shapes: context, vocabulary, hidden, intermediate, layers, heads, key and value heads; embeddings are tied.
+PRESETS = (
+    ("10m", 512, 259, 384, 1024, 6, 6, 2), ("35m", 1024, 259, 512, 1408, 12, 8, 2), ("90m", 2048, 259, 768, 2048, 12, 12, 4), ("300m", 2048, 100259, 1024, 2816, 24, 16, 4), ("1b", 4096, 100259, 2048, 8192, 16, 32, 8),
+    ("3b", 4096, 100259, 3072, 8192, 28, 24, 8), ("7b", 4096, 100259, 4096, 14336, 32, 32, 8), ("13b", 4096, 100259, 5120, 16384, 40, 40, 8), ("34b", 4096, 100259, 8192, 22016, 48, 64, 8), ("70b", 4096, 100259, 8192, 28672, 80, 64, 8),
+)
+
+
+def presets(spark) -> DataFrame:
+    """preset, parameters of the named shapes."""
+    rows = [(n, decoder_parameters(v, h, layers, heads, kv, i, True)) for n, _, v, h, i, layers, heads, kv in PRESETS]
+    return spark.createDataFrame(rows, "preset string, parameters long")
+
+
+def recommended(budgets: DataFrame, per_parameter: int = 20) -> DataFrame:
+    """budgets (tokens) with preset: the largest with ``per_parameter`` tokens a parameter or more, else the smallest; null without tokens."""
+    ladder = sorted((decoder_parameters(v, h, layers, heads, kv, i, True), n) for n, _, v, h, i, layers, heads, kv in PRESETS)
+    out = F.lit(ladder[0][1])
+    for parameters, name in ladder:
+        out = F.when(F.floor(F.col("tokens") / per_parameter) >= parameters, name).otherwise(out)
+    return budgets.withColumn("preset", F.when(F.col("tokens") > 0, out))
+
+
+def resolved(stages: DataFrame) -> DataFrame:
+    """stages with their settings filled in: steps, warmup_steps, checkpoint_every, evaluate_every, capacity, data_order, held_out, weight_decay, shuffle_records, shuffle_bytes.
+
+    stages: tokens, steps, epochs (at most one of tokens and the others), batch_size, sequence_length, weighted,
+    balanced. The steps hold the tokens, or are given, or follow from the epochs later (then they are null and so is
+    what hangs on them). What is contradictory or not positive has a message in ``error``.
+    """
+    one = F.coalesce("batch_size", F.lit(1)).cast("bigint") * F.col("sequence_length")
+    tokens, given, epochs = (F.coalesce(c, F.lit(0)) for c in ("tokens", "steps", "epochs"))
+    error = (
+        F.when((tokens < 0) | (given < 0), "steps and tokens must not be negative")
+        .when((tokens > 0) & ((given > 0) | (epochs > 0)), "tokens cannot be combined with steps or epochs")
+        .when((tokens == 0) & (given == 0) & (epochs == 0), "one of tokens, epochs or steps is required")
+        .when((one <= 0) | one.isNull(), "batch and sequence must be positive")
+        .when((epochs < 0) | (epochs > 1_000_000), "epochs must be in 1..1000000")
+    )
+    steps = F.when(tokens > 0, F.ceil(tokens / one)).when(given > 0, given).cast("bigint")
+    out = stages.withColumn("error", error).withColumn("steps", F.when(error.isNull(), steps))
+    n = F.col("steps")
+    # least() passes nulls over
+    warm = F.when(n.isNotNull(), F.least(F.lit(100).cast("bigint"), F.floor(n / 10)))
+    every = F.when(n.isNotNull(), F.least(F.lit(500).cast("bigint"), n))
+    order = F.when(F.col("weighted"), "corpus-weighted-shuffle-v1").when(F.col("balanced"), "corpus-balanced-shuffle-v1").otherwise("bounded-shuffle-v1")
+    return out.withColumns({
+        "warmup_steps": F.when((n > 1) & (warm == 0), F.lit(1).cast("bigint")).otherwise(warm), "checkpoint_every": every, "evaluate_every": every, "capacity": n * one, "data_order": order,
+        "held_out": F.when(F.col("weighted") | F.col("balanced"), "stratified-lowest-sha256-v1").otherwise("lowest-sha256-v1"), "weight_decay": F.lit(0.1), "shuffle_records": F.lit(1024), "shuffle_bytes": F.lit(64 << 20),
+    })
+
+
+def training_targets(texts: DataFrame, held: DataFrame, epochs: int = 1) -> DataFrame:
+    """records, held_out (their bytes), targets: byte targets over the epochs of what is not held out, but for the first token of all.
+
+    texts: id, text; held: id. The end token of a record is no target here, unlike in byte_targets.
+    """
+    flagged = texts.join(held.select("id", F.lit(True).alias("_held")), "id", "left").withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)))
+    kept = F.sum(F.when(F.col("_held").isNull(), F.col("n")).otherwise(0))
+    out = flagged.agg(F.count_if(F.col("_held").isNull()).alias("records"), F.coalesce(F.sum(F.when(F.col("_held"), F.col("n"))), F.lit(0)).cast("bigint").alias("held_out"), kept.cast("bigint").alias("kept"))
+    return out.select("records", "held_out", F.when(F.col("kept") >= 2, F.col("kept") * epochs - 1).alias("targets"))
+
+
+def epoch_steps(records: DataFrame, batch: int, length: int, epochs: int = 1) -> DataFrame:
+    """sequences, steps of an epoch stream of records (tokens; each with an end token) packed continuously into windows of ``length`` targets.
+
+    Every token but the first of all is a target, so a last window with any target counts, and a last batch that is not full.
+    """
+    n = F.coalesce(F.sum(F.col("tokens") + 1), F.lit(0)) * epochs
+    sequences = F.when(n > 1, F.ceil((n - 1) / length)).otherwise(0).cast("bigint")
+    return records.agg(sequences.alias("sequences")).select("sequences", F.ceil(F.col("sequences") / batch).cast("bigint").alias("steps"))
+
+
+def consumption(records: DataFrame) -> DataFrame:
+    """corpus, targets of a pass over records (corpus, seq, tokens) in the order of seq: every token and end token but the first of all."""
+    least = records.agg(F.min("seq").alias("least"))  # one row
+    each = records.join(F.broadcast(least)).withColumn("n", F.col("tokens") + 1 - (F.col("seq") == F.col("least")).cast("int"))
+    return each.groupBy("corpus").agg(F.sum("n").cast("bigint").alias("targets"))
+
+
+def rounds(records: DataFrame) -> DataFrame:
+    """records (corpus, seq) with ``round`` from 0: the place in their corpus; ordered by round and corpus, the corpora take turns. No corpus is sorted whole."""
+    return prefix_sums(records.withColumn("_one", F.lit(1)), ["corpus"], "seq", "_one").withColumnRenamed("before", "round").drop("_one")
+
+
+def calibration_sample(rows: DataFrame, shards: DataFrame, budget: int, seed: int) -> DataFrame:
+    """shard, row, take (bytes), cut: rows of the shards in a seeded order until ``budget`` bytes are taken, the last cut at a whole character.
+
+    rows: shard, row, text; shards: shard, sha256. A digest of several shards counts once (its first shard). Rows that
+    are empty are passed over. Shards are added up first, so only those that are reached have their rows put in order;
+    a shard has a bounded size.
+    """
+    unique = shards.groupBy("sha256").agg(F.min("shard").alias("shard")).withColumn("score", F.sha2(F.concat(F.lit(bytes((seed & MASK).to_bytes(8, "little"))), F.encode("sha256", "UTF-8")), 256))
+    sizes = rows.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("size")).join(unique, "shard").where("size > 0")
+    before, total = [], 0
+    for r in sizes.orderBy("score").select("shard", "size").toLocalIterator():  # stops at the budget
+        if total >= budget:
+            break
+        before.append((r["shard"], total))
+        total += r["size"]
+    starts = rows.sparkSession.createDataFrame(before, sizes.select("shard").withColumn("start", F.lit(0).cast("bigint")).schema)
+    inside = Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.octet_length("text").cast("bigint")
+    each = rows.where(n > 0).join(F.broadcast(starts), "shard").withColumn("before", F.col("start") + F.sum(n).over(inside) - n).where(F.col("before") < budget)
+    left = F.lit(budget) - F.col("before")
+    from ..functions.privacy import truncate_utf8
+
+    take = F.when(n <= left, n).otherwise(F.octet_length(truncate_utf8(F.col("text"), left)).cast("bigint"))
+    return each.select("shard", "row", take.alias("take"), (n > left).alias("cut")).where("take > 0")
+
+
+def worker_lines(training: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """place, line: what a training worker reads: begin, the evaluation records, the records, end, as JSON lines; texts are gone, their byte tokens are there.
+
+    training and evaluation: place (from 0, in the order of reading), id, corpus, text.
+    """
+    from ..functions.text import byte_ids, json_string
+
+    def lines(df: DataFrame, kind: str, shift) -> DataFrame:
+        ids = F.concat(F.lit("["), F.array_join(byte_ids(F.col("text")), ","), F.lit("]"))
+        body = F.concat(F.lit(f'{{"type":"{kind}","id":'), json_string(F.col("id")), F.lit(',"corpus":'), json_string(F.col("corpus")), F.lit(',"tokens":'), ids, F.lit("}"))
+        return df.where("text is not null").select((F.col("place") + shift).cast("bigint").alias("place"), body.alias("line"))
+
+    spark = training.sparkSession
+    held, n = evaluation.count(), training.count()
+    mark = lambda place, kind: spark.createDataFrame([(place, f'{{"type":"{kind}"}}')], "place long, line string")
+    return mark(0, "begin").unionByName(lines(evaluation, "evaluation_record", 1)).unionByName(lines(training, "record", 1 + held)).unionByName(mark(1 + held + n, "end"))
 
 
 def decoder_parameters(vocabulary: int, hidden: int, layers: int, heads: int, kv_heads: int, intermediate: int, tied: bool) -> int:

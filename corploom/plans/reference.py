@@ -43,10 +43,15 @@ def content_hash(spark, sf):
     return _rows(spark, sf).select("row_id", T.text_hash(F.col("text")).alias("sha256"), F.octet_length("text").cast("bigint").alias("octets"))
 
 
-@query("SELECT row_id FROM text_rows WHERE lower(hex(content_sha256)) IS DISTINCT FROM sha256(text)")
+@query("""SELECT row_id, n FROM (SELECT row_id, 0 AS n, lower(hex(content_sha256)) AS h, text FROM text_rows UNION ALL SELECT row_id, 1, CASE WHEN row_id % 7 = 0 THEN sha256(source) WHEN row_id % 7 = 1 THEN NULL ELSE lower(hex(content_sha256)) END, text FROM text_rows)
+ WHERE h IS DISTINCT FROM sha256(text)""")
 def wrong_hashes(spark, sf):
-    """Rows whose digest is not that of their text; a valid table has none."""
-    return _rows(spark, sf).where(~F.lower(F.hex("content_sha256")).eqNullSafe(T.text_hash(F.col("text")))).select("row_id")
+    """Rows whose digest is not that of their text: of the table (n 0), and of a copy of it with some digests wrong or missing (n 1)."""
+    h = F.lower(F.hex("content_sha256"))
+    k = F.col("row_id") % 7
+    r = _rows(spark, sf)
+    both = r.select("row_id", F.lit(0).alias("n"), h.alias("h"), "text").unionByName(r.select("row_id", F.lit(1).alias("n"), F.when(k == 0, F.sha2("source", 256)).when(k == 1, None).otherwise(h).alias("h"), "text"))
+    return both.where(~F.col("h").eqNullSafe(T.text_hash(F.col("text")))).select("row_id", "n")
 
 
 @query("""SELECT source, count(*) AS records, CAST(sum(strlen(text)) AS BIGINT) AS octets, CAST(sum(coalesce(token_count, 0)) AS BIGINT) AS tokens,
@@ -85,14 +90,16 @@ def dedup_counters(spark, sf):
     return _rows(spark, sf).agg(F.count(F.lit(1)).alias("input"), kept.alias("kept"), (F.count(F.lit(1)) - kept).alias("duplicates"))
 
 
-@query("""SELECT row_id FROM (SELECT row_id, content_sha256, row_number() OVER (PARTITION BY content_sha256 ORDER BY row_id) AS n FROM text_rows
- WHERE lower(hex(content_sha256)) NOT IN (SELECT lower(hex(content_sha256)) FROM shard_v1 UNION SELECT lower(hex(content_sha256)) FROM shard_v2 UNION SELECT lower(sha256) FROM shard_legacy)) WHERE n = 1""")
+@query("""WITH seen AS (SELECT lower(hex(content_sha256)) || ' ' || coalesce(license, '') AS k FROM shard_v1 UNION SELECT lower(hex(content_sha256)) || ' ' || coalesce(license, '') FROM shard_v2 UNION SELECT lower(sha256) || ' ' || coalesce(license, '') FROM shard_legacy),
+r AS (SELECT row_id, lower(hex(content_sha256)) || ' ' || coalesce(license, '') AS k FROM text_rows)
+SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY k ORDER BY row_id) AS n FROM r WHERE k NOT IN (SELECT k FROM seen)) WHERE n = 1""")
 def seeded_dedup(spark, sf):
-    """Texts of text_rows that no older shard has, each once."""
-    hexed = lambda t: table(spark, sf, t).select(F.lower(F.hex("content_sha256")).alias("h"))
-    seen = hexed("shard_v1").union(hexed("shard_v2")).union(table(spark, sf, "shard_legacy").select(F.lower("sha256").alias("h")))
-    new = dedup.not_present(_rows(spark, sf).select("row_id", F.lower(F.hex("content_sha256")).alias("h")), seen, ["h"])
-    return dedup.keep_first(new, ["h"], ["row_id"]).select("row_id")
+    """Texts of text_rows that no older shard has under the same licence, each once by text and licence."""
+    key = lambda h: [F.lower(h).alias("h"), F.coalesce("license", F.lit("")).alias("license")]
+    hexed = lambda t: table(spark, sf, t).select(*key(F.hex("content_sha256")))
+    seen = hexed("shard_v1").union(hexed("shard_v2")).union(table(spark, sf, "shard_legacy").select(*key(F.col("sha256"))))
+    new = dedup.not_present(_rows(spark, sf).select("row_id", *key(F.hex("content_sha256"))), seen, ["h", "license"])
+    return dedup.keep_first(new, ["h", "license"], ["row_id"]).select("row_id")
 
 
 @query("SELECT lower(hex(content_sha256)) AS sha256, count(*) AS records FROM text_rows GROUP BY content_sha256 HAVING count(*) > 1")
@@ -175,12 +182,12 @@ def word_counts(spark, sf):
 
 @query(f"""WITH w AS (SELECT row_id, {_WORDS} AS w FROM text_rows),
 g AS (SELECT row_id, len(w) AS n, unnest([w[i] || ' ' || w[i+1] || ' ' || w[i+2] FOR i IN range(1, len(w) - 1)]) AS g FROM w WHERE len(w) >= 3),
-c AS (SELECT row_id, n, g, count(*) AS k FROM g GROUP BY row_id, n, g)
-SELECT row_id, CAST(max(k) AS BIGINT) AS top, n >= 50 AND max(k) * 3 / n > 0.18 AS repetitive FROM c GROUP BY row_id, n""")
+c AS (SELECT row_id, n, g, count(*) AS k FROM g GROUP BY row_id, n, g), t AS (SELECT row_id, CAST(max(k) AS BIGINT) AS top, n >= 50 AND max(k) * 3 / n > 0.18 AS repetitive FROM c GROUP BY row_id, n)
+SELECT row_id, coalesce(top, 0) AS top, coalesce(repetitive, false) AS repetitive FROM text_rows LEFT JOIN t USING (row_id)""")
 def repetition_trigram(spark, sf):
-    """The most frequent triple of words, and the flag it gives: counted inside each row, without a shuffle."""
-    w = _rows(spark, sf).select("row_id", T.words(F.col("text")).alias("w")).where("size(w) >= 3")
-    hashed = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.col("w")[i], F.col("w")[i + 1], F.col("w")[i + 2]))
+    """The most frequent triple of words (0 without any), and the flag it gives: counted inside each row, without a shuffle."""
+    w = _rows(spark, sf).select("row_id", F.coalesce(T.words(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    hashed = F.transform(F.when(F.size("w") >= 3, F.sequence(F.lit(0), F.size("w") - 3)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.col("w")[i], F.col("w")[i + 1], F.col("w")[i + 2]))
     g = w.select("row_id", F.size("w").alias("n"), F.array_sort(hashed).alias("g"))
     # in sorted triples, the longest run of equals
     run = F.aggregate("g", F.struct(F.lit(0).cast("bigint").alias("last"), F.lit(0).alias("k"), F.lit(0).alias("top")), lambda s, x: F.struct(x.alias("last"), F.when(x == s["last"], s["k"] + 1).otherwise(1).alias("k"), F.greatest(s["top"], F.when(x == s["last"], s["k"] + 1).otherwise(1)).alias("top")))["top"]
@@ -188,18 +195,20 @@ def repetition_trigram(spark, sf):
     return g.select("row_id", "top", ((F.col("n") >= T.LEAST_WORDS) & (F.col("top") * 3 / F.col("n") > T.TOP_TRIGRAM)).alias("repetitive"))
 
 
-@query(f"""WITH r(raw, k) AS (VALUES ('MIT License', 0), (' cc by-sa 4.0 ', 1), ('CC_ZERO 1.0', 2), ('https://creativecommons.org/licenses/by-nc/3.0/', 3), ('Public Domain', 4), ('BSD 3-Clause', 5), ('http://creativecommons.org/publicdomain/zero/1.0/legalcode', 6), ('Custom terms', 7)),
-x AS (SELECT row_id, trim(coalesce(nullif(license_raw, ''), raw)) AS v, raw, trim(raw) AS t FROM text_rows JOIN r ON k = row_id % 8)
-SELECT row_id, CASE lower(t) WHEN 'mit license' THEN 'MIT' WHEN 'public domain' THEN 'LicenseRef-Public-Domain' WHEN 'bsd 3-clause' THEN 'BSD-3-Clause' WHEN 'cc by-sa 4.0' THEN 'CC-BY-SA-4.0' WHEN 'cc_zero 1.0' THEN 'CC0-1.0'
- WHEN 'https://creativecommons.org/licenses/by-nc/3.0/' THEN 'CC-BY-NC-3.0' WHEN 'http://creativecommons.org/publicdomain/zero/1.0/legalcode' THEN 'CC0-1.0' ELSE t END AS license FROM x""")
-def license_normalize(spark, sf):
-    """Raw licence spellings (given in turn to the rows) as identifiers."""
-    raw = ["MIT License", " cc by-sa 4.0 ", "CC_ZERO 1.0", "https://creativecommons.org/licenses/by-nc/3.0/", "Public Domain", "BSD 3-Clause", "http://creativecommons.org/publicdomain/zero/1.0/legalcode", "Custom terms"]
-    return _rows(spark, sf).select("row_id", T.normalize_license(F.element_at(F.array(*[F.lit(x) for x in raw]), (F.col("row_id") % 8 + 1).cast("int"))).alias("license"))
+def _license_sql(v: str) -> str:
+    """The SQL of one raw licence."""
+    names = " ".join(f"WHEN '{k}' THEN '{i}'" for k, i in T.LICENSES.items())
+    short = f"regexp_replace(upper(regexp_extract({v}, '(?i)^CC[ _-]*(BY(?:[ _-]*(?:NC|ND|SA)){{0,2}}|ZERO|0)[ _-]*([0-9]+(?:\\.[0-9]+)?)$', 1)), '[ _]', '-', 'g')"
+    number = f"regexp_extract({v}, '([0-9]+(?:\\.[0-9]+)?)$', 1)"
+    return f"coalesce(CASE lower({v}) {names} END, CASE WHEN {short} IN ('ZERO', '0') THEN 'CC0-' || {number} WHEN {short} <> '' THEN 'CC-' || {short} || '-' || {number} ELSE {v} END)"
 
 
-@query()
-def license_raw_normalize(spark, sf):
+_RAW = "SELECT 'text_rows' AS part, CAST(row_id AS VARCHAR) AS id, license_raw FROM text_rows" + "".join(f" UNION ALL SELECT '{t}', lower({h}), license_raw FROM {t}" for t, h in (("shard_v1", "hex(content_sha256)"), ("shard_v2", "hex(content_sha256)"), ("shard_v3", "hex(content_sha256)"), ("shard_legacy", "sha256")))
+
+
+@query(f"""WITH r AS ({_RAW}), t AS (SELECT *, CASE WHEN trim(license_raw) LIKE '[%' AND json_valid(license_raw) THEN CAST(json_extract_string(license_raw, '$[*]') AS VARCHAR[]) END AS terms FROM r)
+SELECT part, id, license_raw, CASE WHEN terms IS NOT NULL THEN array_to_string(list_sort(list_distinct([{_license_sql("trim(x)")} FOR x IN terms IF trim(x) <> ''])), ' AND ') ELSE {_license_sql("trim(license_raw)")} END AS license FROM t""")
+def license_normalize(spark, sf):
     """The raw licences of all rows and shard tables (by row id or digest) as identifiers; the terms of a JSON list as one conjunction."""
     parts = [_rows(spark, sf).select(F.lit("text_rows").alias("part"), F.col("row_id").cast("string").alias("id"), "license_raw")]
     for name, digest in (("shard_v1", F.lower(F.hex("content_sha256"))), ("shard_v2", F.lower(F.hex("content_sha256"))), ("shard_v3", F.lower(F.hex("content_sha256"))), ("shard_legacy", F.lower("sha256"))):
@@ -216,11 +225,11 @@ def license_set(spark, sf):
 # Filters
 
 
-@query("SELECT row_id FROM text_rows WHERE license NOT LIKE '%-NC-%' AND license NOT LIKE '%/%' AND (license LIKE 'CC-%' OR license = 'MIT')")
+@query("SELECT row_id FROM text_rows WHERE coalesce(license, '') NOT LIKE '%-NC-%' AND coalesce(license, '') NOT LIKE '%/%' AND (license LIKE 'CC-%' OR license = 'MIT' OR coalesce(license, '') = '')")
 def license_policy(spark, sf):
-    """Rows that a licence policy allows."""
-    p = policy.Values(["CC-*", "MIT"], ["*-NC-*"])
-    return _rows(spark, sf).where(F.col("license").isNotNull() & p.allows(F.col("license"))).select("row_id")
+    """Rows that a licence policy allows; a missing licence is the empty one, which this policy allows."""
+    p = policy.Values(["CC-*", "MIT", ""], ["*-NC-*"])
+    return _rows(spark, sf).where(p.allows(F.col("license"))).select("row_id")
 
 
 @query("""WITH s AS (SELECT shard_id, bool_and(coalesce(license, '') LIKE 'CC%') AS ok FROM text_rows GROUP BY shard_id)
@@ -284,10 +293,10 @@ def layouts_unified(spark, sf):
     return all_.groupBy("origin").agg(F.count(F.lit(1)).alias("records"), F.count("language").alias("languages"), F.sum(F.coalesce("token_count", F.lit(0))).cast("bigint").alias("tokens"), F.sum(F.col("main_content").cast("int")).cast("bigint").alias("main"))
 
 
-@query("SELECT doc_id, coalesce(nullif(trim(text), ''), source) AS body FROM documents WHERE text IS NULL OR length(text) < 400")
+@query("SELECT doc_id, coalesce(nullif(trim(text), ''), source) AS body FROM documents")
 def text_fallback(spark, sf):
-    """Short documents' text, or their source where there is none."""
-    return table(spark, sf, "documents").where("text is null or length(text) < 400").select("doc_id", F.coalesce(F.expr("nullif(trim(text), '')"), "source").alias("body"))
+    """Documents' text, or their source where there is none."""
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(F.expr("nullif(trim(text), '')"), "source").alias("body"))
 
 
 @query("SELECT row_id, CASE WHEN json_valid(meta) THEN json_extract_string(meta, '$.url') END AS url, CASE WHEN json_valid(meta) THEN json_extract_string(meta, '$.dataset_id') END AS dataset_id FROM text_rows")
@@ -297,18 +306,28 @@ def meta_json_paths(spark, sf):
     return _rows(spark, sf).select("row_id", *[F.when(ok, F.get_json_object("meta", f"$.{k}")).alias(k) for k in ("url", "dataset_id")])
 
 
-@query("""SELECT row_id, sha256('{"sha256":"' || sha256(text) || '","kind":"pretrain","text":"' || replace(replace(replace(replace(replace(text, chr(92), chr(92)||chr(92)), '"', chr(92)||'"'), chr(10), chr(92)||'n'), chr(13), chr(92)||'r'), chr(9), chr(92)||'t')
- || '","source":"' || source || '"' || coalesce(',"source_name":"' || source_name || '"', '') || coalesce(',"license":"' || license || '"', '') || '}') AS line FROM text_rows
- WHERE NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')""")
-def canonical_jsonl(spark, sf):
-    """Canonical JSON lines of the rows (as digests) without their optional numbers; texts with rarer control characters left to the tests."""
-    none = F.lit(None).cast("string")
-    c = {"sha256": T.text_hash(F.col("text")), "text": F.col("text"), "source": F.col("source"), "source_name": F.col("source_name"), "license": F.col("license"), "license_raw": none, "lang": none, "lang_score": F.lit(0), "date": none, "tokens": F.lit(0), "meta": none}
-    return _rows(spark, sf).where(~F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")).select("row_id", F.sha2(T.canonical_json(c), 256).alias("line"))
+def _json_sql(c: str) -> str:
+    """The SQL of a text as a JSON string."""
+    for char, short in ((92, "\\\\"), (34, '\\"'), (8, "\\b"), (9, "\\t"), (10, "\\n"), (12, "\\f"), (13, "\\r")):
+        c = f"replace({c}, chr({char}), '{short}')"
+    for code in (*range(1, 8), 11, *range(14, 32)):
+        c = f"replace({c}, chr({code}), '\\u{code:04x}')"
+    return f"""'"' || {c} || '"'"""
 
 
-@query()
-def canonical_jsonl_whole(spark, sf):
+def _key_sql(key: str, column: str, value: str | None = None, absent: str = "''") -> str:
+    """The SQL of an optional key with a leading comma."""
+    return f"""CASE WHEN {column} <> {absent} THEN ',"{key}":' || {value or _json_sql(column)} ELSE '' END"""
+
+
+_OPTIONAL = " || ".join(f"coalesce({x}, '')" for x in (
+    _key_sql("source_name", "source_name"), _key_sql("license", "license"), _key_sql("license_raw", "license_raw"), _key_sql("lang", "language"), _key_sql("lang_score", "language_score", "language_score", "0"), _key_sql("date", "date"),
+    _key_sql("tokens", "token_count", "token_count", "0"), _key_sql("meta", "meta", "meta"),
+))
+
+
+@query(f"""SELECT row_id, sha256('{{"sha256":"' || sha256(text) || '","kind":"pretrain","text":' || {_json_sql("text")} || ',"source":' || {_json_sql("source")} || {_OPTIONAL} || '}}') AS line FROM text_rows""")
+def canonical_jsonl(spark, sf):
     """Canonical JSON lines of all rows (as digests) with all their columns, whatever characters they have."""
     names = {"lang": "language", "lang_score": "language_score", "tokens": "token_count"}
     c = {k: F.col(names.get(k, k)) for k in ("text", "source", "source_name", "license", "license_raw", "lang", "lang_score", "date", "tokens", "meta")}
@@ -410,10 +429,12 @@ def missing_references(spark, sf):
     return hexed("shard_v1").distinct().join(hexed("text_rows"), "h", "left_anti")
 
 
-@query("SELECT DISTINCT r.source FROM text_rows r LEFT JOIN shards s ON r.source = s.corpus WHERE s.corpus IS NULL")
+@query("SELECT DISTINCT r.source FROM (SELECT source FROM text_rows UNION ALL SELECT CASE WHEN row_id % 9 = 4 THEN source || '-mirror' ELSE source END FROM text_rows) r LEFT JOIN shards s ON r.source = s.corpus WHERE s.corpus IS NULL")
 def unknown_sources(spark, sf):
-    """Sources of rows that no shard declares."""
-    return _rows(spark, sf).select("source").distinct().join(table(spark, sf, "shards").select(F.col("corpus").alias("source")).distinct(), "source", "left_anti")
+    """Sources of rows, and of a copy of them with some sources renamed, that no shard declares."""
+    r = _rows(spark, sf)
+    renamed = F.when(F.col("row_id") % 9 == 4, F.concat("source", F.lit("-mirror"))).otherwise(F.col("source"))
+    return r.select("source").union(r.select(renamed)).distinct().join(table(spark, sf, "shards").select(F.col("corpus").alias("source")).distinct(), "source", "left_anti")
 
 
 @query("""SELECT path, max_by(prefix, length(prefix)) AS prefix FROM (SELECT s.source AS path, p.prefix FROM (SELECT DISTINCT source FROM text_rows) s
@@ -446,17 +467,9 @@ def holdout_lowest_sha(spark, sf):
     return training.holdout(records, 42, 0.01, 256, 1 << 30).select("id")
 
 
-@query(f"SELECT source, id FROM (SELECT source, CAST(row_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY source ORDER BY {_SCORE}, CAST(row_id AS VARCHAR)) AS n FROM text_rows) WHERE n <= 2")
-def holdout_stratified(spark, sf):
-    """Two records of every source by score: kept by a bounded aggregate, no source is sorted whole."""
-    r = _rows(spark, sf).select("source", F.col("row_id").cast("string").alias("id"))
-    w = Window.partitionBy("source").orderBy("score", "id")
-    return r.withColumn("score", training.score(42, F.col("id"))).withColumn("n", F.row_number().over(w)).where("n <= 2").select("source", "id")
-
-
 @query(f"""WITH r AS (SELECT source, CAST(row_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY source ORDER BY {_SCORE}, CAST(row_id AS VARCHAR)) AS n, count(*) OVER () AS c FROM text_rows)
 SELECT corpus, id FROM (SELECT source AS corpus, id, c, row_number() OVER (ORDER BY n, source) AS place FROM r WHERE n <= 256) WHERE place <= greatest(1, least(CAST(ceil(c * CAST(0.01 AS DOUBLE)) AS BIGINT), 256, c - 1))""")
-def holdout_stratified_rounds(spark, sf):
+def holdout_stratified(spark, sf):
     """The stratified held-out set: the lowest scores of the sources in turns, at most 256 records."""
     records = _rows(spark, sf).select(F.col("source").alias("corpus"), F.col("row_id").cast("string").alias("id"), F.octet_length("text").cast("bigint").alias("size"))
     return training.stratified_holdout(records, 42, 0.01, 256, 1 << 30).select("corpus", "id")
@@ -476,16 +489,6 @@ def seeded_shard_order(spark, sf):
     return s.select("shard_id", F.row_number().over(Window.orderBy(training.score(42, F.col("sha256")), "shard_id")).cast("bigint").alias("place"))
 
 
-@query("""WITH b AS (SELECT source, row_id, coalesce(token_count, 0) AS t FROM text_rows WHERE source IN ('web/open-gazette.example', 'gov/harbor-code')),
-p AS (SELECT source, row_id, CAST(coalesce(sum(t) OVER (PARTITION BY source ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM b)
-SELECT source AS corpus, row_id AS seq, before, CAST(before * CASE source WHEN 'gov/harbor-code' THEN 3 ELSE 1 END AS BIGINT) AS key FROM p""")
-def weighted_interleave(spark, sf):
-    """Two corpora in turns, three to one by tokens: the key of the order."""
-    r = _rows(spark, sf).select(F.col("source").alias("corpus"), F.col("row_id").alias("seq"), F.coalesce("token_count", F.lit(0)).alias("tokens"))
-    o = training.weighted_order(r, {"web/open-gazette.example": 3, "gov/harbor-code": 1})
-    return o.select("corpus", "seq", "before", F.col("key").cast("bigint").alias("key"))
-
-
 _BEFORE = "SELECT source AS corpus, row_id AS seq, CAST(coalesce(sum(coalesce(token_count, 0)) OVER (PARTITION BY source ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM text_rows"
 
 
@@ -544,45 +547,18 @@ def stage_steps(spark, sf):
     return table(spark, sf, "planned_stages").select("name", F.ceil(F.col("planned_tokens") / one).cast("bigint").alias("steps"))
 
 
-@query("""WITH o AS (SELECT row_id, strlen(text) AS n, sum(strlen(text)) OVER (ORDER BY sha256(unhex('000000000000002A') || encode(CAST(row_id AS VARCHAR))), row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - strlen(text) AS b FROM text_rows)
-SELECT row_id, CAST(least(n, 100000 - b) AS BIGINT) AS take FROM o WHERE b < 100000""")
-def calibration_sample(spark, sf):
-    """Records in a seeded order until 100,000 bytes are taken, the last one cut."""
-    r = _rows(spark, sf).select("row_id", F.octet_length("text").cast("bigint").alias("n"), training.score(42, F.col("row_id").cast("string")).alias("score"))
-    # every record that can be reached has a place below the budget: only so many records are ordered
-    first = r.where("n > 0").orderBy("score", "row_id").limit(100_000)
-    before = F.sum("n").over(Window.orderBy("score", "row_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return first.withColumn("b", before).where("b < 100000").select("row_id", F.least(F.col("n"), 100000 - F.col("b")).cast("bigint").alias("take"))
-
-
-@query("SELECT event_type, last(value ORDER BY ts, event_id) AS latest FROM events WHERE value IS NOT NULL GROUP BY event_type")
-def telemetry_latest(spark, sf):
-    """The latest value of every kind of event."""
-    return table(spark, sf, "events").where("value is not null").groupBy("event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("latest"))
-
-
 @query("SELECT corpus, sha256(string_agg(sha256 || chr(10), '' ORDER BY sha256)) AS digest FROM shards GROUP BY corpus")
 def selection_digest(spark, sf):
     """One digest over the ordered shards of every corpus."""
     return table(spark, sf, "shards").groupBy("corpus").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("sha256", F.lit("\n")))), ""), 256).alias("digest"))
 
 
-@query()
-def cosine_schedule(spark, sf):
-    """Learning rates of 1,000 steps."""
-    return training.cosine_schedule(spark, 1000, 100)
-
-
-@query()
-def forecast_grid(spark, sf):
-    """Time and fit of a run on every accelerator."""
-    return training.forecast(spark, training.decoder_parameters(32000, 1024, 24, 16, 4, 4096, True), 10_000_000_000)
-
-
 @query()
 def bounded_shuffle(spark, sf):
     """The bounded shuffle of every corpus of the shards' rows."""
-    r = _rows(spark, sf).select(F.col("source").alias("corpus"), F.col("shard_id").cast("string").alias("shard"), F.col("row_no").alias("row"), (F.octet_length("text") + 112).cast("bigint").alias("size"))
+    row = F.col("row_no").cast("string")
+    size = training.record_bytes(F.concat(F.col("shard_id").cast("string"), F.lit("#"), row), F.col("row_id").cast("string"), F.col("text"), F.col("source"), F.col("license"), F.col("language"), F.col("source"))
+    r = _rows(spark, sf).select(F.col("source").alias("corpus"), F.col("shard_id").cast("string").alias("shard"), F.col("row_no").alias("row"), size.alias("size"))
     return training.bounded_shuffle(r, 42)
 
 

@@ -7,7 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from corploom.plans import drift, reference
+from corploom.plans import drift, reference, selection
+
+QUERIES, SQL = reference.QUERIES | selection.QUERIES, reference.SQL | selection.SQL
 
 
 @pytest.fixture(scope="module")
@@ -24,14 +26,14 @@ def same(a, b):
     assert rows(a) == rows(b)
 
 
-@pytest.mark.parametrize("name", sorted(reference.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_agrees_with_sql(spark, duck, small, name):
-    same(reference.QUERIES[name](spark, small).toPandas(), duck.execute(reference.SQL[name]).df())
+    same(QUERIES[name](spark, small).toPandas(), duck.execute(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(reference.QUERIES) - set(reference.SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, small, name):
-    df = reference.QUERIES[name](spark, small)
+    df = QUERIES[name](spark, small)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
@@ -41,6 +43,25 @@ def test_entry(spark, small):
     assert set(drift.queries()) <= set(entry.queries())
 
 
+def test_no_query_is_registered_twice():
+    assert len(entry.queries()) == len(reference.QUERIES) + len(selection.QUERIES) + len(drift.queries()) + len(entry._text().queries() if entry._text() else {})
+
+
+def test_a_broken_subpackage_is_loud(monkeypatch):
+    """Only a subpackage that is not there is passed over; one that cannot be imported is an error."""
+    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: None)
+    assert set(entry.queries()) == set(QUERIES) | set(drift.queries())
+    monkeypatch.undo()
+
+    def broken(name):
+        raise ImportError(name)
+
+    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: object())
+    monkeypatch.setattr(entry.importlib, "import_module", broken)
+    with pytest.raises(ImportError):
+        entry.queries()
+
+
 def test_core_does_not_need_the_subpackage():
     import pathlib
 

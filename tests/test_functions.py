@@ -66,7 +66,7 @@ def test_raw_licenses(spark, raw, wanted):
 def test_every_raw_license_is_read(spark, small):
     from corploom.plans import reference
 
-    got = reference.license_raw_normalize(spark, small)
+    got = reference.license_normalize(spark, small)
     rows = {r["row_id"]: r["license_raw"] for r in spark.read.parquet(f"{small}/text_rows.parquet").select("row_id", "license_raw").collect()}
     known = {"cc by 4.0": "CC-BY-4.0", "CC-BY 4.0": "CC-BY-4.0", "cc by-sa 4.0": "CC-BY-SA-4.0", "CC_ZERO 1.0": "CC0-1.0", "MIT License": "MIT", "Public Domain": "LicenseRef-Public-Domain", '["cc by-nc 4.0","CC-BY-NC-4.0"]': "CC-BY-NC-4.0"}
     mine = {int(r["id"]): r for r in got.where("part = 'text_rows'").collect()}

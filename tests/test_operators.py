@@ -115,7 +115,7 @@ def test_canonical_lines_have_all_columns(spark, small, tmp_path):
         one |= {k: r[v] for k, v in optional.items() if r[v]}
         line = json.dumps(one, ensure_ascii=False, separators=(",", ":"))
         want[r["row_id"]] = hashlib.sha256((line[:-1] + (f',"meta":{r["meta"]}' if r["meta"] else "") + "}").encode()).hexdigest()
-    assert {r["row_id"]: r["line"] for r in reference.canonical_jsonl_whole(spark, str(tmp_path)).collect()} == want
+    assert {r["row_id"]: r["line"] for r in reference.canonical_jsonl(spark, str(tmp_path)).collect()} == want
 
 
 def test_holdout_skips_what_does_not_fit(spark):
@@ -147,7 +147,12 @@ def test_shuffle_keeps_every_row_and_passes_large_ones(spark):
 def test_schedule_and_forecast(spark):
     rates = [r["rate"] for r in training.cosine_schedule(spark, 100, 10).orderBy("step").collect()]
     assert rates[9] == 1.0 and rates[-1] < 0.11 and max(rates) == 1.0
-    assert training.forecast(spark, 10**9, 10**10).where("not fits").count() == 0
+    shape = {"vocabulary": 32000, "hidden": 2048, "layers": 16, "heads": 32, "kv_heads": 8, "intermediate": 8192, "tied": True}
+    stages = spark.createDataFrame([(10**10, None, 2048), (10**9, 8, 512)], "planned_tokens long, batch_size int, sequence_length int")
+    got = training.forecast(stages, shape).collect()
+    need = 8 * 512 * (2048 * 16 * 72 + 32000 * 6)  # the second stage needs more
+    assert got and [r["seconds"] for r in got] == sorted((r["seconds"] for r in got), reverse=True)
+    assert all(r["required"] == -(-training.decoder_parameters(**shape) * 16 // r["gpus"]) + need + (4 << 30) for r in got)
 
 
 def test_paths():
