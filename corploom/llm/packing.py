@@ -48,34 +48,51 @@ def combinations(ends: list[int], capacity: int, depth: int = DEPTH, window: flo
     return found
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|, by the active-set method."""
-    n = a.shape[1]
-    x, active = np.zeros(n), np.zeros(n, bool)
-    for _ in range(rounds or 3 * a.shape[0]):
-        w = a.T @ (b - a @ x)
+def nnls(found: list[tuple[int, ...]], b: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """x >= 0 that minimises |a x - b|, by the active-set method. Column j of a counts the classes of found[j].
+
+    A column has a few entries only, so a itself is never made: gradients are sums of a few places of the residual, and
+    the normal equations are those of the active columns.
+    """
+    depth = max(map(len, found))
+    at = np.array([c + (len(b),) * (depth - len(c)) for c in found])  # the place behind b stands for nothing
+    n = len(found)
+    x, active = np.zeros(n), []
+    full = np.zeros((len(b) + 1, 0))
+    least = 1e-8 * max(1.0, np.abs(b).max())
+    residual = np.append(b.astype(float), 0)
+    for _ in range(rounds or 3 * len(b)):
+        w = residual[at].sum(axis=1)
         w[active] = -np.inf
-        j = int(np.argmax(w)) if n else -1
-        if j < 0 or w[j] <= 1e-8 * max(1.0, np.abs(b).max()):
+        j = int(np.argmax(w))
+        if w[j] <= least:
             break
-        active[j] = True
-        while True:
-            at = np.flatnonzero(active)
-            z = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+        column = np.zeros((len(b) + 1, 1))
+        np.add.at(column, at[j], 1)
+        column[-1] = 0
+        active.append(j)
+        full = np.hstack([full, column])
+        while active:
+            gram = full.T @ full
+            try:
+                z = np.linalg.solve(gram, full[:-1].T @ b)
+            except np.linalg.LinAlgError:
+                z = np.linalg.lstsq(full[:-1], b, rcond=None)[0]
+            have = x[active]
             if (z > 0).all():
                 x[:] = 0
-                x[at] = z
+                x[active] = z
                 break
             low = z <= 0
-            step = np.min(x[at][low] / np.maximum(x[at][low] - z[low], 1e-300))
-            x[at] += step * (z - x[at])
-            drop = at[(x[at] <= 1e-12) & low]
-            if not len(drop):
-                drop = at[low]
-            x[drop] = 0
-            active[drop] = False
-            if not active.any():
-                break
+            step = np.min(have[low] / np.maximum(have[low] - z[low], 1e-300))
+            have = have + step * (z - have)
+            drop = low & (have <= 1e-12)
+            if not drop.any():
+                drop = low
+            x[active] = np.where(drop, 0, have)
+            active = [k for k, d in zip(active, drop) if not d]
+            full = full[:, ~drop]
+        residual = np.append(b - full[:-1] @ x[active], 0) if active else np.append(b.astype(float), 0)
     return x
 
 
@@ -91,11 +108,7 @@ def make_patterns(sizes: dict[int, int], capacity: int) -> tuple[list[int], list
     patterns: list[tuple[int, tuple[int, ...]]] = []
     found = combinations(ends, capacity)
     if found:
-        a = np.zeros((len(ends), len(found)))
-        for j, combo in enumerate(found):
-            for k in combo:
-                a[k, j] += 1
-        for j in np.argsort(-(x := nnls(a, np.array(left, float))), kind="stable"):
+        for j in np.argsort(-(x := nnls(found, np.array(left, float))), kind="stable"):
             if x[j] < 0.5:
                 break
             need = Counter(found[j])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,11 +95,10 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     # planned_stages has a fixed number of rows
     stages = sorted((r["name"], r["sequence_length"]) for r in table(spark, sf, "planned_stages").select("name", "sequence_length").collect())
     empty = sized.where(F.coalesce("n_tokens", F.lit(0)) == 0)
-    parts = []
-    for name, capacity in stages:
-        parts.append(packing.pack(sized, capacity).withColumn("stage", F.lit(name)))
-        none = F.lit(None).cast("long")
-        parts.append(empty.select("doc_id", none.alias("piece"), none.alias("start"), F.lit(0).cast("long").alias("length"), none.alias("container"), F.lit(name).alias("stage")))
+    none = F.lit(None).cast("long")
+    with ThreadPoolExecutor(4) as pool:  # the stages do not hang on one another
+        parts = list(pool.map(lambda s: packing.pack(sized, s[1]).withColumn("stage", F.lit(s[0])), stages))
+    parts += [empty.select("doc_id", none.alias("piece"), none.alias("start"), F.lit(0).cast("long").alias("length"), none.alias("container"), F.lit(name).alias("stage")) for name, _ in stages]
     return reduce(DataFrame.unionByName, parts).select("stage", "doc_id", "piece", "start", "length", "container")
 
 
