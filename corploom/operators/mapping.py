@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 ROLES = {"system": "system", "user": "user", "human": "user", "prompter": "user", "assistant": "assistant", "gpt": "assistant", "bot": "assistant", "model": "assistant", "tool": "tool", "function": "tool"}
 
 
+class Spelled(str):
+    """A JSON number as it is written."""
+
+
+def load(raw: str):
+    """A JSON value whose numbers keep their spelling (2.50, 1e5)."""
+
+    def no(name):
+        raise ValueError(f"{name} is no JSON")
+
+    return json.loads(raw, parse_float=Spelled, parse_int=Spelled, parse_constant=no)
+
+
 def values(record, path: str) -> list[str]:
     """Scalars below a dotted path, [] after a name for every element of an array; nulls are left out, other values raise."""
     found = [record]
@@ -27,7 +40,7 @@ def values(record, path: str) -> list[str]:
             continue
         if isinstance(x, (dict, list)):
             raise ValueError(f"{path} is not a scalar")
-        out.append(x if isinstance(x, str) else json.dumps(x))
+        out.append(str(x) if isinstance(x, str) else json.dumps(x))
     return out
 
 
@@ -37,6 +50,8 @@ class Profile:
 
     text: paths joined by blank lines (record), or the user's text, context and response (dialogue), or roles and
     contents (chat), or the path of the tree's root (tree). main: scalars that must all be equal for main content.
+    on_empty: skip (an empty text is an outcome) or fail (it ends the job). longest: bytes beyond which a text is a
+    mapping error.
     """
 
     kind: str = "record"
@@ -50,16 +65,24 @@ class Profile:
     meta: dict = field(default_factory=dict)
     main: dict = field(default_factory=dict)
     nul: str = "space"
+    on_empty: str = "skip"
+    longest: int | None = None
     system: str | None = None
     source_order: bool = False
 
     def __post_init__(self):
-        if self.kind not in ("record", "dialogue", "chat", "tree") or self.nul not in ("space", "error"):
+        if self.kind not in ("record", "dialogue", "chat", "tree") or self.nul not in ("space", "error") or self.on_empty not in ("skip", "fail"):
             raise ValueError(f"unknown kind {self.kind!r} or NUL policy {self.nul!r}")
         if self.kind == "chat" and len(self.text) != 2 or self.kind == "dialogue" and len(self.text) not in (2, 3):
             raise ValueError("a chat needs the paths of roles and contents, a dialogue those of text, (context,) response")
 
 
+def columns(p: Profile) -> list[str]:
+    """The top-level fields that a profile reads, in order of their names."""
+    paths = [*p.text, p.fallback, p.source, p.source_id, *p.license, p.language, p.date, *p.meta.values(), *p.main, p.system]
+    return sorted({x.split(".")[0].removesuffix("[]") for x in paths if x})
+
+
 def _one(record, path: str | None) -> str:
     got = values(record, path) if path else []
     if len(got) > 1:
@@ -91,7 +114,7 @@ def ranked_path(root: dict, source_order: bool = False) -> list[dict]:
         replies = node.get("replies") or []
         ranked = [r for r in replies if r.get("rank") is not None]
         if ranked:
-            node = min(ranked, key=lambda r: r["rank"])
+            node = min(ranked, key=lambda r: float(r["rank"]))
         elif replies and source_order:
             node = replies[0]
         elif replies:
@@ -108,7 +131,7 @@ def ranked_path(root: dict, source_order: bool = False) -> list[dict]:
 def map_one(raw: str, p: Profile) -> dict:
     """One record: outcome (ok, empty, malformed), text and the other fields."""
     try:
-        record = json.loads(raw)
+        record = load(raw)
         if not isinstance(record, dict):
             raise ValueError("not an object")
     except ValueError as e:
@@ -129,7 +152,11 @@ def map_one(raw: str, p: Profile) -> dict:
         if messages is not None:
             text = json.dumps({"messages": messages}, ensure_ascii=False, separators=(",", ":")) if messages else ""
         if not text.strip():
+            if p.on_empty == "fail":
+                raise KeyError("a record has no text")
             return {"outcome": "empty"}
+        if p.longest is not None and len(text.encode()) > p.longest:
+            raise ValueError(f"the text has more than {p.longest} bytes")
         if "\0" in text:
             if p.nul == "error":
                 raise ValueError("the text has a NUL character")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.policy import Values
 from ..functions.privacy import is_repetitive, redacted, redacted_conversation, redacted_json
 from ..operators import dedup, mapping
 from ..operators.drift import NAMES
@@ -21,10 +22,30 @@ def byte_count(rows: DataFrame) -> DataFrame:
     return rows.withColumn("token_count", F.octet_length("text").cast("bigint"))
 
 
-def logical(spark: SparkSession, paths: list[str], profile: mapping.Profile, form: str = "jsonl") -> DataFrame:
+def raw(spark: SparkSession, paths: list[str], profile: mapping.Profile, form: str, fields: dict[str, str] | None = None) -> DataFrame:
+    """path, line, record (a JSON object) of files of a form: jsonl, json, parquet, text (markdown, whole files and chunks), mbox, xml.
+
+    Texts and messages are objects with ``text``; XML records have ``fields`` (name: path of elements); of Parquet files
+    the columns that the profile names are read.
+    """
+    one = lambda df, line: df.select("path", line.cast("bigint").alias("line"), F.to_json(F.struct("text")).alias("record"))
+    if form in ("jsonl", "json"):
+        return {"jsonl": files.jsonl, "json": files.json_objects}[form](spark, *paths)
+    if form in ("text", "markdown"):
+        return one(files.text_files(spark, *paths), F.col("chunk") + 1)
+    if form == "mbox":
+        return one(files.mbox(spark, *paths), F.col("message"))
+    if form == "xml":
+        x = files.xml_records(spark, *paths, fields=fields or {"text": "//text"})
+        return x.select("path", F.lit(1).cast("bigint").alias("line"), F.to_json(F.struct(*[c for c in x.columns if c != "path"])).alias("record"))
+    if form == "parquet":
+        return files.parquet_records(spark, mapping.columns(profile), *paths)
+    raise ValueError(f"unknown form {form!r}")
+
+
+def logical(spark: SparkSession, paths: list[str], profile: mapping.Profile, form: str = "jsonl", fields: dict[str, str] | None = None) -> DataFrame:
     """Mapped records with their place: path, line, outcome and the mapped fields."""
-    raw = {"jsonl": files.jsonl, "json": files.json_objects}[form](spark, *paths)
-    return mapping.map_records(raw, profile)
+    return mapping.map_records(raw(spark, paths, profile, form, fields), profile)
 
 
 def redact(rows: DataFrame) -> DataFrame:
@@ -45,48 +66,71 @@ def assess(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"email_addresses": T.has_email(t), "boilerplate_content": T.is_boilerplate(t) | T.is_boilerplate(t, paragraphs=True), "repetitive_content": is_repetitive(T.words(t))})
 
 
-def prepare(mapped: DataFrame, count: Callable[[DataFrame], DataFrame] = byte_count, existing: DataFrame | None = None) -> DataFrame:
-    """Rows of the current layout, with path, line and kind, from mapped records: redact, hash, deduplicate, count, assess.
+def clean(mapped: DataFrame, allowed: Values | None = None) -> DataFrame:
+    """Every mapped record with its outcome, the good ones redacted and with their digest: path, line, kind, outcome and the columns of the layout so far.
 
-    Of equal texts under one licence the first by path and line stays; what ``existing`` (content_sha256, license) has is dropped.
+    A licence that ``allowed`` forbids makes the outcome license-policy; such records, and others that are not good, keep no text.
     """
     placed = mapped.withColumn("origin", F.concat(F.col("path"), F.lit("#line="), F.col("line")))
-    ok = placed.where("outcome = 'ok'")
-    keep = ok.select("path", "line", "kind", "origin", "text", "source", "source_id", "licenses", "language", "date", "meta", "main_content", "outcome")
-    c = mapping.canonical(keep, extra=("path", "line", "kind"))
-    r = redact(c)
+    c = mapping.canonical(placed, extra=("path", "line", "kind"))
+    if allowed is not None:
+        c = c.withColumn("outcome", F.when(allowed.allows(F.col("license")), "ok").otherwise("license-policy"))
+    else:
+        c = c.withColumn("outcome", F.lit("ok"))
+    rejected = placed.where("outcome <> 'ok'").select("path", "line", "outcome")
+    good = redact(c.where("outcome = 'ok'"))
+    return good.unionByName(c.where("outcome <> 'ok'").select("path", "line", "outcome").unionByName(rejected), allowMissingColumns=True)
+
+
+def prepare(cleaned: DataFrame, count: Callable[[DataFrame], DataFrame] = byte_count, existing: DataFrame | None = None) -> DataFrame:
+    """Rows of the current layout, with path, line and kind, from clean(): deduplicate, count, assess.
+
+    Of equal texts under one licence the first by path and line stays; what ``existing`` (content_sha256, license) has is dropped.
+    """
+    r = cleaned.where("outcome = 'ok'").drop("outcome")
     if existing is not None:
         r = dedup.not_present(r, existing, ["content_sha256", "license"])
-    r = dedup.keep_first(checkpoint(r), ["content_sha256", "license"], ["path", "line"])
+    r = dedup.keep_first(r, ["content_sha256", "license"], ["path", "line"])
     return assess(count(r.drop("token_count"))).select("path", "line", "kind", *NAMES)
 
 
-def counters(mapped: DataFrame, kept: DataFrame) -> DataFrame:
+def counters(cleaned: DataFrame, retained: int) -> DataFrame:
     """outcome, records: rejections by reason, duplicates and retained records."""
-    n = kept.count()
-    rejected = mapped.groupBy("outcome").agg(F.count(F.lit(1)).alias("records"))
-    ok = rejected.where("outcome = 'ok'").select(F.lit("duplicate").alias("outcome"), (F.col("records") - n).alias("records"))
-    return rejected.where("outcome <> 'ok'").unionByName(ok).unionByName(kept.sparkSession.createDataFrame([("retained", n)], "outcome string, records long"))
+    n = cleaned.groupBy("outcome").agg(F.count(F.lit(1)).alias("records"))
+    ok = n.where("outcome = 'ok'").select(F.lit("duplicate").alias("outcome"), (F.col("records") - retained).alias("records"))
+    return n.where("outcome <> 'ok'").unionByName(ok).unionByName(cleaned.sparkSession.createDataFrame([("retained", retained)], "outcome string, records long"))
 
 
-def ingest(spark: SparkSession, paths: list[str], profile: mapping.Profile, folder: str, form: str = "jsonl", count: Callable[[DataFrame], DataFrame] = byte_count, name: str = "corpus", license_: str = "") -> tuple[DataFrame, dict]:
-    """The whole pipeline into a folder that all executors share; the counters and the manifest. A finished job is not run again."""
-    import os
+def ingest(
+    spark: SparkSession, paths: list[str], profile: mapping.Profile, folder: str, form: str = "jsonl", count: Callable[[DataFrame], DataFrame] = byte_count, name: str = "corpus", license_: str = "",
+    fields: dict[str, str] | None = None, allowed: Values | None = None, existing: DataFrame | None = None,
+) -> tuple[DataFrame, dict]:
+    """The whole pipeline into a folder of a store that all executors reach; the counters and the manifest.
 
-    os.makedirs(folder, exist_ok=True)
-    journal = shards.Journal(os.path.join(folder, "journal.json"), {"paths": sorted(paths), "profile": repr(profile), "form": form, "name": name})
+    The journal tells how far a job came: what was assembled is not assembled again, what was published is left as it
+    is. Texts are kept once, redacted, between the passes; everything else between them is digests and places.
+    """
+    folder = folder.rstrip("/")
+    journal = shards.Journal(f"{folder}/journal.json", {"paths": sorted(paths), "profile": repr(profile), "form": form, "name": name, "allowed": repr(allowed)})
+    outcome = "outcome string, records long"
     if journal.state == "published":
-        return spark.createDataFrame(journal.facts["counters"], "outcome string, records long"), journal.facts["manifest"]
-    journal.enter("assembling")
-    mapped = checkpoint(logical(spark, paths, profile, form))
-    rows = checkpoint(prepare(mapped, count))
-    counts = counters(mapped, rows)
-    ordered = rows.repartitionByRange(F.col("path"), F.col("line")).sortWithinPartitions("path", "line")
-    written = checkpoint(shards.write_shards(ordered, folder))
-    wrong = shards.verify(spark, written)
-    if not wrong.isEmpty():
-        raise ValueError(f"shards differ from what was written: {wrong.take(3)}")
+        return spark.createDataFrame(journal.facts["counters"], outcome), journal.facts["manifest"]
+    if journal.state in (None, "assembling"):
+        journal.enter("assembling")
+        cleaned = checkpoint(clean(logical(spark, paths, profile, form, fields), allowed))
+        ordered = prepare(cleaned, count, existing).repartitionByRange(F.col("path"), F.col("line")).sortWithinPartitions("path", "line")
+        written = checkpoint(shards.write_shards(ordered, f"{folder}/assembled"))
+        wrong = shards.verify(written)
+        if not wrong.isEmpty():
+            raise ValueError(f"shards differ from what was written: {wrong.take(3)}")
+        retained = written.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        # one row for each shard and each outcome
+        journal.enter("assembled", written=[list(r) for r in written.collect()], counters=[[r["outcome"], r["records"]] for r in counters(cleaned, retained).collect()])
+    written = spark.createDataFrame(journal.facts["written"], shards.WRITTEN)
+    if journal.state == "assembled":
+        journal.enter("publishing")
+    published = shards.publish(written, f"{folder}/shards")
+    published.write.format("noop").mode("overwrite").save()
     m = shards.manifest(written, name, name, license_, [])
-    journal.enter("published", counters=[[r["outcome"], r["records"]] for r in counts.collect()], manifest=m)
-    return counts, m
-
+    journal.enter("published", manifest=m)
+    return spark.createDataFrame(journal.facts["counters"], outcome), m

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import text as T
 from ..operators.drift import NAMES
 
@@ -33,15 +32,17 @@ class _Shard:
     """One open file: row groups by logical size, sums for the footer, a name from its digest when it is closed."""
 
     def __init__(self, folder: str, task: str):
-        self.folder, self.temporary = folder, os.path.join(folder, f".open-{task}")
-        self.writer = pq.ParquetWriter(self.temporary, SCHEMA, compression="zstd", compression_level=LEVEL, data_page_version="2.0", data_page_size=1 << 20, use_dictionary=["source_name", "license", "license_raw", "language", "date"], write_statistics=[n for n in NAMES if n not in ("text", "source", "meta")])
+        self.folder, self.temporary = folder, f"{folder}/.open-{task}"
+        files, path = store.at(self.temporary)
+        self.out = files.open_output_stream(path)
+        self.writer = pq.ParquetWriter(self.out, SCHEMA, compression="zstd", compression_level=LEVEL, data_page_version="2.0", data_page_size=1 << 20, use_dictionary=["source_name", "license", "license_raw", "language", "date"], write_statistics=[n for n in NAMES if n not in ("text", "source", "meta")])
         self.waiting: list[pa.Table] = []
         self.held = self.rows = self.tokens = self.content = 0
         self.counts = dict.fromkeys(list(NAMES)[11:], 0)
         self.licenses: set = set()
 
     def add(self, batch: pa.Table) -> None:
-        size = sum(len(t.encode()) for t in batch["text"].to_pylist())
+        size = pc.sum(pc.binary_length(batch["text"].cast(pa.binary()))).as_py() or 0
         self.waiting.append(batch)
         self.held += size
         self.content += size
@@ -60,33 +61,32 @@ class _Shard:
             self.waiting, self.held = [], 0
 
     def size(self) -> int:
-        return os.path.getsize(self.temporary)
+        return self.out.tell()
 
     def close(self) -> tuple:
         self.flush()
         facts = {"records": self.rows, "tokens": self.tokens, "content_bytes": self.content, "licenses": json.dumps(sorted(self.licenses)), "record_kind": "pretrain", "record_schema": 2, **self.counts}
         self.writer.add_key_value_metadata({PREFIX + k: str(v) for k, v in facts.items()})
         self.writer.close()
-        digest = hashlib.sha256()
-        with open(self.temporary, "rb") as f:
-            while part := f.read(1 << 20):
-                digest.update(part)
-        name, bytes_ = digest.hexdigest(), self.size()
+        bytes_ = self.size()
+        self.out.close()
+        name = store.digest(self.temporary)
         if bytes_ > MOST:
             raise ValueError(f"a shard has {bytes_} bytes, more than {MOST}")
-        to = os.path.join(self.folder, name[:2], name[2:4], f"{name}.parquet")
-        os.makedirs(os.path.dirname(to), exist_ok=True)
-        os.replace(self.temporary, to)
+        to = f"{self.folder}/{name[:2]}/{name[2:4]}/{name}.parquet"
+        store.parents(to)
+        store.move(self.temporary, to)
         return to, name, self.rows, self.tokens, self.content, bytes_
 
 
 def write_shards(rows: DataFrame, folder: str, target: int = TARGET) -> DataFrame:
-    """Writes rows (the current layout) below ``folder``, a folder that all executors share; one row per file: path, digest and sums.
+    """Writes rows (the current layout) below ``folder``, in a store that all executors reach; one row per file: path, digest and sums.
 
     The rows of a partition go to files in their order. A file's name is its digest, so a task that runs again after
     the loss of its executor writes the same names; a file that was left open is not a shard.
     """
-    os.makedirs(folder, exist_ok=True)
+    folder = folder.rstrip("/")
+    store.parents(f"{folder}/x")
 
     def write(batches):
         from pyspark import TaskContext
@@ -110,16 +110,30 @@ def write_shards(rows: DataFrame, folder: str, target: int = TARGET) -> DataFram
     return rows.select(*NAMES).mapInArrow(write, WRITTEN)
 
 
-def verify(spark: SparkSession, written: DataFrame) -> DataFrame:
-    """Files whose digest, size or row sums are not what was written: an empty frame if all is well."""
-    paths = [r["path"] for r in written.select("path").toLocalIterator()]
-    if not paths:
-        return written
-    found = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("found"), F.col("length"))
-    rows = spark.read.parquet(*paths).groupBy(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path")).agg(F.count(F.lit(1)).alias("found_rows"), F.sum("token_count").alias("found_tokens"))
-    both = written.join(found, "path", "left").join(rows, "path", "left")
-    same = F.col("sha256").eqNullSafe(F.col("found")) & F.col("bytes").eqNullSafe(F.col("length")) & F.col("rows").eqNullSafe(F.col("found_rows")) & F.col("tokens").eqNullSafe(F.col("found_tokens"))
-    return both.where(~same)
+def verify(written: DataFrame) -> DataFrame:
+    """Files whose digest, size or row sums are not what was written, with what was found: an empty frame if all is well.
+
+    Every file is read by one task in parts; of its rows only the token counts are read.
+    """
+
+    def check(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                found = (None, None, None, None)
+                if store.exists(r.path):
+                    try:
+                        files, path = store.at(r.path)
+                        t = pq.read_table(path, columns=["token_count"], filesystem=files)["token_count"]
+                        found = (store.digest(r.path), store.size(r.path), len(t), pc.sum(t).as_py() or 0)
+                    except pa.ArrowInvalid:  # no Parquet file any more
+                        found = (store.digest(r.path), store.size(r.path), None, None)
+                if found != (r.sha256, r.bytes, r.rows, r.tokens):
+                    out.append((*r, *found))
+            yield pd.DataFrame(out, columns=[*pdf.columns, "found", "length", "found_rows", "found_tokens"]).astype(object)
+
+    names = [x.split(" ")[0] for x in WRITTEN.split(", ")]
+    return written.select(*names).mapInPandas(check, WRITTEN + ", found string, length long, found_rows long, found_tokens long")
 
 
 def export_jsonl(rows: DataFrame, folder: str) -> None:
@@ -137,31 +151,29 @@ def export_record(rows: DataFrame, digest: str) -> str:
 
 
 def publish(written: DataFrame, folder: str) -> DataFrame:
-    """Copies shards into another folder by digest; a file that is there with the right digest is left. path, sha256, state."""
+    """Copies shards into another folder (or store) by digest; a file that is there with the right digest is left. path, sha256, state."""
+    folder = folder.rstrip("/")
+
+    def put(batches):
+        from pyspark import TaskContext
 
-    def copy(batches):
         for pdf in batches:
             states = []
             for path, digest in zip(pdf["path"], pdf["sha256"]):
-                to = os.path.join(folder, digest[:2], digest[2:4], os.path.basename(path))
-                if os.path.exists(to) and _digest(to) == digest:
+                to = f"{folder}/{digest[:2]}/{digest[2:4]}/{path.rsplit('/', 1)[1]}"
+                if store.exists(to) and store.digest(to) == digest:
                     states.append((to, digest, "present"))
                     continue
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                part = f"{to}.{os.getpid()}.part"
-                shutil.copyfile(path, part)
-                if _digest(part) != digest:
+                part = f"{to}.{TaskContext.get().taskAttemptId()}.part"
+                store.parents(to)
+                store.copy(path, part)
+                if store.digest(part) != digest:
                     raise ValueError(f"{path} does not have the digest {digest}")
-                os.replace(part, to)
+                store.move(part, to)
                 states.append((to, digest, "published"))
             yield pd.DataFrame(states, columns=["path", "sha256", "state"])
 
-    return written.select("path", "sha256").mapInPandas(copy, "path string, sha256 string, state string")
-
-
-def _digest(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+    return written.select("path", "sha256").mapInPandas(put, "path string, sha256 string, state string")
 
 
 class Journal:
@@ -173,9 +185,8 @@ class Journal:
         self.path = path
         self.identity = hashlib.sha256(json.dumps(plan, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
         self.state, self.facts = None, {}
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                known = json.load(f)
+        if store.exists(path):
+            known = json.loads(store.read(path))
             if known["plan"] != self.identity:
                 raise ValueError("the journal belongs to another plan")
             self.state, self.facts = known["state"], known["facts"]
@@ -185,9 +196,7 @@ class Journal:
         if self.state is not None and self.STATES.index(state) < self.STATES.index(self.state):
             raise ValueError(f"a job that is {self.state} cannot be {state}")
         self.state, self.facts = state, self.facts | facts
-        with open(self.path + ".part", "w", encoding="utf-8") as f:
-            json.dump({"plan": self.identity, "state": state, "facts": self.facts}, f, sort_keys=True)
-        os.replace(self.path + ".part", self.path)
+        store.write(self.path, json.dumps({"plan": self.identity, "state": state, "facts": self.facts}, sort_keys=True).encode())
 
 
 def manifest(written: DataFrame, name: str, title: str, license_: str, sources: list[dict]) -> dict:
@@ -195,3 +204,71 @@ def manifest(written: DataFrame, name: str, title: str, license_: str, sources:
     shards = [{"url": f"{r['sha256'][:2]}/{r['sha256'][2:4]}/{r['sha256']}.parquet", "sha256": r["sha256"], "docs": r["rows"], "tokens": r["tokens"], "bytes": r["bytes"]} for r in sorted(written.toLocalIterator(), key=lambda r: r["sha256"])]
     total = {k: sum(s[k] for s in shards) for k in ("docs", "tokens", "bytes")}
     return {"kind": "manifest", "schema": 2, "name": name, "title": title, "license": license_, "sources": sources, "shards": shards, "totals": total | {"shards": len(shards)}}
+
+
+def export_document(path: str, selection: dict, files: list[dict]) -> str:
+    """Writes what an export consists of: the selection's digest and, in order, every file's name, digest and bytes; returns the document's digest."""
+    pinned = hashlib.sha256(json.dumps(selection, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    document = {"kind": "export", "schema": 1, "selection_sha256": pinned, "files": [{k: f[k] for k in ("name", "sha256", "bytes")} for f in files]}
+    content = (json.dumps(document, indent=1, sort_keys=True) + "\n").encode()
+    store.write(path, content)
+    return hashlib.sha256(content).hexdigest()
+
+
+def verify_export(spark, path: str, selection: dict, folder: str) -> DataFrame:
+    """name, problem (missing, size, digest) of the files of an export that are not what its document says; another selection raises. Files are hashed by tasks."""
+    document = json.loads(store.read(path))
+    if document["selection_sha256"] != hashlib.sha256(json.dumps(selection, sort_keys=True, separators=(",", ":")).encode()).hexdigest():
+        raise ValueError("the export is one of another selection")
+    folder = folder.rstrip("/")
+
+    def check(batches):
+        for pdf in batches:
+            out = []
+            for name, digest, size in zip(pdf["name"], pdf["sha256"], pdf["bytes"]):
+                at = f"{folder}/{name}"
+                problem = "missing" if not store.exists(at) else "size" if store.size(at) != size else "digest" if store.digest(at) != digest else None
+                if problem:
+                    out.append((name, problem))
+            yield pd.DataFrame(out, columns=["name", "problem"])
+
+    rows = [(f["name"], f["sha256"], f["bytes"]) for f in document["files"]]
+    return spark.createDataFrame(rows, "name string, sha256 string, bytes long").mapInPandas(check, "name string, problem string")
+
+
+def append_telemetry(rows: DataFrame, folder: str) -> None:
+    """Appends telemetry rows as CSV files with a header; what is there stays."""
+    rows.write.mode("append").option("header", True).csv(folder)
+
+
+class Overlay:
+    """Changed documents of a catalogue, staged beside it and applied as a whole: if one cannot be put in place, all are put back."""
+
+    def __init__(self, root: str, stage: str):
+        self.root, self.stage, self.names = root.rstrip("/"), stage.rstrip("/"), []
+
+    def add(self, name: str, content: bytes) -> None:
+        """Stages a document under its path below the root."""
+        if name.startswith("/") or ".." in name.split("/"):
+            raise ValueError(f"{name!r} is not below the root")
+        store.write(f"{self.stage}/{name}", content)
+        self.names.append(name)
+
+    def apply(self) -> list[str]:
+        """Puts every staged document in place; returns the names that were changed. After a failure the root is as before."""
+        done: list[tuple[str, bytes | None]] = []
+        try:
+            for name in self.names:
+                to, new = f"{self.root}/{name}", store.read(f"{self.stage}/{name}")
+                old = store.read(to) if store.exists(to) else None
+                if old != new:
+                    done.append((name, old))
+                    store.write(to, new)
+        except Exception:
+            for name, old in reversed(done):
+                if old is None:
+                    store.remove(f"{self.root}/{name}")
+                else:
+                    store.write(f"{self.root}/{name}", old)
+            raise
+        return [name for name, _ in done]

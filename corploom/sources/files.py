@@ -7,24 +7,64 @@ import codecs
 import gzip
 import io
 import json
+import os
 import re
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 #: Bytes looked at to tell a format; text files beyond LARGE are cut into chunks of at most CHUNK bytes.
 HEAD, LARGE, CHUNK = 65536, 64 << 20, 16 << 20
 
+#: Blocks of text files whose line numbers are broadcast (some hundred bytes each); more are joined.
+BLOCKS = 100_000
+
 #: First bytes of compressed and media files.
 COMPRESSED = [(b"\x1f\x8b", "gzip"), (b"\x28\xb5\x2f\xfd", "zstd"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"), (b"PK\x03\x04", "zip")]
 MEDIA = [(b"\x89PNG\r\n\x1a\n", "png"), (b"\xff\xd8\xff", "jpeg"), (b"GIF8", "gif"), (b"%PDF-", "pdf"), (b"ID3", "mp3"), (b"OggS", "ogg"), (b"fLaC", "flac")]
 
 
+def roots(paths) -> list[str]:
+    """paths without those that are the same as or below another one, so that no file is listed twice."""
+    plain = sorted({("file:/" + p[5:].lstrip("/") if p.startswith("file:") else p).rstrip("/") or "/" for p in paths})
+    return [p for p in plain if not any(p != q and p.startswith(q + "/") for q in plain)]
+
+
 def binary(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, length, content of regular files, folders read to any depth, each file once. Empty files are not listed: they hold no records."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "length", "content").dropDuplicates(["path"])
+    """path, length, content of regular files, folders read to any depth, each file once. Empty files are not listed: they hold no records.
+
+    Repeated paths are taken out before anything is read; the files' content is not shuffled.
+    """
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots(paths)).select("path", "length", "content")
+
+
+def empty_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """path of the files without content, which file sources leave out: the listed files that a scan of sizes does not see."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots(paths))
+    plain = lambda p: "file:/" + p[5:].lstrip("/") if p.startswith("file:") else p
+    listed = spark.createDataFrame([(plain(unquote(p)),) for p in df.inputFiles()], "path string")
+    same = F.regexp_replace("path", "^file:/+", "file:/")
+    return listed.join(df.select(same.alias("path")), "path", "left_anti")
+
+
+def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, block, line (from 1), value of every line (split at LF) of text files of any size, compressed ones by their extension.
+
+    A file is read by as many tasks as it has blocks. A line's number is its place in its block plus the lines of the
+    blocks before, which are counted first; the text is not shuffled. Blocks are few: one for each part of a file.
+    """
+    df = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(roots(paths))
+    lines = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = checkpoint(blocks.select("path", "block", "first", F.coalesce(before, F.lit(0)).alias("before")))
+    starts = F.broadcast(starts) if starts.count() <= BLOCKS else starts
+    return lines.join(starts, ["path", "block"]).select("path", "block", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
 
 
 def decompress(content: bytes) -> bytes:
@@ -104,21 +144,19 @@ def _is_json(text: bytes) -> bool:
 
 
 def probe(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, bytes, sha256, format, compression of every file."""
+    """path, bytes, sha256, format, compression of every file, empty ones included; a symbolic link of the local file system raises."""
 
     @F.pandas_udf("format string, compression string")
     def kind(head: pd.Series, path: pd.Series, length: pd.Series) -> pd.DataFrame:
+        for p in path:
+            if p.startswith(("file:", "/")) and os.path.islink("/" + p.removeprefix("file:").lstrip("/")):
+                raise ValueError(f"{p} is a symbolic link")
         return pd.DataFrame([sniff(bytes(h), p, n) for h, p, n in zip(head, path, length)], columns=["format", "compression"])
 
     b = binary(spark, *paths).withColumn("k", kind(F.substring("content", 1, HEAD), F.col("path"), F.col("length")))
-    return b.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "k.format", "k.compression")
-
-
-def tree_digest(files: DataFrame) -> DataFrame:
-    """One digest over digest, bytes and path of every file, ordered by path."""
-    line = F.concat_ws("\t", "sha256", F.col("bytes").cast("string"), "path")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: F.concat(x["line"], F.lit("\n")))
-    return files.agg(F.sha2(F.array_join(lines, ""), 256).alias("digest"), F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    found = b.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "k.format", "k.compression")
+    none = empty_files(spark, *paths).select("path", F.lit(0).cast("bigint").alias("bytes"), F.sha2(F.lit(""), 256).alias("sha256"), F.lit("empty").alias("format"), F.lit("none").alias("compression"))
+    return found.unionByName(none)
 
 
 def text_files(spark: SparkSession, *paths: str, large: int = LARGE, chunk: int = CHUNK) -> DataFrame:
@@ -155,59 +193,68 @@ def bounded_text(text: Column, start: str, end: str) -> Column:
 
 
 def mbox(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, message (from 1), text of every message of mailbox files (plain, gzip or zstd); the envelope line is left out. Content before the first envelope raises."""
-
-    def split(batches):
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                text = decompress(bytes(content)).decode("utf-8")
-                first, *messages = re.split(r"(?m)^From [^\n]*\n", text)
-                if first.strip():
-                    raise ValueError(f"{path} has content before its first envelope")
-                for i, m in enumerate(messages, 1):
-                    if not m.strip():
-                        raise ValueError(f"{path} has an empty message {i}")
-                    out.append((path, i, m.rstrip("\n") + "\n"))
-            yield pd.DataFrame(out, columns=["path", "message", "text"])
-
-    return binary(spark, *paths).select("path", "content").mapInPandas(split, "path string, message long, text string")
+    """path, message (from 1), text of every message of mailbox files (plain, gzip or zstd) of any size; the envelope line is left out.
+
+    Content before the first envelope and an empty message raise. A message's number is that of the envelopes up to it,
+    counted by block first; only the lines of one message meet.
+    """
+    lines = numbered_lines(spark, *paths).withColumn("opens", F.col("value").startswith("From ").cast("int"))
+    inside = F.sum("opens").over(Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    blocks = lines.groupBy("path", "block").agg(F.sum("opens").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.withColumn("inside", inside).join(blocks.select("path", "block", before.alias("before")), ["path", "block"]).withColumn("message", F.col("before") + F.col("inside"))
+    body = F.transform(F.array_sort(F.collect_list(F.when(F.col("opens") == 0, F.struct("line", "value")))), lambda x: x["value"])
+    said = placed.groupBy("path", "message").agg(F.array_join(body, "\n").alias("text"))
+    bare = F.regexp_replace("text", r"\n+$", "")
+    wrong = F.when((F.col("message") == 0) & (F.trim(bare) != ""), F.raise_error(F.concat("path", F.lit(" has content before its first envelope"))))
+    wrong = F.coalesce(wrong, F.when((F.col("message") > 0) & (F.trim(F.regexp_replace("text", r"\s+", "")) == ""), F.raise_error(F.concat("path", F.lit(" has an empty message")))))
+    return said.select("path", "message", F.coalesce(wrong.cast("string"), F.concat(bare, F.lit("\n"))).alias("text")).where("message > 0 or text <> '\n'")
 
 
 def jsonl(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, line (from 1), record of every non-blank line; compressed files by their extension. Lines keep their place by file and offset."""
-
-    def number(batches):
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                for i, line in enumerate(decompress(bytes(content)).decode("utf-8").split("\n"), 1):
-                    if line.strip():
-                        out.append((path, i, line))
-            yield pd.DataFrame(out, columns=["path", "line", "record"])
-
-    return binary(spark, *paths).select("path", "content").mapInPandas(number, "path string, line long, record string")
-
-
-def json_lines_unnumbered(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, record of every non-blank line, for files of any size: lines of one file are read by many tasks, and are not numbered."""
-    return spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("record")).where(F.trim("record") != "")
+    """path, line (from 1, blank lines count), record of every non-blank line of files of any size; compressed files by their extension."""
+    return numbered_lines(spark, *paths).where(F.trim(F.regexp_replace("value", r"\r$", "")) != "").select("path", "line", F.regexp_replace("value", r"\r$", "").alias("record"))
+
+
+def objects_of(text: str) -> list[str]:
+    """The objects of a JSON document, one or an array of them, as they are written: numbers keep their spelling."""
+    decoder, space = json.JSONDecoder(), " \t\r\n"
+    skip = lambda i: next((j for j in range(i, len(text)) if text[j] not in space), len(text))
+    at, out = skip(0), []
+    if text[at : at + 1] != "[":
+        value, end = decoder.raw_decode(text, at)
+        spans = [(at, end, value)]
+    else:
+        spans, end = [], skip(at + 1)
+        while text[end : end + 1] != "]":
+            value, stop = decoder.raw_decode(text, end)
+            spans.append((end, stop, value))
+            end = skip(stop)
+            if text[end : end + 1] == ",":
+                end = skip(end + 1)
+            elif text[end : end + 1] != "]":
+                raise ValueError("an array that does not end")
+        end += 1
+    if skip(end) < len(text):
+        raise ValueError("something follows the document")
+    for a, b, value in spans:
+        if not isinstance(value, dict):
+            raise ValueError("something else than objects")
+        out.append(text[a:b])
+    return out
 
 
 def json_objects(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, line (place of the object), record of files with one object or one array of objects; numbers keep their spelling, other content raises."""
-
+    """path, line (place of the object), record of files with one object or one array of objects, as they are written; other content raises."""
 
     def objects(batches):
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                text = decompress(bytes(content)).decode("utf-8")
-                value = json.loads(text)
-                items = value if isinstance(value, list) else [value]
-                if not all(isinstance(x, dict) for x in items):
-                    raise ValueError(f"{path} holds something else than objects")
-                out += [(path, i, json.dumps(x, ensure_ascii=False)) for i, x in enumerate(items, 1)]
+                try:
+                    out += [(path, i, x) for i, x in enumerate(objects_of(decompress(bytes(content)).decode("utf-8")), 1)]
+                except ValueError as e:
+                    raise ValueError(f"{path}: {e}") from e
             yield pd.DataFrame(out, columns=["path", "line", "record"])
 
     return binary(spark, *paths).select("path", "content").mapInPandas(objects, "path string, line long, record string")
@@ -265,6 +312,12 @@ def parquet_column(spark: SparkSession, column: str, *paths: str) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"), F.col(column).alias("text"))
 
 
+def parquet_records(spark: SparkSession, columns: list[str], *paths: str) -> DataFrame:
+    """path, line (from 1), record: rows of Parquet files as JSON objects of the given top-level columns; no other column is read. Nulls are left out."""
+    df = spark.read.option("recursiveFileLookup", "true").parquet(*roots(paths))
+    return df.select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.row_index") + 1).alias("line"), F.to_json(F.struct(*columns)).alias("record"))
+
+
 def opaque(spark: SparkSession, *paths: str, chunk: int = 256 << 10) -> DataFrame:
     """path, chunk, chunks, text: any file as base64 chunks."""
 

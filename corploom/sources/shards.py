@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..operators.drift import NAMES, layout_columns
 
 CURRENT = tuple(NAMES)
@@ -17,25 +18,20 @@ LEGACY = ("sha256", "kind", "text", "source", "source_name", "license", "license
 LAYOUTS = {LEGACY: "legacy", CURRENT[:11]: "v1", CURRENT[:14]: "v2", CURRENT[:15]: "v3", CURRENT: "current"}
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
-
-
 def footers(spark: SparkSession, *paths: str) -> DataFrame:
     """path, layout, rows, row_groups, bytes, facts (the key/value pairs of the footer) of Parquet files; only footers are read."""
 
     def read(batches):
-        import os
-
         import pyarrow.parquet as pq
 
         for pdf in batches:
             out = []
             for path in pdf["path"]:
-                f = pq.ParquetFile(_local(path))
+                files, inside = store.at(path)
+                f = pq.ParquetFile(inside, filesystem=files)
                 facts = {k.decode(): v.decode() for k, v in (f.metadata.metadata or {}).items() if not k.startswith((b"ARROW", b"org.apache"))}
                 layout = LAYOUTS.get(tuple(f.schema_arrow.names))
-                out.append((path, layout, f.metadata.num_rows, f.metadata.num_row_groups, os.path.getsize(_local(path)), facts))
+                out.append((path, layout, f.metadata.num_rows, f.metadata.num_row_groups, store.size(path), facts))
             yield pd.DataFrame(out, columns=["path", "layout", "rows", "row_groups", "bytes", "facts"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(list(paths)).select("path")

@@ -7,9 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from corploom.plans import drift, reference, selection
+from corploom.plans import drift, files, reference, selection
 
-QUERIES, SQL = reference.QUERIES | selection.QUERIES, reference.SQL | selection.SQL
+QUERIES, SQL = reference.QUERIES | selection.QUERIES | files.QUERIES, reference.SQL | selection.SQL | files.SQL
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def test_entry(spark, small):
 
 
 def test_no_query_is_registered_twice():
-    assert len(entry.queries()) == len(reference.QUERIES) + len(selection.QUERIES) + len(drift.queries()) + len(entry._text().queries() if entry._text() else {})
+    assert len(entry.queries()) == len(reference.QUERIES) + len(selection.QUERIES) + len(files.QUERIES) + len(drift.queries()) + len(entry._text().queries() if entry._text() else {})
 
 
 def test_a_broken_subpackage_is_loud(monkeypatch):

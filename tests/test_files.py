@@ -1,12 +1,15 @@
 """Raw files, shards, exports and streams through real files."""
 
 import gzip
+import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from corploom.operators import drift
+from corploom.operators import drift, selection
+from corploom import store
 from corploom.sinks import shards as sink
 from corploom.sources import catalog, files, shards
 
@@ -21,15 +24,21 @@ def test_probe_and_text(spark, tmp_path):
     (tmp_path / "g.xml").write_text('<?xml version="1.0"?><r><p k="v">one <b>two</b></p><x><p>no</p></x></r>')
     (tmp_path / "h").write_bytes(b"")
     kinds = {r["path"].rsplit("/", 1)[1]: (r["format"], r["compression"]) for r in files.probe(spark, str(tmp_path)).collect()}
-    assert kinds == {"a.txt": ("text", "none"), "b.md": ("markdown", "none"), "c.jsonl": ("jsonl", "none"), "d.jsonl.gz": ("jsonl", "gzip"), "e.bin": ("unknown", "none"), "f.json": ("json", "none"), "g.xml": ("xml", "none")}
+    assert kinds == {"a.txt": ("text", "none"), "b.md": ("markdown", "none"), "c.jsonl": ("jsonl", "none"), "d.jsonl.gz": ("jsonl", "gzip"), "e.bin": ("unknown", "none"), "f.json": ("json", "none"), "g.xml": ("xml", "none"), "h": ("empty", "none")}
     assert files.text_files(spark, str(tmp_path / "a.txt")).first()["text"] == "héllo\n"
     cut = files.text_files(spark, str(tmp_path / "a.txt"), large=1, chunk=2).orderBy("chunk").collect()
     assert "".join(r["text"] for r in cut) == "héllo\n" and len(cut) == cut[0]["chunks"] > 1
     assert [r["line"] for r in files.jsonl(spark, str(tmp_path / "d.jsonl.gz")).orderBy("line").collect()] == [1, 3]
-    assert files.json_objects(spark, str(tmp_path / "f.json")).count() == 2
+    assert [r["record"] for r in files.json_objects(spark, str(tmp_path / "f.json")).orderBy("line").collect()] == ['{"a": 1}', '{"a": 2.50}']
     x = files.xml_records(spark, str(tmp_path / "g.xml"), fields={"p": "//p", "k": "//p/@k"}, exclude=("/r/x",)).first()
     assert x["p"] == ["one two"] and x["k"] == ["v"]
-    assert files.tree_digest(files.probe(spark, str(tmp_path))).first()["files"] == 7
+    listed = [(r["path"], r["sha256"], r["bytes"]) for r in files.probe(spark, str(tmp_path)).collect()]
+    assert len(listed) == 8 and ("".join(f"{h}\t{n}\t{q}\n" for q, h, n in sorted(listed))) and selection.tree_digest(files.probe(spark, str(tmp_path))) == hashlib.sha256("".join(f"{h}\t{n}\t{q}\n" for q, h, n in sorted(listed)).encode()).hexdigest()
+    assert files.probe(spark, str(tmp_path), str(tmp_path / "a.txt"), str(tmp_path) + "/").count() == 8
+    os.symlink(tmp_path / "a.txt", tmp_path / "link")
+    with pytest.raises(Exception, match="symbolic link"):
+        files.probe(spark, str(tmp_path / "link")).collect()
+    (tmp_path / "link").unlink()
     assert files.opaque(spark, str(tmp_path / "e.bin")).first()["text"] == "//4A"
     with pytest.raises(Exception, match="NUL|utf-8"):
         files.text_files(spark, str(tmp_path / "e.bin")).collect()
@@ -43,11 +52,97 @@ def test_mbox_and_bounds(spark, tmp_path):
     assert [r[0] for r in df.select(files.bounded_text(F.col("t"), "BEGIN", "END")).collect()] == ["a \n b\n", None]
 
 
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    """One file read by many tasks, one compressed, blank lines and CRLF: the numbers are those of the file."""
+    lines = [f'{{"n": {i}.50, "pad": "{"x" * (i % 90)}"}}' if i % 7 else "" for i in range(4000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "b.jsonl.gz").write_bytes(gzip.compress("\r\n".join(lines[:100]).encode()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = files.jsonl(spark, str(tmp_path)).collect()
+        assert files.numbered_lines(spark, str(tmp_path / "a.jsonl")).select("block").distinct().count() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, n in (("a.jsonl", 4000), ("b.jsonl.gz", 100)):
+        assert {r["line"]: r["record"] for r in got if r["path"].endswith(name)} == {i + 1: x for i, x in enumerate(lines[:n]) if x}
+
+
+def test_mailboxes_over_blocks(spark, tmp_path):
+    mails = [f"Subject: {i}\n\n" + "\n".join(f"line {j} >From" for j in range(i % 30)) for i in range(400)]
+    (tmp_path / "m").write_text("".join(f"From a@b {i}\n{m}\n\n" for i, m in enumerate(mails)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = {r["message"]: r["text"] for r in files.mbox(spark, str(tmp_path / "m")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i + 1: m.rstrip("\n") + "\n" for i, m in enumerate(mails)}
+    for name, content in (("before", "x\nFrom a\nb\n"), ("empty", "From a\n\nFrom b\nc\n")):
+        (tmp_path / name).write_text(content)
+        with pytest.raises(Exception, match="envelope|empty message"):
+            files.mbox(spark, str(tmp_path / name)).collect()
+
+
+@pytest.mark.parametrize("text, want", [('{"a": 1e5}', ['{"a": 1e5}']), ('[ {"a":2.50} , {"b":[1, 2]} ]\n', ['{"a":2.50}', '{"b":[1, 2]}']), ("[]", []), ("[1]", None), ('{"a":1} {"b":2}', None), ('[{"a":1}', None), ("", None)])
+def test_objects_as_they_are_written(text, want):
+    if want is None:
+        with pytest.raises(ValueError):
+            files.objects_of(text)
+    else:
+        assert files.objects_of(text) == want
+
+
+def test_verify_finds_what_changed(spark, small, tmp_path):
+    rows = spark.read.parquet(f"{small}/text_rows.parquet").select(*drift.NAMES).withColumn("token_count", F.lit(1).cast("bigint")).withColumn("license", F.lit("MIT"))
+    written = sink.write_shards(rows.repartition(3), f"file://{tmp_path}/s").collect()
+    df = spark.createDataFrame(written, sink.WRITTEN)
+    assert sink.verify(df).count() == 0 and len(written) == 3
+    store.write(written[0]["path"], b"no parquet")
+    store.remove(written[1]["path"])
+    bad = {r["path"]: r["found"] for r in sink.verify(df).collect()}
+    assert set(bad) == {written[0]["path"], written[1]["path"]} and bad[written[1]["path"]] is None
+
+
+def test_exports_overlays_and_telemetry(spark, tmp_path):
+    for n in ("a", "b", "c"):
+        (tmp_path / n).write_text(n)
+    pins = [{"name": n, "sha256": store.digest(str(tmp_path / n)), "bytes": 1} for n in ("a", "b", "c")]
+    doc = str(tmp_path / "EXPORT.json")
+    assert sink.export_document(doc, {"x": 1}, pins) == store.digest(doc) and sink.verify_export(spark, doc, {"x": 1}, str(tmp_path)).count() == 0
+    (tmp_path / "a").write_text("z")
+    (tmp_path / "b").write_text("long")
+    (tmp_path / "c").unlink()
+    assert {tuple(r) for r in sink.verify_export(spark, doc, {"x": 1}, str(tmp_path)).collect()} == {("a", "digest"), ("b", "size"), ("c", "missing")}
+    with pytest.raises(ValueError):
+        sink.verify_export(spark, doc, {"x": 2}, str(tmp_path))
+    root = tmp_path / "root"
+    (root / "d").mkdir(parents=True)
+    (root / "d" / "old").write_text("1")
+    (root / "blocked" / "below").mkdir(parents=True)
+    o = sink.Overlay(str(root), str(tmp_path / "stage"))
+    o.add("d/old", b"2")
+    o.add("new/doc", b"3")
+    o.add("blocked", b"a folder is here")
+    with pytest.raises(Exception):
+        o.apply()
+    assert (root / "d" / "old").read_text() == "1" and not (root / "new" / "doc").exists()
+    o.names.remove("blocked")
+    assert o.apply() == ["d/old", "new/doc"] and (root / "new" / "doc").read_text() == "3" and o.apply() == []
+    with pytest.raises(ValueError):
+        o.add("../x", b"")
+    t = spark.createDataFrame([("2024", "r", 1.5)], "observed_utc string, run_id string, loss double")
+    cols = [F.col(c) if c in t.columns else F.lit(None).cast(k).alias(c) for c, k in (x.split(" ") for x in files.TELEMETRY.split(", "))]
+    for _ in range(2):
+        sink.append_telemetry(t.select(*cols), str(tmp_path / "t"))
+    assert [r["loss"] for r in files.telemetry(spark, str(tmp_path / "t")).collect()] == [1.5, 1.5]
+
+
 def test_shards_round_trip(spark, small, tmp_path):
     rows = spark.read.parquet(f"{small}/text_rows.parquet").select(*drift.NAMES).withColumn("token_count", F.coalesce("token_count", F.lit(0))).withColumn("license", F.coalesce("license", F.lit("MIT")))
     written = sink.write_shards(rows.repartition(2), str(tmp_path / "s"))
     written = spark.createDataFrame(written.collect(), written.schema)
-    assert written.agg(F.sum("rows")).first()[0] == rows.count() and sink.verify(spark, written).count() == 0
+    assert written.agg(F.sum("rows")).first()[0] == rows.count() and sink.verify(written).count() == 0
     f = shards.footers(spark, str(tmp_path / "s")).collect()
     assert {r["layout"] for r in f} == {"current"} and sum(int(r["facts"]["corploom.records"]) for r in f) == rows.count()
     back = shards.read_shards(spark, str(tmp_path / "s"))
