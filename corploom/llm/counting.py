@@ -43,6 +43,22 @@ class Trie:
                 self.fail[v] = to or 0
 
 
+class Words:
+    """Counts of texts from those of their pre-tokens, which are remembered. Subclasses have splitter, known, whole and count()."""
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """The number of tokens of each text."""
+        words, begin = self.splitter.split(texts)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, whole = self.known, self.whole
+        for w in set(words).difference(known):
+            known[w] = 1 if w in whole else self.count(w)
+        total = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), out=total[1:])
+        return np.diff(total[begin])
+
+
 class LongestMatch:
     """Counts of tokens when the longest token of the vocabulary is taken at each place.
 
@@ -105,6 +121,14 @@ class LongestMatch:
         return total
 
 
+class LongestCounter(Words):
+    """Counts of texts for a longest-match vocabulary, pre-token by pre-token."""
+
+    def __init__(self, ranks: dict[bytes, int], splitter: Splitter | None = None):
+        self.splitter, self.known, self.whole = splitter or Splitter(), {}, ranks
+        self.count = LongestMatch(sorted(ranks, key=ranks.get)).count
+
+
 def derivations(ranks: dict[bytes, int]) -> np.ndarray:
     """For each id the two ids of its last merge; a single byte has itself twice."""
     parts = np.zeros((max(ranks.values()) + 1, 2), np.int32)
@@ -130,7 +154,7 @@ def derivations(ranks: dict[bytes, int]) -> np.ndarray:
     return parts
 
 
-class MergeCounter:
+class MergeCounter(Words):
     """Exact token counts of byte-level BPE without the token sequence being built."""
 
     def __init__(self, ranks: dict[bytes, int], parts: np.ndarray | None = None, splitter: Splitter | None = None):
@@ -195,15 +219,3 @@ class MergeCounter:
                 count.append(count[i - size] + 1)
                 break
         return count[-1]
-
-    def counts(self, texts: list[str]) -> np.ndarray:
-        """The number of tokens of each text."""
-        words, begin = self.splitter.split(texts)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, whole = self.known, self.whole
-        for w in set(words).difference(known):
-            known[w] = 1 if w in whole else self.count(w)
-        total = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), out=total[1:])
-        return np.diff(total[begin])

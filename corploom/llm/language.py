@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, blocks, char_classes
-from .sampling import place
+from .sampling import place, short
 
 LANGUAGES = ("en", "fr", "de", "es", "pt", "nl")
 
@@ -38,6 +38,9 @@ PENALTY, ROUNDS = 6.0, 8
 #: Log-odds that a line of another language must have over the document's main language.
 MARGIN = 3.0
 
+#: Letters from which a text can be in none of the languages, and the part of what the least likely texts of the sample reach below which it is.
+LEAST_TEXT, NONE = 60, 0.5
+
 #: Rounds in which the models are fitted again to the lines as they were found, since labels are noisy.
 REFITS = 3
 
@@ -61,10 +64,14 @@ def label(text: str | None) -> str | None:
 
 
 class Models(NamedTuple):
-    """Log-probabilities of hashed 3- and 4-grams: two arrays (2**BITS, languages)."""
+    """Log-probabilities of hashed 3- and 4-grams over those of the background (all languages alike): two arrays (2**BITS, languages).
+
+    least: the log-likelihood a letter over the background below which a text is in none of the languages.
+    """
 
     three: np.ndarray
     four: np.ndarray
+    least: float = 0.0
 
 
 class Grams:
@@ -91,7 +98,6 @@ class Grams:
             start = np.maximum.accumulate(np.where(begins, np.arange(len(c), dtype=np.int32), np.int32(0)))
             c = np.where(self.upper[cp][start], np.uint32(0), c)
         c = np.concatenate([np.zeros(1, np.uint32), c, np.zeros(2, np.uint32)])
-        n = len(c)
         x = [c[:-3] * np.uint32(0x9E3779B1), c[1:-2] * np.uint32(0x85EBCA6B), c[2:-1] * np.uint32(0xC2B2AE35), c[3:] * np.uint32(0x27D4EB2F)]
         inside = c[1:-2] != 0
         three = np.flatnonzero(inside)
@@ -100,7 +106,6 @@ class Grams:
         h3 = ((h * np.uint32(0x165667B1)) >> shift)[three]
         four = np.flatnonzero(inside & (c[2:-1] != 0))
         h4 = (((h + x[3]) * np.uint32(0x2545F491)) >> shift)[four]
-        assert n
         return [(three, h3), (four, h4)]
 
     def scores(self, lines: list[str], models: Models) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +121,7 @@ class Grams:
         np.cumsum(np.fromiter((len(t) + 1 for t in lines), np.int64, len(lines)), out=begin[1:])
         out = np.zeros((len(lines), models.three.shape[1]))
         letters = None
-        for (at, h), table in zip(self.of(whole), models):
+        for (at, h), table in zip(self.of(whole), models[:2]):
             edge = np.searchsorted(at, begin)
             if letters is None:
                 letters = np.diff(edge)
@@ -166,15 +171,16 @@ def fit(texts: list[str], labels: list[str | None], languages: tuple[str, ...] =
     models = None
     for _ in range(refits + 1):
         models = Models(*map(log_table, grams.count(lines, weights)))
-        got, letters, _, (main, *_) = infer(grams, models, lines, np.array(of), len(pairs))
+        got, letters, _, (main, _, _, total, own) = infer(grams, models, lines, np.array(of), len(pairs))
         # short lines go with their document: alone they say little, and a wrong turn would confirm itself
         weights = np.eye(len(languages))[np.where(letters >= LONG, got, main[of])]
-    return models
+    long = total >= LEAST_TEXT
+    return models._replace(least=float(NONE * np.percentile(own[long] / total[long], 1)) if long.any() else 0.0)
 
 
 def infer(grams: Grams, models: Models, lines: list[str], of: np.ndarray, n: int):
     """For lines of n documents (of: the document of each line): each line's language, letters, log-odds over the document's
-    main language and its posterior; as (language, letters, (odds, posterior), (main, share of main, evidence)) by line and document."""
+    main language and its posterior; as (language, letters, (odds, posterior), (main, share of main, evidence, letters in main, their log-likelihood over the background)) by line and document."""
     s, letters = grams.scores(lines, models)
     k = s.shape[1]
     top = s.max(axis=1, keepdims=True) if len(s) else np.zeros((0, 1))
@@ -224,7 +230,8 @@ def infer(grams: Grams, models: Models, lines: list[str], of: np.ndarray, n: int
     score = size[np.arange(n), main2] / np.maximum(total, 1)
     best = np.sort(np.stack([np.bincount(of, s[:, j], n) for j in range(k)], axis=1), axis=1)
     evidence = best[:, -1] - best[:, -2]
-    return language, letters, (odds, post[np.arange(len(s)), language]), (main2, score, evidence, total)
+    own = np.bincount(of, s[np.arange(len(s)), main2[of]] * (language == main2[of]), n)
+    return language, letters, (odds, post[np.arange(len(s)), language]), (main2, score, evidence, size[np.arange(n), main2], own)
 
 
 _ADDRESS = re.compile(r"\S*[  ]?(?:@|[(\[{]at[)\]}]|(?<=[  ])AT(?=[  ]))[  ]?\S*(?:[  ](?:[(\[{]dot[)\]}]|DOT)[  ]\S+)*|\S*/\S*")
@@ -248,7 +255,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Models:
     """Models from about ``sample`` labelled rows of each language (text, language, row_id), the first by a hash of row_id."""
     spelled = F.create_map(*[F.lit(x) for pair in (NAMES | {k: k for k in LANGUAGES}).items() for x in pair])
     base = F.trim(F.split(F.translate(F.lower(F.trim("language")), "_", "-"), "-")[0])
-    labelled = rows.where("text is not null and language is not null").select("text", spelled[base].alias("label"), place("row_id").alias("_at")).where("label is not null")
+    labelled = rows.where(short() & F.col("language").isNotNull()).select("text", spelled[base].alias("label"), place("row_id").alias("_at")).where("label is not null")
     # at most one row for each language
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -270,7 +277,7 @@ def identify(rows: DataFrame, models: Models, every: bool = True) -> DataFrame:
 
     With ``every`` each document has its row; without, only those whose label is missing, names no single language or
     names another one. Documents without letters have no language: null with confidence 0 (no row without ``every``);
-    so have null texts. Mail header lines and lines without enough words are never lines of another language.
+    so have null texts, and texts that are no likelier in any of the languages than in their background. Mail header lines and lines without enough words are never lines of another language.
     """
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
@@ -300,13 +307,14 @@ def _found(grams: Grams, models: Models, ids: list, texts: list[str], labels: li
     if lines:
         # header lines have no part in what the text is written in
         read = ["" if s else plain(x) for x, s in zip(lines, skip)]
-        language, letters, (odds, post), (main, score, evidence, total) = infer(grams, models, read, of, len(texts))
-        other = np.flatnonzero((language != main[of]) & ~np.array(skip) & (letters >= LEAST_LETTERS))
+        language, letters, (odds, post), (main, score, evidence, total, own) = infer(grams, models, read, of, len(texts))
+        known = (total < LEAST_TEXT) | (own >= models.least * total)
+        other = np.flatnonzero(known[of] & (language != main[of]) & ~np.array(skip) & (letters >= LEAST_LETTERS))
         other = other[[len(_WORDS.findall(lines[i])) >= LEAST_WORDS for i in other.tolist()]] if len(other) else other
         for i in other.tolist():
             out.append((ids[of[i]], number[i], LANGUAGES[language[i]], int(round(1000 * post[i]))))
     for d, row in enumerate(ids):
-        name = LANGUAGES[main[d]] if lines and total[d] > 0 else None
+        name = LANGUAGES[main[d]] if lines and total[d] > 0 and known[d] else None
         if every or (name is not None and label(labels[d]) != name):
             out.append((row, -1, name, int(round(1000 * score[d] * (1 - np.exp(-max(evidence[d], 0)))))  if name else 0))
     cols = list(zip(*out)) if out else [[], [], [], []]

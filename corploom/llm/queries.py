@@ -84,6 +84,11 @@ def p7_totals(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_totals(table(spark, sf, "text_rows"))
 
 
+def p7_longest(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every text if the vocabulary is one of longest matches."""
+    return tokens.count_tokens(table(spark, sf, "text_rows").select("row_id", "text"), longest=True)
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")

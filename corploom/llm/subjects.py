@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, SPACE, blocks, char_classes
-from .sampling import sample as sample_rows
+from .sampling import sample as sample_rows, short
 
 #: Labelled documents, about, from which the lexicon is fitted, chosen by a hash of doc_id over all labelled documents.
 SAMPLE = 6000
@@ -193,7 +193,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample:
     names = [s for s, *_ in known]
     each = label_table(labels, subjects).groupBy("doc_id").agg(F.collect_list("subject").alias("subjects"))
     picked = sample_rows(each, sample, "doc_id")
-    got = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").toPandas().sort_values("doc_id")
+    got = documents.where(short()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").toPandas().sort_values("doc_id")
     lists = [[names.index(s) for s in x] for x in got["subjects"]]
     return names, fit(got["text"].tolist(), lists, len(names), [f"{t}. {d}" for _, t, d in known])
 

@@ -21,7 +21,7 @@ def _tool(kind: str, digest: str, raw: bytes, parts: np.ndarray | None):
     if tool is None:
         ranks = bpe.parse_ranks(raw)
         splitter = _WORKER.setdefault("splitter", bpe.Splitter())
-        tool = bpe.Encoder(ranks, splitter) if kind == "encode" else counting.MergeCounter(ranks, parts, splitter)
+        tool = bpe.Encoder(ranks, splitter) if kind == "encode" else counting.LongestCounter(ranks, splitter) if kind == "longest" else counting.MergeCounter(ranks, parts, splitter)
         _WORKER[kind, digest] = tool
     return tool
 
@@ -72,21 +72,24 @@ def _ranges(column: pa.Array, limit: int = 4 * bpe.BLOCK_CHARS):
         start = stop
 
 
-def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", path: str | None = None, drop_text: bool = True) -> DataFrame:
+def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", path: str | None = None, drop_text: bool = True, longest: bool = False) -> DataFrame:
     """df with the exact number of tokens of ``text`` (bigint) under the rank file at ``path``.
 
+    ``longest``: the file's tokens are a longest-match vocabulary, and of each pre-token the longest token at the front
+    is cut off again and again; else they are merges by rank.
+
     A null text has null, an empty text 0. The text itself is dropped unless ``drop_text`` is false, so that only
     the other columns travel back. A column named ``out`` is replaced.
     """
     raw = bpe.read_ranks(path)
     sc = df.sparkSession.sparkContext
     digest = hashlib.sha256(raw).hexdigest()
-    shared = sc.broadcast((raw, counting.derivations(bpe.parse_ranks(raw))))
+    shared = sc.broadcast((raw, None if longest else counting.derivations(bpe.parse_ranks(raw))))
     kept = df.drop(out)
     fields = [f for f in kept.schema.fields if not (drop_text and f.name == text)]
 
     def make(batches):
-        counter = _tool("count", digest, *shared.value)
+        counter = _tool("longest" if longest else "count", digest, *shared.value)
         for batch in batches:
             column = batch.column(batch.schema.names.index(text))
             for start, stop in _ranges(column):

@@ -272,3 +272,12 @@ def test_address_trees_know_decoys(held_out):
     texts = ["Ann lives at 12 Harbour Lane, 00945 Port.", "Originals go to Flat 3, 77b Mill Road.", "As early as in 1934 Harbour Lane was closed.", "They met in Harbour Lane before noon.", "Calle Mayor 135, 2.º B", "wohnhaft Hafenstraße 97."]
     got = [[(k, t[a:b]) for k, a, b, _ in r if k == "address"] for t, r in zip(texts, personal.find(model, texts))]
     assert got == [[("address", "12 Harbour Lane, 00945 Port")], [("address", "Flat 3, 77b Mill Road")], [], [], [("address", "Calle Mayor 135, 2.º B")], [("address", "Hafenstraße 97")]]
+
+
+def test_a_language_that_is_none_of_them(spark):
+    models = language.fit([t for t in SENTENCES.values()] * 30, list(SENTENCES) * 30)
+    others = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava veljeyden hengessä.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować."]
+    df = rows(spark, [("s", None, t, "en") for t in [*SENTENCES.values(), *others]])
+    got = {r["row_id"]: r for r in language.identify(df, models).where("line_no = -1").collect()}
+    assert [got[i]["language"] for i in range(8)] == [*SENTENCES, None, None] and got[7]["confidence"] == 0
+    assert {r["row_id"] for r in language.identify(df, models, every=False).collect()} == {1, 2, 3, 4, 5}

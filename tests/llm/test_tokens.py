@@ -1,13 +1,11 @@
 """Encoding and counting against public libraries, mixing and packing against brute force."""
 
-import json
 import random
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from corploom.llm import bpe, counting, mixing, packing, tokens
 
@@ -190,3 +188,30 @@ def test_samples_are_bounded_and_repeatable(spark):
 def test_vocabulary_is_a_parameter(tmp_path):
     (tmp_path / "v").write_bytes(b"YQ== 0\nYg== 1\nYWI= 2\n")
     assert bpe.parse_ranks(bpe.read_ranks(str(tmp_path / "v"))) == {b"a": 0, b"b": 1, b"ab": 2}
+
+
+def test_longest_matches_against_a_plain_search(spark, tmp_path):
+    import base64
+
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"abc", b"bcd", b"cdcd", b" the", b"the", b"xxxx", b"xx"]
+    (tmp_path / "v").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    random.seed(3)
+    texts = ["".join(random.choices("abcdx the", k=n)) for n in (0, 1, 5, 40, 900, 30_000)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
+    got = {r["row_id"]: r["n_tokens"] for r in tokens_of(df, str(tmp_path / "v")).collect()}
+
+    def plain(word: bytes) -> int:
+        n = 0
+        while word:
+            word = word[max(k for k in range(1, 5) if word[:k] in set(tokens)) :]
+            n += 1
+        return n
+
+    splitter = bpe.Splitter()
+    for i, t in enumerate(texts):
+        words = splitter.split([t])[0] if t else []
+        assert got[i] == (None if t is None else sum(map(plain, words)))
+
+
+def tokens_of(df, path):
+    return tokens.count_tokens(df, path=path, longest=True)
