@@ -104,7 +104,7 @@ class RecordFilter:
         for p in [p for v in values for p in (*v.include, *v.exclude)] + self.exclude_licenses:
             glob_regex(p)
         for d in (self.date_from, self.date_to):
-            if d is not None and not re.fullmatch(r"\d{4}(-\d{2}(-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2}))?)?)?", d):
+            if d is not None and not re.match(r"\d{4}(-\d{2}(-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2}))?)?)?\Z", d):
                 raise ValueError(f"{d!r} is no year, month, day or instant")
         if self.date_from and self.date_to and self.date_from[: len(self.date_to)] > self.date_to[: len(self.date_from)]:
             raise ValueError("the first date is after the last")

@@ -136,17 +136,46 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, value: str, width: i
 def pack_windows(records: DataFrame, length: int) -> DataFrame:
     """window, targets: continuous packing of records (seq, tokens) with an end token each into windows of ``length`` targets.
 
-    The token at place p (from 0) is a target for p >= 1 and belongs to window (p - 1) div length; every token is supervised.
+    The token at place p (from 0) is a target for p >= 1 and belongs to window (p - 1) div length. Where records have
+    ``silent`` (tokens at their beginning that are read but not learnt), those are no targets. Windows without a target
+    are left out.
     """
+    silent = F.coalesce("silent", F.lit(0)) if "silent" in records.columns else F.lit(0)
     placed = prefix_sums(records.withColumn("one", F.lit(1)).withColumn("t", F.col("tokens") + 1), ["one"], "seq", "t")
-    first = F.greatest(F.col("before"), F.lit(1))
+    first = F.greatest(F.col("before") + silent, F.lit(1))
     last = F.col("before") + F.col("t") - 1
-    spans = placed.where(last >= 1).select(first.alias("a"), last.alias("b"))
+    spans = placed.where(last >= first).select(first.alias("a"), last.alias("b"))
     each = spans.select("a", "b", F.explode(F.sequence(((F.col("a") - 1) / length).cast("bigint"), ((F.col("b") - 1) / length).cast("bigint"))).alias("window"))
     low, high = F.greatest("a", F.col("window") * length + 1), F.least("b", (F.col("window") + 1) * length)
     return each.groupBy("window").agg(F.sum(high - low + 1).cast("bigint").alias("targets"))
 
 
+def epoch_order(records: DataFrame, seed: int, epochs: int, name: Column) -> DataFrame:
+    """records once for each epoch (from 0) with ``order_key``: every epoch has an order of its own, by its seed."""
+    key = F.sha2(F.concat(F.lit(bytes((seed & MASK).to_bytes(8, "big"))), F.encode(F.concat(F.col("epoch").cast("string"), F.lit(":"), name), "UTF-8")), 256)
+    return records.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("order_key", key)
+
+
+#: Objectives that a type of stage may have.
+OBJECTIVES = {"pre-training": ("causal-language-modeling",), "fine-tuning": ("causal-language-modeling", "assistant-response-modeling")}
+
+
+def stage_problems(stages: DataFrame, actual: DataFrame) -> DataFrame:
+    """stage, problem of stages (name, type, objective, corpus_bom_sha256, files, docs, tokens, bytes) that cannot be run on what was selected.
+
+    actual: stage, files, docs, tokens, bytes of the selected objects. A null declaration of a total is no problem, an
+    unknown type, an objective that the type does not have, no pinned selection, no objects, and other totals are.
+    """
+    kinds = F.create_map(*[F.lit(x) for k, v in OBJECTIVES.items() for x in (k, ",".join(v))])
+    j = stages.join(actual.select(F.col("stage").alias("name"), F.struct("files", "docs", "tokens", "bytes").alias("_a")), "name", "left")
+    wrong = lambda c: F.when(F.col("_a").isNotNull() & F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_a.{c}")), F.lit(c))
+    tests = F.array(
+        F.when(kinds[F.col("type")].isNull(), "type"), F.when(kinds[F.col("type")].isNotNull() & ~F.coalesce(F.array_contains(F.split(kinds[F.col("type")], ","), F.col("objective")), F.lit(False)), "objective"),
+        F.when(~F.coalesce(F.col("corpus_bom_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "selection"), F.when(F.col("_a").isNull(), "inputs"), *[wrong(c) for c in ("files", "docs", "tokens", "bytes")],
+    )
+    return j.select(F.col("name").alias("stage"), F.explode(F.filter(tests, lambda t: t.isNotNull())).alias("problem"))
+
+
 def steps_for_tokens(tokens: int, batch: int, length: int) -> int:
     """Steps of batch x length tokens that hold a budget."""
     return -(-tokens // (batch * length))

@@ -44,8 +44,13 @@ def raw(spark: SparkSession, paths: list[str], profile: mapping.Profile, form: s
 
 
 def logical(spark: SparkSession, paths: list[str], profile: mapping.Profile, form: str = "jsonl", fields: dict[str, str] | None = None) -> DataFrame:
-    """Mapped records with their place: path, line, outcome and the mapped fields."""
-    return mapping.map_records(raw(spark, paths, profile, form, fields), profile)
+    """Mapped records with their place: path, line, origin (sha256:<file>#line=<line>), outcome and the mapped fields."""
+    mapped = mapping.map_records(raw(spark, paths, profile, form, fields), profile)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    known = files.binary(spark, *paths).select(plain(F.col("path")).alias("_p"), F.sha2("content", 256).alias("_h"))
+    # one row for each file
+    placed = mapped.withColumn("_p", plain(F.col("path"))).join(known, "_p", "left").drop("_p")
+    return placed.withColumn("origin", F.concat(F.lit("sha256:"), "_h", F.lit("#line="), F.col("line").cast("string"))).drop("_h")
 
 
 def redact(rows: DataFrame) -> DataFrame:
@@ -71,7 +76,7 @@ def clean(mapped: DataFrame, allowed: Values | None = None) -> DataFrame:
 
     A licence that ``allowed`` forbids makes the outcome license-policy; such records, and others that are not good, keep no text.
     """
-    placed = mapped.withColumn("origin", F.concat(F.col("path"), F.lit("#line="), F.col("line")))
+    placed = mapped
     c = mapping.canonical(placed, extra=("path", "line", "kind"))
     if allowed is not None:
         c = c.withColumn("outcome", F.when(allowed.allows(F.col("license")), "ok").otherwise("license-policy"))

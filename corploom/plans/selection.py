@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import policy
+from ..functions import conversation, policy
 from ..functions import text as T
 from ..operators import selection, training
 from ..session import table
@@ -271,9 +271,77 @@ def turns_to_conversations(spark, sf):
     return c.select("conv_id", F.size("messages").cast("bigint").alias("turns"), F.sha2(said, 256).alias("messages"), "valid")
 
 
+def _go_sql(c: str) -> str:
+    """The SQL of a text as a canonical JSON string."""
+    from .reference import _json_sql
+
+    c = _json_sql(c)
+    for code in (60, 62, 38, 0x2028, 0x2029):
+        c = f"replace({c}, chr({code}), '\\u{code:04x}')"
+    return c
+
+
+_ASKED = "(SELECT doc_id, source AS q, text AS a, corpus AS x FROM documents WHERE text <> '')"
+_ENCODED = f"""'{{"messages":[{{"role":"user","content":' || {_go_sql("q")} || ',"context":' || {_go_sql("x")} || '}},{{"role":"assistant","content":' || {_go_sql("a")} || '}}]}}'"""
+
+
+def _encoded(spark, sf) -> DataFrame:
+    one = lambda role, c, x: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"), x.alias("context"))
+    messages = F.array(one("user", "source", F.col("corpus")), one("assistant", "text", F.lit(None).cast("string")))
+    return table(spark, sf, "documents").where("text <> ''").select("doc_id", conversation.encode(messages).alias("line"))
+
+
+@query(f"SELECT doc_id, sha256({_ENCODED}) AS line FROM {_ASKED}")
+def conversation_encoded(spark, sf):
+    """Dialogues as canonical JSON (as digests)."""
+    return _encoded(spark, sf).select("doc_id", F.sha2("line", 256).alias("line"))
+
+
+@query(f"SELECT doc_id, doc_id % 5 <> 1 AND doc_id % 5 <> 2 AND doc_id % 5 <> 3 AS ok, CASE WHEN doc_id % 5 IN (0, 4) THEN sha256(a) END AS answer FROM {_ASKED}")
+def conversation_decoded(spark, sf):
+    """Canonical dialogues read strictly; in three of five something is not canonical: an unknown field, a blank after the end, a blank inside."""
+    k = F.col("doc_id") % 5
+    line = F.when(k == 1, F.replace("line", F.lit('{"messages"'), F.lit('{"other":1,"messages"'))).when(k == 2, F.concat("line", F.lit(" "))).when(k == 3, F.replace("line", F.lit('{"messages":['), F.lit('{"messages": ['))).otherwise(F.col("line"))
+    d = _encoded(spark, sf).select("doc_id", conversation.decode(line).alias("d"))
+    return d.select("doc_id", F.col("d.error").isNull().alias("ok"), F.sha2(F.element_at("d.messages", -1)["content"], 256).alias("answer"))
+
+
 # Budgets and runs
 
 
+@query("""WITH t AS (SELECT doc_id, strlen(source) AS silent, strlen(source) + strlen(text) AS n FROM documents WHERE text IS NOT NULL), p AS (SELECT *, coalesce(sum(n + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM t),
+s AS (SELECT greatest(b + silent, 1) AS a, b + n AS z FROM p WHERE b + n >= greatest(b + silent, 1)), w AS (SELECT a, z, unnest(range(CAST((a - 1) // 256 AS BIGINT), CAST((z - 1) // 256 AS BIGINT) + 1)) AS w FROM s)
+SELECT w AS window, CAST(sum(least(z, (w + 1) * 256) - greatest(a, w * 256 + 1) + 1) AS BIGINT) AS targets FROM w GROUP BY w""")
+def pack_windows_masked(spark, sf):
+    """Windows of 256 byte tokens over dialogues, of which only the answers are targets."""
+    d = table(spark, sf, "documents").where("text is not null")
+    return training.pack_windows(d.select(F.col("doc_id").alias("seq"), (F.octet_length("source") + F.octet_length("text")).cast("bigint").alias("tokens"), F.octet_length("source").cast("bigint").alias("silent")), 256)
+
+
+@query("SELECT row_id, e AS epoch, sha256(unhex('0000000000000007') || encode(e || ':' || row_id)) AS order_key FROM text_rows, range(3) r(e)")
+def epoch_order(spark, sf):
+    """Three epochs of all rows, each in an order of its own."""
+    return training.epoch_order(_rows(spark, sf).select("row_id"), 7, 3, F.col("row_id").cast("string")).select("row_id", F.col("epoch").cast("bigint").alias("epoch"), "order_key")
+
+
+_ACTUAL = "SELECT w.stage, count(*) AS files, CAST(sum(docs) AS BIGINT) AS docs, CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS tokens, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT DISTINCT stage, regexp_replace(lower(trim(corpus)), '\\.(ya?ml|json)$', '') AS corpus FROM corpus_weights) w JOIN shards s USING (corpus) GROUP BY 1"
+
+
+@query(f"""WITH a AS ({_ACTUAL}), s AS (SELECT name, type, objective, corpus_bom_sha256, files, docs, tokens, bytes FROM planned_stages UNION ALL SELECT name || '-x', CASE WHEN epochs = 1 THEN 'alignment' ELSE type END, 'assistant-response-modeling', corpus_bom_sha256, files, docs, tokens, bytes FROM planned_stages),
+j AS (SELECT s.*, a.stage, a.files AS f, a.docs AS d, a.tokens AS t, a.bytes AS b FROM s LEFT JOIN a ON a.stage = s.name)
+SELECT name AS stage, 'type' AS problem FROM j WHERE type NOT IN ('pre-training', 'fine-tuning') UNION ALL SELECT name, 'objective' FROM j WHERE type = 'pre-training' AND objective <> 'causal-language-modeling'
+ UNION ALL SELECT name, 'selection' FROM j WHERE corpus_bom_sha256 IS NULL UNION ALL SELECT name, 'inputs' FROM j WHERE stage IS NULL UNION ALL SELECT name, 'files' FROM j WHERE files <> f UNION ALL SELECT name, 'docs' FROM j WHERE docs <> d UNION ALL SELECT name, 'tokens' FROM j WHERE tokens <> t UNION ALL SELECT name, 'bytes' FROM j WHERE bytes <> b""")
+def stage_problems(spark, sf):
+    """What keeps the stages (and copies of them with other types and objectives) from being run."""
+    s = table(spark, sf, "planned_stages")
+    key = F.regexp_replace(F.lower(F.trim("corpus")), r"\.(ya?ml|json)$", "")
+    w = table(spark, sf, "corpus_weights").select("stage", key.alias("corpus")).distinct()
+    actual = w.join(_shards(spark, sf), "corpus").groupBy("stage").agg(F.count(F.lit(1)).alias("files"), F.sum("docs").cast("bigint").alias("docs"), F.sum(F.coalesce("tokens", F.lit(0))).cast("bigint").alias("tokens"), F.sum("bytes").cast("bigint").alias("bytes"))
+    names = ["name", "type", "objective", "corpus_bom_sha256", "files", "docs", "tokens", "bytes"]
+    other = s.withColumn("type", F.when(F.col("epochs") == 1, "alignment").otherwise(F.col("type"))).withColumn("name", F.concat("name", F.lit("-x"))).withColumn("objective", F.lit("assistant-response-modeling"))
+    return training.stage_problems(s.select(*names).unionByName(other.select(*names)), actual)
+
+
 @query("""SELECT name, CAST(coalesce(steps, -1) AS BIGINT) AS steps, CAST(CASE WHEN steps IS NULL THEN -1 WHEN steps > 1 THEN greatest(least(100, steps // 10), 1) ELSE least(100, steps // 10) END AS BIGINT) AS warmup_steps, CAST(CASE WHEN steps IS NULL THEN -1 ELSE least(500, steps) END AS BIGINT) AS checkpoint_every, CAST(CASE WHEN steps IS NULL THEN -1 ELSE least(500, steps) END AS BIGINT) AS evaluate_every, CAST(coalesce(steps * one, -1) AS BIGINT) AS capacity, data_order, held_out, error FROM (
  SELECT name, one, CASE WHEN k = 0 THEN (planned_tokens + one - 1) // one WHEN k = 1 THEN coalesce(docs, 17) END AS steps, CASE WHEN type = 'pre-training' THEN 'corpus-weighted-shuffle-v1' ELSE 'bounded-shuffle-v1' END AS data_order, CASE WHEN type = 'pre-training' THEN 'stratified-lowest-sha256-v1' ELSE 'lowest-sha256-v1' END AS held_out,
  CASE WHEN k = 3 THEN 'tokens cannot be combined with steps or epochs' WHEN k = 4 THEN 'one of tokens, epochs or steps is required' END AS error FROM (

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,64 @@ def test_catalog(spark, tmp_path):
     (tmp_path / "sub" / "m.json").write_text(json.dumps({"title": "T", "license": "MIT", "sources": [{"name": "s"}], "shards": [{"sha256": "ab", "docs": 1, "tokens": 2, "bytes": 3}]}))
     m, s, d = catalog.frames(spark, str(tmp_path))
     assert m.first()["path"] == "sub/m" and s.count() == 1 and d.first()["license"] == "MIT"
+    # shards in parts, which are checked by digest and totals
+    put = lambda name, part: ((tmp_path / name).write_text(json.dumps(part)), hashlib.sha256(json.dumps(part).encode()).hexdigest())[1]
+    inner = put("inner.json", {"kind": "part", "schema": 1, "shards": [{"sha256": "cd", "docs": 5, "tokens": 1, "bytes": 1}]})
+    outer = {"kind": "part", "schema": 1, "shards": [{"sha256": "ab", "docs": 1, "tokens": 2, "bytes": 3}], "children": [{"url": "inner.json", "sha256": inner, "count": 1, "docs": 5}]}
+    whole = {"url": "outer.json", "sha256": put("outer.json", outer), "count": 2, "docs": 6, "tokens": 3, "bytes": 4}
+    (tmp_path / "sub" / "m.json").write_text(json.dumps({"title": "T", "shards": whole}))
+    assert {r["sha256"]: r["docs"] for r in catalog.frames(spark, str(tmp_path))[2].collect()} == {"ab": 1, "cd": 5}
+    for wrong in ({"docs": 7}, {"sha256": "0" * 64}, {"size": 1}):
+        with pytest.raises(ValueError):
+            catalog.expand(str(tmp_path), whole | wrong)
+    twice = outer | {"children": outer["children"] * 2}
+    with pytest.raises(ValueError, match="twice"):
+        catalog.expand(str(tmp_path), {"url": "twice.json", "sha256": put("twice.json", twice)})
+    (tmp_path / "sub" / "m.json").write_text('{"title": "T", "titel": 1, "shards": []}')
+    with pytest.raises(ValueError, match="titel"):
+        catalog.frames(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="repeated"):
+        catalog.parse(b'{"a": 1, "a": 2}', "x.json")
+
+
+def run(df, name, mode="append"):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+
+
+def test_stateful_streams(spark, tmp_path):
+    """Records in several batches: packing and interleaving as the batch operators do, a shuffle that loses nothing but what its buffer still holds."""
+    from corploom.operators import training
+    from corploom.streaming import streams
+
+    data = [("a" if i % 3 else "b", i, (i * 7) % 23) for i in range(120)]
+    for k in range(4):
+        spark.createDataFrame(data[30 * k : 30 * k + 30], "corpus string, seq long, tokens long").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
+    source = lambda: spark.readStream.schema("corpus string, seq long, tokens long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    # the files come in the order of their writing
+    whole = spark.createDataFrame(data, "corpus string, seq long, tokens long")
+    run(streams.pack_stream(source(), 50), "packed")
+    for c in "ab":
+        want = {(r["window"], r["targets"]) for r in training.pack_windows(whole.where(F.col("corpus") == c), 50).collect()}
+        got = {(r["window"], r["t"]) for r in spark.table("packed").where(F.col("corpus") == c).groupBy("window").agg(F.sum("targets").alias("t")).collect()}
+        assert got == want
+    run(streams.interleave_stream(source(), {"a": 2, "b": 3}), "turns")
+    want = {(r["corpus"], r["seq"], int(r["key"])) for r in training.weighted_order(whole, {"a": 2, "b": 3}).collect()}
+    assert {(r["corpus"], r["seq"], int(r["key"])) for r in spark.table("turns").collect()} == want
+    seen = streams.Progress()
+    spark.streams.addListener(seen)
+    run(streams.shuffle_stream(source().select("corpus", F.col("seq").cast("string").alias("id")), 5, most=8), "mixed")
+    for _ in range(100):  # reports come a little later than the rows
+        if sum(t[2] for t in seen.triggers) >= 120:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(seen)
+    mixed = spark.table("mixed").orderBy("corpus", "place").collect()
+    for c, n in (("a", 80), ("b", 40)):
+        ids = [r["id"] for r in mixed if r["corpus"] == c]
+        assert len(ids) == len(set(ids)) == n - 8 and ids != sorted(ids, key=int) and [r["place"] for r in mixed if r["corpus"] == c] == list(range(n - 8))
+    assert sum(t[2] for t in seen.triggers) == 120 and {t[0] for t in seen.triggers} == {"mixed"}
+    assert list(streams.in_order([lambda i=i: i * i for i in range(9)], 3)) == [i * i for i in range(9)]
 
 
 def test_streams(spark, small, tmp_path):
@@ -191,9 +250,10 @@ def test_streams(spark, small, tmp_path):
     rows = spark.read.parquet(f"{small}/text_rows.parquet")
     (tmp_path / "in").mkdir()
     rows.write.mode("overwrite").parquet(str(tmp_path / "in"))
-    q = streams.dedup_stream(streams.rows_stream(spark, str(tmp_path / "in"), rows.schema), delay="4000 days").writeStream.format("memory").queryName("kept").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.table("kept").count() == rows.select("content_sha256", "license").distinct().count()
+    source = lambda: streams.rows_stream(spark, str(tmp_path / "in"), rows.schema)
+    for name, df in (("kept", streams.dedup_stream(source())), ("kept_within", streams.dedup_stream_within(source(), delay="4000 days"))):
+        run(df, name)
+        assert spark.table(name).count() == rows.select("content_sha256", "license").distinct().count()
     clean = streams.rows_stream(spark, str(tmp_path / "in"), rows.schema).withColumn("token_count", F.coalesce("token_count", F.lit(0))).withColumn("license", F.coalesce("license", F.lit("MIT")))
     streams.write_shards_stream(clean, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out/_written/*").agg(F.sum("rows")).first()[0] == rows.count()

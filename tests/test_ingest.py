@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corploom import store
 from corploom.operators import catalog, mapping
 from corploom.functions import text as T
 from corploom.functions.policy import Values
@@ -23,7 +24,7 @@ def test_pipeline(spark, tmp_path):
     assert {r["outcome"]: r["records"] for r in counts.collect()} == {"empty": 1, "malformed": 1, "duplicate": 1, "retained": 3}
     back = {r["text"]: r for r in shards.read_shards(spark, str(tmp_path / "out" / "shards")).collect()}
     mail = back["write to <EMAIL_ADDRESS>"]
-    assert mail["redacted_email_addresses"] == 1 and not mail["email_addresses"] and mail["license"] == "MIT" and mail["source"].endswith("a.jsonl#line=1")
+    assert mail["redacted_email_addresses"] == 1 and not mail["email_addresses"] and mail["license"] == "MIT" and mail["source"] == f"sha256:{store.digest(str(tmp_path / 'in' / 'a.jsonl'))}#line=1"
     assert back[(phrase * 12)]["repetitive_content"] and back[rows[3]["t"]]["boilerplate_content"]
     assert manifest["totals"]["docs"] == 3
     again, same = ingest.ingest(spark, [str(tmp_path / "in")], p, str(tmp_path / "out"))

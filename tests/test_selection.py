@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from corploom.functions import policy
+from corploom.functions import conversation, policy
 from corploom.functions import text as T
 from corploom.operators import selection, training
 
@@ -145,3 +145,28 @@ def test_credentials_need_word_boundaries(spark):
     df = spark.createDataFrame([(f"x {token} y",), (f"x{token}",), (f"_{token}",), (f"({token})",)], "t string")
     got = [r["t"] for r in df.select(T.redact(F.col("t"), T.CREDENTIAL, "<CREDENTIAL>").alias("t")).collect()]
     assert got == ["x <CREDENTIAL> y", f"x{token}", f"_{token}", "(<CREDENTIAL>)"]
+
+
+@pytest.mark.parametrize("change, ok", [
+    (lambda t: t, True), (lambda t: t + "\n", False), (lambda t: t.replace('"role"', ' "role"', 1), False), (lambda t: t.replace("\\u003c", "<"), False), (lambda t: t.replace('"assistant"', '"robot"'), False),
+    (lambda t: t.replace('"content":"x"', '"content":""'), False), (lambda t: t.replace('{"messages"', '{"more":1,"messages"'), False), (lambda t: t[:-1], False), (lambda t: "[]", False), (lambda t: t[:-1] + ',"tools":[{"n": 1.50}]}', True), (lambda t: t[:-1] + ',"tools":[1}', False),
+])
+def test_conversations_are_read_strictly(change, ok):
+    text = '{"messages":[{"role":"user","content":"a \\u003c b","context":"c"},{"role":"assistant","content":"x"}]}'
+    if ok:
+        messages, tools = conversation.read(change(text))
+        assert messages[0]["content"] == "a < b" and tools in (None, '[{"n": 1.50}]')
+    else:
+        with pytest.raises(ValueError):
+            conversation.read(change(text))
+
+
+def test_conversations_come_back(spark):
+    data = [(1, [("user", "q \u2028 \"x\" \\\\ \x01\t", None), ("assistant", "<b>&", "ctx")], None), (2, [("system", "s", ""), ("user", "u", None), ("assistant", "a", None)], '[{"f": 1}]'), (3, [("user", "u", None)], None)]
+    df = spark.createDataFrame(data, "i int, messages array<struct<role string, content string, context string>>, tools string")
+    got = df.select("i", conversation.valid(F.col("messages")).alias("valid"), conversation.decode(conversation.encode(F.col("messages"), F.col("tools"))).alias("d")).orderBy("i").collect()
+    assert [r["valid"] for r in got] == [True, True, False] and got[2]["d"]["error"] is not None
+    for r, (_, messages, tools) in zip(got[:2], data):
+        assert [(m["role"], m["content"], m["context"] or None) for m in r["d"]["messages"]] == [(a, b, c or None) for a, b, c in messages] and r["d"]["tools"] == tools
+    none = spark.createDataFrame([(None,)], "t string").select(conversation.decode("t").alias("d")).first()
+    assert none["d"]["error"] == "null"
