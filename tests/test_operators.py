@@ -181,3 +181,14 @@ def test_conversations():
     assert [m["content"] for m in mapping.ranked_path(tree)] == ["q", "good"]
     out = mapping.map_one(json.dumps({"p": "hi", "r": "yo"}), mapping.Profile("dialogue", ("p", "r")))
     assert out["kind"] == "conversation" and mapping.map_one('{"p":"hi","r":" "}', mapping.Profile("dialogue", ("p", "r")))["outcome"] == "empty"
+
+
+def test_heavy_keys_are_looked_up_where_the_rows_are(spark):
+    from corploom.operators.joins import semi_join
+
+    rows = spark.createDataFrame([(i % 3 if i % 2 else 9, i) for i in range(200)] + [(None, 1)], "k int, v int")
+    known = spark.createDataFrame([(9, 100), (0, 33), (7, 5)], "k int, n long")
+    want = sorted(r["v"] for r in rows.where("k in (9, 0)").collect())
+    for heavy, most in ((1000, 10), (50, 10), (50, 0), (1, 10)):
+        assert sorted(r["v"] for r in semi_join(rows, known, ["k"], "n", heavy, most).collect()) == want
+    assert semi_join(rows, known.limit(0), ["k"], "n").count() == 0
