@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import HEAVY, semi_join
+
 #: Distinct documents of a source from which a line or sequence is repeated excessively.
 SUPPORT = 6
 
@@ -51,7 +53,7 @@ def frequent_lines(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     return items.groupBy("source", "id").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support)
 
 
-def _levels(docs: DataFrame, support: int):
+def _levels(docs: DataFrame, support: int, heavy: int = HEAVY):
     """(length, counts, places) of every level. counts: source, h (of the sequence), docs. places: doc, row_id, source, w, k, live, over.
 
     k has the frequent lines of a document only, so what stands between them does not separate them. live are the
@@ -63,7 +65,7 @@ def _levels(docs: DataFrame, support: int):
     docs = checkpoint(docs.withColumn("doc", F.monotonically_increasing_id()))
     level = checkpoint(frequent_lines(docs, support))
     each = docs.select("doc", "source", F.explode("k").alias("e")).select("doc", "source", "e.no", "e.id")
-    kept = each.join(level.select("source", "id"), ["source", "id"], "left_semi").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("no", "id"))).alias("k"))
+    kept = semi_join(each, level, ["source", "id"], "docs", heavy).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("no", "id"))).alias("k"))
     live = F.transform("k", lambda e, i: F.struct(i.alias("at"), e["id"].alias("h")))
     none = F.array().cast("array<int>")
     state = checkpoint(docs.select("doc", "row_id", "source", "w").join(kept, "doc").withColumn("live", live).withColumn("over", none))
@@ -76,7 +78,7 @@ def _levels(docs: DataFrame, support: int):
         tried = state.withColumn("tried", grown)
         once = tried.where("w = 1").select("source", F.explode(F.array_distinct(F.transform("tried", lambda e: e["h"]))).alias("h"))
         counts = checkpoint(once.groupBy("source", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support))
-        places = tried.select("doc", "source", F.explode("tried").alias("e")).select("doc", "source", "e.at", "e.h").join(counts.select("source", "h"), ["source", "h"], "left_semi")
+        places = semi_join(tried.select("doc", "source", F.explode("tried").alias("e")).select("doc", "source", "e.at", "e.h"), counts, ["source", "h"], "docs", heavy)
         places = places.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("next"))
         joined = state.drop("over").join(places, "doc", "left")
         starts = F.transform("next", lambda e: e["at"])
@@ -99,10 +101,13 @@ def prefix_span(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def spans(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """row_id, first, length, lines: every occurrence of a frequent sequence that no longer frequent one holds, with its line numbers."""
+def spans(docs: DataFrame, support: int = SUPPORT, heavy: int = HEAVY) -> DataFrame:
+    """row_id, first, length, lines: every occurrence of a frequent sequence that no longer frequent one holds, with its line numbers.
+
+    Lines and sequences of ``heavy`` documents or more are looked up by broadcast.
+    """
     parts = []
-    for n, _, state in _levels(docs, support):
+    for n, _, state in _levels(docs, support, heavy):
         # what is over at this level was frequent at the one before, with n - 1 lines
         over = state.where("size(over) > 0").select("row_id", "k", F.explode("over").alias("at"))
         if n > 1:

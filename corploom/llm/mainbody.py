@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import HEAVY, semi_join
 from ..session import checkpoint
 from .lines import letters
 
@@ -106,7 +107,7 @@ def again(rows: DataFrame) -> DataFrame:
 
 
 def unimportant(pages: DataFrame, every: DataFrame, importance: float = IMPORTANCE, least: int = LEAST) -> DataFrame:
-    """site, key of the unimportant nodes of the site style trees, by host or over all hosts. every: nodes(pages). Texts delivered again count once."""
+    """site, key, n (pages) of the unimportant nodes of the site style trees, by host or over all hosts. every: nodes(pages). Texts delivered again count once."""
     skip = again(pages)
     contents = every.select("row_id", "site", "contents").join(skip, "row_id", "left_anti").select("site", F.explode("contents").alias("c")).select("site", "c.key", "c.letters")
     counts = contents.groupBy("site", "key").agg(F.count(F.lit(1)).alias("n"), F.max("letters").alias("letters"))
@@ -116,7 +117,7 @@ def unimportant(pages: DataFrame, every: DataFrame, importance: float = IMPORTAN
     most = F.when(F.col("letters") >= SENTENCE_LETTERS, min(SENTENCE_IMPORTANCE, importance)).otherwise(importance)
     everywhere = counts.groupBy("key").agg(F.count(F.lit(1)).alias("h")).where((F.col("h") >= least) & (value(F.col("h"), F.lit(hosts)) <= importance)).select("key", F.lit(True).alias("_all"))
     by_host = (F.col("n") >= least) & (value(F.col("n"), F.col("m")) <= most)
-    return counts.join(size, "site").join(everywhere, "key", "left").where(by_host | F.col("_all")).select("site", "key")
+    return counts.join(size, "site").join(everywhere, "key", "left").where(by_host | F.col("_all")).select("site", "key", "n")
 
 
 def _columns(batch, names):
@@ -126,13 +127,14 @@ def _columns(batch, names):
     return [batch.column(batch.schema.names.index(n)).flatten().to_numpy(zero_copy_only=False) for n in names], np.repeat(np.arange(batch.num_rows), sizes), sizes
 
 
-def _mark(every: DataFrame, low: DataFrame) -> DataFrame:
+def _mark(every: DataFrame, low: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """row_id, site and the lines of every page (no, key, lead, flags), low if their content is unimportant: the whole line, or enough of its parts.
 
     Of a trail as many parts as it has signs (the last may be the title), of other lines seven in ten of three or more, or all.
     """
     lows = F.array_sort(F.collect_list("key"))
-    marks = every.select("row_id", "site", F.explode("contents.key").alias("key")).join(low, ["site", "key"], "left_semi").groupBy("row_id").agg(lows.alias("lows"))
+    marks = every.select("row_id", "site", F.explode("contents.key").alias("key"))
+    marks = semi_join(marks, low, ["site", "key"], "n", heavy).groupBy("row_id").agg(lows.alias("lows"))
     lines = every.select("row_id", "site", "no", "key", "lead", "flags", "parts").join(marks, "row_id", "left")
     is_low = lambda k: F.array_contains("lows", k)
     hit = F.transform("parts", lambda p: F.struct(F.size(p).alias("n"), F.size(F.filter(p, is_low)).alias("m")))
@@ -231,7 +233,7 @@ def furniture(rows: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     """
     pages = rows.where("source like 'web/%' and text is not null").select("row_id", "source", "source_name", "content_sha256", "text")
     every = checkpoint(nodes(pages))
-    state = checkpoint(_mark(every, unimportant(pages, every)))
+    state = checkpoint(_mark(every, checkpoint(unimportant(pages, every))))
     known = checkpoint(signs(state))
     names = ["no", "key", "lead", "flags", "low"]
     if known.count() <= broadcast:

@@ -81,8 +81,9 @@ def test_sequences_of_any_length(spark):
 def test_spans_are_the_longest_sequences(spark):
     """x y z stands in six texts, y z alone in two more: there the shorter sequence is deleted; a row delivered again is cleaned but does not count."""
     texts = [f"xx\nyy\n{i}\nzz\nown {'q' * i}" for i in range(6)] + [f"own {'r' * i}\nyy\nzz" for i in (1, 2)] + ["aa"] * 9
-    found = lines.spans(lines.sequences(rows(spark, [("s", None, t, None) for t in texts] + [(None, None, "xx", None), ("s", None, None, None)])), 6).collect()
-    assert {(r["row_id"], tuple(r["lines"])) for r in found} == {(i, (0, 1, 3)) for i in range(6)} | {(i, (1, 2)) for i in (6, 7)}
+    docs = lines.sequences(rows(spark, [("s", None, t, None) for t in texts] + [(None, None, "xx", None), ("s", None, None, None)]))
+    found, hot = lines.spans(docs, 6).collect(), lines.spans(docs, 6, heavy=7).collect()
+    assert {(r["row_id"], tuple(r["lines"])) for r in hot} == {(r["row_id"], tuple(r["lines"])) for r in found} == {(i, (0, 1, 3)) for i in range(6)} | {(i, (1, 2)) for i in (6, 7)}
 
 
 SENTENCES = {
