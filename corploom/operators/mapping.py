@@ -161,7 +161,7 @@ def map_one(raw: str, p: Profile) -> dict:
             if p.nul == "error":
                 raise ValueError("the text has a NUL character")
             text = text.replace("\0", " ")
-        meta = {}
+        meta = {} if messages is None else {"format": "structured-conversation", "turns": len(messages)}
         for name, path in p.meta.items():
             got = values(record, path)
             if got:

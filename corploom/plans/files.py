@@ -110,6 +110,24 @@ def shard_footers(spark, sf):
     return shards.footers(spark, to).agg(*[fact(k) for k in ("records", "tokens", "content_bytes", "email_addresses", "main_content", "redacted_phone_numbers")])
 
 
+@query("SELECT 'recognised' AS state, count(*) AS records FROM text_rows")
+def shard_attestations(spark, sf):
+    """What the attestations of written shards vouch for."""
+    to = folder(spark)
+    _written(spark, sf, to)
+    return shards.attested(shards.footers(spark, to)).groupBy("state").agg(F.sum("rows").alias("records"))
+
+
+@query("""SELECT problem, CAST(sum(records) AS BIGINT) AS records FROM (SELECT 'duplicate' AS problem, count(*) AS records FROM text_rows GROUP BY content_sha256 HAVING count(*) > 1
+ UNION ALL SELECT 'language_score', 1 FROM text_rows WHERE NOT coalesce(language_score BETWEEN 0 AND 1000, true) UNION ALL SELECT 'token_count', 1 FROM text_rows WHERE coalesce(token_count, 0) < 0
+ UNION ALL SELECT 'meta', 1 FROM text_rows WHERE meta IS NOT NULL AND NOT (json_valid(meta) AND coalesce(json_type(CASE WHEN json_valid(meta) THEN meta END), '') = 'OBJECT') UNION ALL SELECT 'text', 1 FROM text_rows WHERE text = '') GROUP BY problem""")
+def shard_audit(spark, sf):
+    """Rules that the rows of written shards break, all files read."""
+    to = folder(spark)
+    _written(spark, sf, to)
+    return shards.audit(spark, to, deep=True).groupBy("problem").agg(F.sum("records").cast("bigint").alias("records"))
+
+
 @query("SELECT lower(hex(content_sha256)) AS id, strlen(text) AS octets, coalesce(token_count, 0) AS tokens, coalesce(license, 'none') AS license, language, source FROM text_rows")
 def shard_listing(spark, sf):
     """The records of written shards as a listing shows them."""

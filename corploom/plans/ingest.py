@@ -15,6 +15,7 @@ from ..operators.drift import NAMES
 from ..session import checkpoint
 from ..sinks import shards
 from ..sources import files
+from ..sources.shards import read_shards
 
 
 def byte_count(rows: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def ingest(
         journal.enter("assembling")
         cleaned = checkpoint(clean(logical(spark, paths, profile, form, fields), allowed))
         ordered = prepare(cleaned, count, existing).repartitionByRange(F.col("path"), F.col("line")).sortWithinPartitions("path", "line")
-        written = checkpoint(shards.write_shards(ordered, f"{folder}/assembled"))
+        written = checkpoint(shards.write_shards(ordered, f"{folder}/assembled", plan=journal.identity))
         wrong = shards.verify(written)
         if not wrong.isEmpty():
             raise ValueError(f"shards differ from what was written: {wrong.take(3)}")
@@ -136,6 +137,7 @@ def ingest(
         journal.enter("publishing")
     published = shards.publish(written, f"{folder}/shards")
     published.write.format("noop").mode("overwrite").save()
-    m = shards.manifest(written, name, name, license_, [])
+    rows = None if written.isEmpty() else read_shards(spark, f"{folder}/shards")
+    m = shards.manifest(written, name, name, license_, [], rows)
     journal.enter("published", manifest=m)
     return spark.createDataFrame(journal.facts["counters"], outcome), m

@@ -21,6 +21,9 @@ TARGET, MOST, ROW_GROUP, LEVEL = 256 << 20, 512 << 20, 64 << 20, 6
 
 PREFIX = "corploom."
 
+#: How shards are written and what is checked while they are: named in each shard's attestation.
+RECIPE, VALIDATED = "corploom-parquet-1", ("canonical-layout", "required-columns", "footer-sums")
+
 _KINDS = [pa.binary(32)] + [pa.string()] * 6 + [pa.int32(), pa.string(), pa.int64(), pa.string()] + [pa.bool_()] * 4 + [pa.int64()] * 5
 _REQUIRED = {"content_sha256", "text", "source", "license", *list(NAMES)[11:]}
 SCHEMA = pa.schema([pa.field(n, t, nullable=n not in _REQUIRED) for n, t in zip(NAMES, _KINDS)])
@@ -31,7 +34,8 @@ WRITTEN = "path string, sha256 string, rows long, tokens long, content_bytes lon
 class _Shard:
     """One open file: row groups by logical size, sums for the footer, a name from its digest when it is closed."""
 
-    def __init__(self, folder: str, task: str):
+    def __init__(self, folder: str, task: str, plan: str):
+        self.plan = plan
         self.folder, self.temporary = folder, f"{folder}/.open-{task}"
         files, path = store.at(self.temporary)
         self.out = files.open_output_stream(path)
@@ -65,7 +69,9 @@ class _Shard:
 
     def close(self) -> tuple:
         self.flush()
-        facts = {"records": self.rows, "tokens": self.tokens, "content_bytes": self.content, "licenses": json.dumps(sorted(self.licenses)), "record_kind": "pretrain", "record_schema": 2, **self.counts}
+        licenses = sorted(self.licenses)
+        said = {"kind": "attestation", "schema": 1, "plan": self.plan, "recipe": RECIPE, "record_kind": "pretrain", "record_schema": 2, "records": self.rows, "tokens": self.tokens, "content_bytes": self.content, "licenses": licenses, "validated": list(VALIDATED), **self.counts}
+        facts = {"attestation": json.dumps(said, sort_keys=True, separators=(",", ":")), "records": self.rows, "tokens": self.tokens, "content_bytes": self.content, "licenses": json.dumps(licenses), "record_kind": "pretrain", "record_schema": 2, **self.counts}
         self.writer.add_key_value_metadata({PREFIX + k: str(v) for k, v in facts.items()})
         self.writer.close()
         bytes_ = self.size()
@@ -79,11 +85,12 @@ class _Shard:
         return to, name, self.rows, self.tokens, self.content, bytes_
 
 
-def write_shards(rows: DataFrame, folder: str, target: int = TARGET) -> DataFrame:
+def write_shards(rows: DataFrame, folder: str, target: int = TARGET, plan: str = "") -> DataFrame:
     """Writes rows (the current layout) below ``folder``, in a store that all executors reach; one row per file: path, digest and sums.
 
     The rows of a partition go to files in their order. A file's name is its digest, so a task that runs again after
-    the loss of its executor writes the same names; a file that was left open is not a shard.
+    the loss of its executor writes the same names; a file that was left open is not a shard. The footer has the sums
+    and an attestation: by which plan and recipe it was written, what it holds and what was checked.
     """
     folder = folder.rstrip("/")
     store.parents(f"{folder}/x")
@@ -97,7 +104,7 @@ def write_shards(rows: DataFrame, folder: str, target: int = TARGET) -> DataFram
         for batch in batches:
             table = pa.table([batch.column(i).cast(f.type) for i, f in enumerate(SCHEMA)], schema=SCHEMA)
             for start in range(0, table.num_rows, 4096):
-                shard = shard or _Shard(folder, task)
+                shard = shard or _Shard(folder, task, plan)
                 shard.add(table.slice(start, 4096))
                 if shard.size() >= target:
                     out.append(shard.close())
@@ -199,11 +206,34 @@ class Journal:
         store.write(self.path, json.dumps({"plan": self.identity, "state": state, "facts": self.facts}, sort_keys=True).encode())
 
 
-def manifest(written: DataFrame, name: str, title: str, license_: str, sources: list[dict]) -> dict:
-    """A manifest of written shards (one per file, so of bounded size) with totals."""
+def manifest(written: DataFrame, name: str, title: str, license_: str, sources: list[dict], rows: DataFrame | None = None) -> dict:
+    """A manifest of written shards (one entry a file, so of bounded size) with totals.
+
+    Where rows (of the shards, as read_shards gives them) are given, each shard and the totals have docs and tokens by
+    licence and by source; a manifest with several licences then names them all.
+    """
     shards = [{"url": f"{r['sha256'][:2]}/{r['sha256'][2:4]}/{r['sha256']}.parquet", "sha256": r["sha256"], "docs": r["rows"], "tokens": r["tokens"], "bytes": r["bytes"]} for r in sorted(written.toLocalIterator(), key=lambda r: r["sha256"])]
-    total = {k: sum(s[k] for s in shards) for k in ("docs", "tokens", "bytes")}
-    return {"kind": "manifest", "schema": 2, "name": name, "title": title, "license": license_, "sources": sources, "shards": shards, "totals": total | {"shards": len(shards)}}
+    total: dict = {k: sum(s[k] for s in shards) for k in ("docs", "tokens", "bytes")} | {"shards": len(shards)}
+    out = {"kind": "manifest", "schema": 2, "name": name, "title": title, "license": license_, "sources": sources, "shards": shards, "totals": total}
+    if rows is None:
+        return out
+    of = {s["sha256"]: s for s in shards}
+    digest = F.regexp_extract("shard", r"([0-9a-f]{64})\.parquet$", 1).alias("digest")
+    for column, key in (("license", "license_usage"), ("source", "source_usage")):
+        sums = rows.groupBy(digest, column).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.coalesce("token_count", F.lit(0))).cast("bigint").alias("tokens"))
+        if column == "source":  # sources of a shard may be many: only the totals are kept
+            got = [(None, r[column], r["docs"], r["tokens"]) for r in sums.groupBy(column).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).toLocalIterator()]
+        else:
+            got = [tuple(r) for r in sums.toLocalIterator()]
+        usage: dict = {}
+        for d, value, docs, tokens in got:
+            if d is not None:
+                of[d].setdefault(key, {})[value] = {"docs": docs, "tokens": tokens}
+            u = usage.setdefault(value, {"docs": 0, "tokens": 0})
+            u["docs"], u["tokens"] = u["docs"] + docs, u["tokens"] + tokens
+        total[key] = dict(sorted(usage.items()))
+    licenses = list(total["license_usage"])
+    return out | ({"licenses": licenses} if not license_ and len(licenses) > 1 else {"license": license_ or "".join(licenses)})
 
 
 def export_document(path: str, selection: dict, files: list[dict]) -> str:

@@ -38,6 +38,37 @@ def footers(spark: SparkSession, *paths: str) -> DataFrame:
     return files.mapInPandas(read, "path string, layout string, rows long, row_groups int, bytes long, facts map<string,string>")
 
 
+ATTESTED = "record_kind string, record_schema int, records long, tokens long, content_bytes long, recipe string, plan string, kind string"
+
+
+def attested(footers: DataFrame) -> DataFrame:
+    """path, rows, state of shards by their footers (footers()): recognised (an attestation that agrees with the footer's sums and rows), contradictory or absent."""
+    f = footers.withColumn("a", F.from_json(F.col("facts")["corploom.attestation"], ATTESTED))
+    fact = lambda k: F.col("facts")[f"corploom.{k}"].cast("long")
+    agrees = (F.col("a.records") == F.col("rows")) & (F.col("a.kind") == "attestation")
+    for k in ("records", "tokens", "content_bytes"):
+        agrees &= F.col(f"a.{k}").eqNullSafe(fact(k))
+    known = F.col("facts")["corploom.attestation"].isNotNull()
+    return f.select("path", "rows", F.when(~known, "absent").when(F.coalesce(agrees, F.lit(False)), "recognised").otherwise("contradictory").alias("state"))
+
+
+def audit(spark: SparkSession, *paths: str, deep: bool = False) -> DataFrame:
+    """path, problem, records: rules that shards break. Files with a recognised attestation are read only if ``deep``; others are read whole.
+
+    A digest that stands in several rows of the files read, whatever the licence, is the problem ``duplicate``.
+    """
+    state = attested(footers(spark, *paths))
+    wrong = state.where("state = 'contradictory'").select("path", F.lit("attestation").alias("problem"), F.col("rows").alias("records"))
+    rows = read_shards(spark, *paths)
+    if not deep:
+        plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+        open_ = state.where("state <> 'recognised'").select(plain(F.col("path")).alias("_p"))
+        rows = rows.join(open_, plain(F.col("shard")) == F.col("_p"), "left_semi")
+    broken = violations(rows).select("shard", F.explode("broken").alias("problem")).groupBy(F.col("shard").alias("path"), "problem").agg(F.count(F.lit(1)).alias("records"))
+    twice = rows.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("n"), F.min("shard").alias("path")).where("n > 1").groupBy("path").agg(F.sum("n").alias("records"))
+    return wrong.unionByName(broken).unionByName(twice.select("path", F.lit("duplicate").alias("problem"), "records"))
+
+
 def read_shards(spark: SparkSession, *paths: str) -> DataFrame:
     """Rows of all shards in the current layout, with shard (the file) and row (its place there). A file of another layout raises."""
     groups: dict[str, list[str]] = {}

@@ -6,6 +6,7 @@ import json
 import os
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,26 @@ def test_verify_finds_what_changed(spark, small, tmp_path):
     assert set(bad) == {written[0]["path"], written[1]["path"]} and bad[written[1]["path"]] is None
 
 
+def test_audit_by_attestation(spark, small, tmp_path):
+    """Attested shards are not read unless asked; a contradictory or missing attestation makes a shard be read; a manifest counts by licence."""
+    rows = spark.read.parquet(f"{small}/text_rows.parquet").select(*drift.NAMES).withColumn("token_count", F.lit(1).cast("bigint")).withColumn("license", F.when(F.col("license") == "MIT", "MIT").otherwise("CC0-1.0"))
+    written = spark.createDataFrame(sink.write_shards(rows.coalesce(1), str(tmp_path / "s"), plan="p").collect(), sink.WRITTEN)
+    assert [r["state"] for r in shards.attested(shards.footers(spark, str(tmp_path / "s"))).collect()] == ["recognised"]
+    assert shards.audit(spark, str(tmp_path / "s")).count() == 0
+    n = rows.groupBy("content_sha256").count().where("count > 1").agg(F.sum("count")).first()[0]
+    assert {r["problem"]: r["records"] for r in shards.audit(spark, str(tmp_path / "s"), deep=True).collect()}.get("duplicate") == n
+    path = written.first()["path"]
+    t = pq.read_table(path)
+    meta = {k: v for k, v in pq.ParquetFile(path).metadata.metadata.items() if not k.startswith(b"ARROW")}
+    meta[b"corploom.records"] = b"1"
+    pq.write_table(t.replace_schema_metadata(meta), path)
+    got = {r["problem"]: r["records"] for r in shards.audit(spark, str(tmp_path / "s")).collect()}
+    assert got["attestation"] == rows.count() and got["duplicate"] == n
+    m = sink.manifest(written, "n", "t", "", [], shards.read_shards(spark, str(tmp_path / "s")))
+    assert m["licenses"] == ["CC0-1.0", "MIT"] and sum(u["docs"] for u in m["totals"]["license_usage"].values()) == rows.count() == sum(u["docs"] for u in m["totals"]["source_usage"].values())
+    assert m["shards"][0]["license_usage"] == m["totals"]["license_usage"]
+
+
 def test_exports_overlays_and_telemetry(spark, tmp_path):
     for n in ("a", "b", "c"):
         (tmp_path / n).write_text(n)
