@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import codecs
 import gzip
+import html
 import io
 import json
 import os
@@ -260,6 +261,61 @@ def json_objects(spark: SparkSession, *paths: str) -> DataFrame:
     return binary(spark, *paths).select("path", "content").mapInPandas(objects, "path string, line long, record string")
 
 
+_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<raw>.*?)(?:\]\]>|$)|<\?.*?(?:\?>|$)|<![^>]*>|<(?P<end>/?)(?P<name>[A-Za-z_][\w:.-]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/?)>", re.S)
+_ATTRIBUTE = re.compile(r"""([\w:.-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+
+
+def xml_tree(content: bytes) -> ElementTree.Element:
+    """The root of an XML document; one that is not well-formed is read leniently.
+
+    Leniently, an end tag closes what was opened after its start tag and is passed over if there is none; what is open at
+    the end is closed; unknown entities and single & and < stay as they are; name spaces are not resolved. No element,
+    or text or a second element beside the root, raises ValueError.
+    """
+    try:
+        return ElementTree.fromstring(content)
+    except ElementTree.ParseError:
+        text = content.decode("utf-8-sig")
+    root, open_, at = None, [], 0
+
+    def put(t: str, plain: bool) -> None:
+        t = t if plain else html.unescape(t)
+        if not open_:
+            if t.strip():
+                raise ValueError("text beside the root")
+            return
+        node = open_[-1]
+        if len(node):
+            node[-1].tail = (node[-1].tail or "") + t
+        else:
+            node.text = (node.text or "") + t
+
+    for m in _MARKUP.finditer(text):
+        put(text[at : m.start()], False)
+        at = m.end()
+        if m["raw"] is not None:
+            put(m["raw"], True)
+        elif m["name"] and m["end"]:
+            for k in range(len(open_) - 1, -1, -1):
+                if open_[k].tag == m["name"]:
+                    del open_[k:]
+                    break
+        elif m["name"]:
+            node = ElementTree.Element(m["name"], {a[0]: html.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(m["attributes"])})
+            if open_:
+                open_[-1].append(node)
+            elif root is None:
+                root = node
+            else:
+                raise ValueError("a second root")
+            if not m["empty"]:
+                open_.append(node)
+    put(text[at:], False)
+    if root is None:
+        raise ValueError("no element")
+    return root
+
+
 def _xml_path(node: ElementTree.Element, path: str, parents: tuple = ()):
     """Elements or attribute values below the root that a path selects: /a/b, //b, *, {ns}n, a trailing @attribute."""
     steps = [s for s in re.split(r"/(?![^{]*\})", path) if s]
@@ -288,7 +344,7 @@ def xml_records(spark: SparkSession, *paths: str, fields: dict[str, str], exclud
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                root = ElementTree.fromstring(decompress(bytes(content)))
+                root = xml_tree(decompress(bytes(content)))
                 dropped = {id(m) for e in exclude for n in _xml_path(root, e) for m in n.iter()}
 
                 def text(n, dropped=dropped):
