@@ -37,6 +37,10 @@ def test_repeated_lines_against_brute_force(spark):
     df = rows(spark, items)
     for support in (2, 6):
         assert {(r["row_id"], r["line_no"]) for r in lines.repeated_lines(df, support).collect()} == brute_lines(items, support)
+        # the same by levels, some of the way and all of it
+        for local in (0, 40):
+            got = lines.spans(lines.sequences(df), support, local=local).collect()
+            assert {(r["row_id"], no) for r in got for no in r["lines"]} == brute_lines(items, support)
     clean = lines.clean(df, 6).orderBy("row_id").collect()
     gone = brute_lines(items, 6)
     for r, (_, _, t, _) in zip(clean, items):
@@ -48,9 +52,12 @@ def test_repeated_lines_against_brute_force(spark):
 def test_sequences_against_brute_force(spark):
     random.seed(2)
     items = [("s", None, "\n".join(random.choices("abcd", k=6)) + f"\nz{'q' * i}", None) for i in range(40)]
-    got = defaultdict(int)
+    got, levels = defaultdict(int), defaultdict(int)
     for r in lines.prefix_span(lines.sequences(rows(spark, items)), 5).where("length <= 3").collect():
         got[r["length"]] += 1
+    for r in lines.prefix_span(lines.sequences(rows(spark, items)), 5, local=0).where("length <= 3").collect():
+        levels[r["length"]] += 1
+    assert got == levels
     counts = defaultdict(set)
     for t in {t for _, _, t, _ in items}:
         seq = t.split("\n")[:6]
@@ -82,7 +89,7 @@ def test_spans_are_the_longest_sequences(spark):
     """x y z stands in six texts, y z alone in two more: there the shorter sequence is deleted; a row delivered again is cleaned but does not count."""
     texts = [f"xx\nyy\n{i}\nzz\nown {'q' * i}" for i in range(6)] + [f"own {'r' * i}\nyy\nzz" for i in (1, 2)] + ["aa"] * 9
     docs = lines.sequences(rows(spark, [("s", None, t, None) for t in texts] + [(None, None, "xx", None), ("s", None, None, None)]))
-    found, hot = lines.spans(docs, 6).collect(), lines.spans(docs, 6, heavy=7).collect()
+    found, hot = lines.spans(docs, 6).collect(), lines.spans(docs, 6, heavy=7, local=0).collect()
     assert {(r["row_id"], tuple(r["lines"])) for r in hot} == {(r["row_id"], tuple(r["lines"])) for r in found} == {(i, (0, 1, 3)) for i in range(6)} | {(i, (1, 2)) for i in (6, 7)}
 
 
