@@ -107,15 +107,19 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("stage", "doc_id", "piece", "start", "length", "container")
 
 
-P1_FOUND = """
+_LINES = """
 WITH l AS (
   SELECT row_id, source, content_sha256, unnest(string_split(text, chr(10))) AS line,
          unnest(range(len(string_split(text, chr(10))))) AS line_no
   FROM text_rows),
 k AS (SELECT row_id, source, content_sha256, line_no, lower(regexp_replace(line, '[^\\p{L}]+', '', 'g')) AS k FROM l),
-f AS (SELECT source, k FROM k WHERE k <> '' GROUP BY source, k HAVING count(DISTINCT content_sha256) >= 6)
-SELECT row_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (source, k)
-"""
+f AS (SELECT source, k FROM k WHERE k <> '' GROUP BY source, k HAVING count(DISTINCT content_sha256) >= 6)"""
+
+P1_FOUND = f"{_LINES} SELECT row_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (source, k)"
+
+P1_CLEAN = f"""{_LINES}, g AS (SELECT row_id, list(line_no) AS gone FROM k JOIN f USING (source, k) GROUP BY row_id)
+SELECT t.row_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text,
+ gone IS NOT NULL AS boilerplate_content FROM text_rows t LEFT JOIN g USING (row_id)"""
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,4 +144,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"p1_found": P1_FOUND}
+    return {"p1_found": P1_FOUND, "p1_clean": P1_CLEAN}

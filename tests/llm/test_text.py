@@ -289,3 +289,16 @@ def test_a_language_that_is_none_of_them(spark):
     got = {r["row_id"]: r for r in language.identify(df, models).where("line_no = -1").collect()}
     assert [got[i]["language"] for i in range(8)] == [*SENTENCES, None, None] and got[7]["confidence"] == 0
     assert {r["row_id"] for r in language.identify(df, models, every=False).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_queries_agree_with_their_sql(spark, small):
+    import duckdb
+
+    from corploom.llm import queries
+
+    c = duckdb.connect()
+    c.execute(f"create view text_rows as select * from '{small}/text_rows.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got, want = queries.queries()[name](spark, small).toPandas(), c.execute(sql).df()
+        key = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).itertuples(index=False, name=None)))
+        assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
