@@ -1,15 +1,21 @@
 """Personal items in free text: high-recall candidates, boosted trees on format and context, calibrated thresholds.
 
-Generators propose overlapping spans of five kinds. Trees of each kind are trained here on a bounded sample of rows
-whose wording tells what some spans are (a mail header before a name, "passport" before a number, "docket" before
-another); in half of the training rows the wording is hidden from the trees, so that they also know the items by
-their format where nothing announces them. Overlaps go to the greater probability.
+Generators propose overlapping spans of five kinds. Trees of each kind are trained here on all rows whose wording
+tells what some spans are (a mail header before a name, "passport" before a number, "docket" before another); in half
+of the training rows the wording is hidden from the trees, so that they also know the items by their format where
+nothing announces them. Overlaps go to the greater probability.
+
+The texts are read once: spans and what is known of them are kept in blocks of rows. Words are counted over all blocks,
+spans that look alike to the trees are added up, and the trees are grown from these sums.
 """
 
 from __future__ import annotations
 
+import marshal
+import pickle
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from . import boosting
-from .sampling import sample as sample_rows, short
 
-#: Rows, about, from which the trees are trained, chosen by a hash of row_id over the whole table.
-SAMPLE = 4000
+#: Rows to which counts of words are referred in tables with more rows: a word is often a name, or written small, by its count in so many rows.
+PER = 4000
+
+#: Rows of a block, and distinct training rows up to which the trees are grown on the driver; more stay in blocks that tasks add up. Both ways give the same trees.
+BLOCK, TOGETHER = 2000, 1_000_000
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -84,7 +93,16 @@ def _words(words: tuple[str, ...]) -> re.Pattern:
 
 _PHONE, _ID, _OTHER, _LIVES = map(_words, (PHONE_WORDS, ID_WORDS, OTHER_WORDS, LIVES_WORDS))
 _ENDS = {k: re.compile(r"(?<!\w)(?:" + "|".join(re.escape(w) for w in sorted(set(v), key=len, reverse=True)) + r")[\s.:(]*$") for k, v in (("title", TITLES), ("name", NAME_WORDS), ("place", PLACE_WORDS))}
+_LAST = {"title": TITLES, "name": NAME_WORDS, "place": PLACE_WORDS}
+_LOOSE = "".join(c for c in map(chr, range(0x3001)) if re.match(r"[\s.:(]", c))
 _GROUP = frozenset(GROUP_WORDS)
+
+
+def _announced(low: str, kind: str) -> bool:
+    """Whether a word of the kind ends the text; most texts are told without the pattern."""
+    return low.rstrip(_LOOSE).endswith(_LAST[kind]) and _ENDS[kind].search(low) is not None
+
+
 _BEFORE_NAMES = frozenset(TITLES + NAME_WORDS)
 
 
@@ -214,7 +232,7 @@ def _address_facts(before: str, x: str, after: str) -> list[float]:
     year = len(digits) == 4 and digits[:2] in ("18", "19", "20")
     kind = next((i for i, w in enumerate(words) if w.strip(",").lower() in _KINDS), -1)
     return [
-        bool(_LIVES.search(low)), low.endswith((",", "·", ":", ";")), bool(_ENDS["place"].search(low)), low.endswith((".", "!", "?")) or not low, bool(number), x[:1].isdigit(), len(digits), year, x.count(","), bool(re.search(r",\s\d{4,5}\b", x)),
+        bool(_LIVES.search(low)), low.endswith((",", "·", ":", ";")), _announced(low, "place"), low.endswith((".", "!", "?")) or not low, bool(number), x[:1].isdigit(), len(digits), year, x.count(","), bool(re.search(r",\s\d{4,5}\b", x)),
         any(x.rstrip(" 0123456789abcdiI-").lower().endswith(w) for w in STREET_END), kind >= 0, kind, len(words), bool(follows) and follows.group()[:1].isupper(), bool(follows) and follows.group().lower() in _GROUP, nxt[:1] in (",", "·"), nxt[:1] in (".", "\n", ""), x.lower().startswith(("flat", "apt", "apartment", "unit", "suite")),
     ]
 
@@ -242,6 +260,7 @@ class Letters(NamedTuple):
     families: dict
     small: frozenset
     small_givens: frozenset  # given names that are never words written small
+    scale: float = 1.0  # what a count is in PER rows
 
     def of(self, table: dict, word: str) -> float:
         w = f"^{word.lower()}$"
@@ -249,34 +268,46 @@ class Letters(NamedTuple):
         return sum(g) / max(1, len(g))
 
 
-def _letters(good: Counter, bad: Counter) -> dict:
-    count = lambda words: Counter(f"^{w.lower()}$"[i : i + 3] for w, n in words.items() for i in range(len(w)) for _ in range(min(n, 3)))
-    p, q = count(good), count(bad)
+def _letters(p: Counter, q: Counter) -> dict:
     a, b = sum(p.values()) + 1, sum(q.values()) + 1
     return {g: float(np.clip(np.log((p[g] + 0.5) / a) - np.log((q[g] + 0.5) / b), -4, 4)) for g in set(p) | set(q)}
 
 
-def _name(t: str, s: Span, letters: Letters, cache: dict, own: int = 0) -> list[float]:
-    """own: 1 if the span itself is among the counted names, so that it is not evidence for itself."""
+def _told(word: str, letters: Letters, cache: dict) -> tuple:
+    """What letters and counts tell of a word: as given name, as family name, how often it was either, whether it is written small."""
+    got = cache.get(word)
+    if got is None:
+        if len(cache) > 100_000:
+            cache.clear()
+        low = word.lower()
+        got = cache[word] = (letters.of(letters.given, word), letters.of(letters.family, word), letters.givens.get(low, 0), letters.families.get(low, 0), low in letters.small)
+    return got
+
+
+def _score(first: str, last: str, own: int, letters: Letters, cache: dict) -> tuple:
+    """What letters and counts tell of a name. own: 1 if it is itself among the counted names, so that it is not evidence for itself."""
+    a, b = _told(first, letters, cache), _told(last.split("-")[0], letters, cache)
+    return 0.0 if len(first) == 2 and first[1] == "." else a[0], b[1], b[0], min(6, max(0, a[2] - own) * letters.scale), min(3, max(0, b[3] - own) * letters.scale), a[4], b[4]
+
+
+def _name(t: str, s: Span) -> list[float]:
+    """Wording and format of a name; the places of its score are left empty."""
     before = t[max(0, s.start - 24) : s.start]
-    low = before.lower().rstrip(" \t (:")
+    low = before.lower().rstrip(" \t (:")
     after = t[s.end : s.end + 3]
     initial = len(s.first) == 2 and s.first[1] == "."
-    key = (s.first, s.last, own)
-    score = cache.get(key)
-    if score is None:
-        if len(cache) > 100_000:
-            cache.clear()
-        family = s.last.split("-")[0]
-        score = cache[key] = (0.0 if initial else letters.of(letters.given, s.first), letters.of(letters.family, family), letters.of(letters.given, family), min(6, letters.givens.get(s.first.lower(), 0) - own), min(3, letters.families.get(family.lower(), 0) - own), s.first.lower() in letters.small, family.lower() in letters.small)
     word = low.rsplit(None, 1)[-1] if low else ""
-    nxt = after.lstrip("  ")[:1]
+    nxt = after.lstrip("  ")[:1]
     return [
-        bool(_ENDS["title"].search(low)), bool(_ENDS["name"].search(low)), bool(_ENDS["place"].search(low)), before[-1:] in ("", "\n", ",", " ") and (not low or before.rstrip(" ")[-1:] in ("\n", ",", "·")), nxt == "<", nxt in ",·(", before.rstrip("  ")[-1:] == ":",
-        initial, *score, s.first.lower() in _GROUP, s.last.lower() in _GROUP, s.first.isupper() and not initial, "-" in s.last, len(s.first), len(s.last), s.end - s.start, word.istitle(), after[:1] == "-", nxt.isalpha() and nxt.isupper(),
+        _announced(low, "title"), _announced(low, "name"), _announced(low, "place"), before[-1:] in ("", "\n", ",", " ") and (not low or before.rstrip(" ")[-1:] in ("\n", ",", "·")), nxt == "<", nxt in ",·(", before.rstrip("  ")[-1:] == ":",
+        initial, *_NO_SCORE, s.first.lower() in _GROUP, s.last.lower() in _GROUP, s.first.isupper() and not initial, "-" in s.last, len(s.first), len(s.last), s.end - s.start, word.istitle(), after[:1] == "-", nxt.isalpha() and nxt.isupper(),
     ]
 
 
+#: Features of a name from letters and counts, and their places.
+_NO_SCORE, SCORE = (0.0,) * 7, slice(8, 15)
+
+
 class Model(NamedTuple):
     """Letters of names and the trees of each kind (None: every candidate of the kind counts)."""
 
@@ -301,107 +332,235 @@ def _label_names(t: str, spans: list[Span]) -> list[int]:
             out.append(-1)
         elif s.first.lower() in _GROUP or s.last.lower() in _GROUP:
             out.append(0)
-        elif _ENDS["title"].search(low):
+        elif _announced(low, "title"):
             out.append(1)
-        elif _ENDS["place"].search(low) and not _ENDS["name"].search(low):
+        elif _announced(low, "place") and not _announced(low, "name"):
             out.append(0)
         else:
             out.append(-1)
     return out
 
 
-def _second(s: Span, y: int, letters: Letters, other: Counter) -> int:
+def _second(name: tuple, letters: Letters, other: dict) -> int:
     """The label after all wording was read: what a header announced once is a name elsewhere; words also written small, or after articles, are none."""
-    first, last = s.first.lower(), s.last.lower().split("-")[0]
-    if y == 1 or first in _GROUP or s.last.lower() in _GROUP:
+    *_, as_written, whole, y = name
+    first, last = as_written.lower(), whole.lower().split("-")[0]
+    if y == 1 or first in _GROUP or whole.lower() in _GROUP:
         return y
     if first in letters.small or last in letters.small:
         return 0
-    if letters.givens.get(first, 0) >= 2 or len(first) == 2 and first[1] == "." and last in letters.families:
+    if letters.givens.get(first, 0) * letters.scale >= 2 or len(first) == 2 and first[1] == "." and last in letters.families:
         return 1
     if len(first) == 2 and first[1] == ".":
         return -1
-    return 0 if y == 0 or other[s.first] > 1 else -1
-
-
-def _lowered(counts: Counter) -> dict:
-    out: Counter = Counter()
-    for w, n in counts.items():
-        out[w.lower()] += n
-    return dict(out)
-
-
-def train(texts: list[str], seed: int = 11) -> Model:
-    """The model from a sample of texts."""
-    found = [candidates(t) for t in texts]
-    given, family, other, small = Counter(), Counter(), Counter(), Counter()
-    names: list[tuple[int, Span, int]] = []
-    for d, (t, c) in enumerate(zip(texts, found)):
-        for s, y in zip(c["name"], _label_names(t, c["name"])):
-            names.append((d, s, y))
-            if y == 1:
-                family.update(s.last.split("-"))
-                if not _INITIAL.match(s.first):
-                    given[s.first] += 1
-            elif y == 0:
-                other.update((s.first, s.last))
-        # single words in capitals after words of place
-        other.update(m.group(1) for m in _PLACED.finditer(t))
-        small.update({w for w in _SMALL.findall(t) if w.islower()})
-    words, givens = frozenset(w for w, n in small.items() if n >= 3), _lowered(given)
-    letters = Letters(_letters(given, other + family), _letters(family, other + given), givens, _lowered(family), words, frozenset(w for w, n in givens.items() if n >= 2 and len(w) > 2 and w not in words))
-    names = [(d, s, _second(s, y, letters, other)) for d, s, y in names]
-    cache: dict = {}
-    sets: dict[str, tuple[list, list]] = {k: ([], []) for k in ("email", "phone", "id_number", "address", "name")}
-    for d, s, y in names:
-        if y >= 0:
-            sets["name"][0].append(_name(texts[d], s, letters, cache, y))
-            sets["name"][1].append(y)
-    for t, c in zip(texts, found):
-        for s in c["address"]:
-            sets["address"][0].append(_address(t, s))
-            sets["address"][1].append(1)
-            for f in _decoys(t, s):
-                sets["address"][0].append(f)
-                sets["address"][1].append(0)
-        for s in c["email"]:
-            f = _email(t, s)
-            sets["email"][0].append(f)
-            sets["email"][1].append(0 if f[0] or f[8] else 1)
-        ends = _ends(c)
+    return 0 if y == 0 or other.get(as_written, 0) * letters.scale > 1 else -1
+
+
+#: Values of features are kept as whole multiples of 1/64; how many features each kind of span has.
+_PART, WIDTH = 64, {"email": 10, "number": 29, "address": 19, "name": 25}
+
+
+def _parts(rows: list, kind: str) -> np.ndarray:
+    return np.clip(np.rint(np.array(rows, float).reshape(len(rows), WIDTH[kind]) * _PART), -32768, 32767).astype(np.int16)
+
+
+class Block(NamedTuple):
+    """Some rows, read: ids, texts, spans by kind (place of the row, start, end; for names also given name, family name, label) and their features; decoys are addresses that are none."""
+
+    ids: list
+    texts: list
+    spans: dict
+    features: dict
+    decoys: np.ndarray
+
+    def packed(self) -> bytes:
+        raw = marshal.dumps((self.ids, self.texts, self.spans, {k: v.tobytes() for k, v in self.features.items()}, self.decoys.tobytes()))
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> Block:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    ids, texts, spans, features, decoys = marshal.loads(raw)
+    of = lambda x, kind: np.frombuffer(x, np.int16).reshape(-1, WIDTH[kind])
+    return Block(ids, texts, spans, {k: of(v, k) for k, v in features.items()}, of(decoys, "address"))
+
+
+def _read(ids: list, texts: list[str], learn: bool = True) -> Block:
+    """learn: whether labels and decoys are wanted."""
+    spans: dict[str, list] = {k: [] for k in WIDTH}
+    rows: dict[str, list] = {k: [] for k in WIDTH}
+    decoys: list = []
+    for d, t in enumerate(texts):
+        c = candidates(t)
+        ends = _ends(c) if c["number"] else []
+        for kind, facts in (("email", _email), ("address", _address)):
+            for s in c[kind]:
+                spans[kind].append((d, s.start, s.end))
+                rows[kind].append(facts(t, s))
         for s in c["number"]:
-            f = _number(t, s, ends)
-            best = max(f[:3])
-            if best >= 0:
-                kind = f[:3].index(best)
-            elif f[-1]:
-                kind = 0
-            elif f[22]:  # a date
-                kind = 2
-            else:
-                continue
-            for k, name in enumerate(("phone", "id_number")):
-                sets[name][0].append(f)
-                sets[name][1].append(int(kind == k))
-    rng = np.random.default_rng(seed)
-    trees: dict = {}
-    for kind, (x, y) in sets.items():
-        if len(set(y)) < 2:
-            trees[kind] = None
-            continue
-        x, y = np.array(x, float), np.array(y, float)
+            spans["number"].append((d, s.start, s.end))
+            rows["number"].append(_number(t, s, ends))
+        for s, y in zip(c["name"], _label_names(t, c["name"]) if learn else [-1] * len(c["name"])):
+            spans["name"].append((d, s.start, s.end, s.first, s.last, y))
+            rows["name"].append(_name(t, s))
+        for s in c["address"] if learn else ():
+            decoys += _decoys(t, s)
+    return Block(ids, texts, spans, {k: _parts(v, k) for k, v in rows.items()}, _parts(decoys, "address"))
+
+
+class _Small(dict):
+    """The words written small in a string between blanks. No word goes over a blank, so every such string is read once only."""
+
+    def __missing__(self, x: str) -> tuple:
+        if len(self) > 200_000:
+            self.clear()
+        words = self[x] = tuple(w for w in _SMALL.findall(x) if w.islower())
+        return words
+
+    def of(self, text: str) -> set[str]:
+        return set().union(*map(self.__getitem__, set(text.split())))
+
+
+def _counted(block: Block, known: _Small) -> dict[str, list[int]]:
+    """How often words are given names, family names, other words in capitals, and in how many texts they are written small."""
+    given, family, other, small = (Counter() for _ in range(4))
+    for *_, first, last, y in block.spans["name"]:
+        if y == 1:
+            family.update(last.split("-"))
+            if not _INITIAL.match(first):
+                given[first] += 1
+        elif y == 0:
+            other.update((first, last))
+    for t in block.texts:
+        # single words in capitals after words of place
+        other.update(_PLACED.findall(t))
+        small.update(known.of(t))
+    out: dict[str, list[int]] = {}
+    for k, counts in enumerate((given, family, other, small)):
+        for w, n in counts.items():
+            out.setdefault(w, [0] * 4)[k] = n
+    return out
+
+
+def _tables(words: dict) -> list[Counter]:
+    """Letter triples of given names and of other words beside them, of family names and of other words beside them; each word counts three times at most."""
+    out: list[Counter] = [Counter() for _ in range(4)]
+    for word, (given, family, other, _) in words.items():
+        if given or family or other:
+            w = f"^{word.lower()}$"
+            triples = [w[i : i + 3] for i in range(len(w))]
+            for table, n in zip(out, (given, family + other, family, given + other)):
+                if n:
+                    n = min(n, 3)
+                    for g in triples:
+                        table[g] += n
+    return out
+
+
+def _known(words: dict, tables: list[Counter], rows: int) -> tuple[Letters, dict]:
+    """The letters, and how often words are no names."""
+    scale = min(1.0, PER / max(1, rows))
+    givens, families = Counter(), Counter()
+    for w, c in words.items():
+        if c[0]:
+            givens[w.lower()] += c[0]
+        if c[1]:
+            families[w.lower()] += c[1]
+    small = frozenset(w for w, c in words.items() if c[3] * scale >= 3)
+    often = frozenset(w for w, n in givens.items() if n * scale >= 2 and len(w) > 2 and w not in small)
+    return Letters(_letters(*tables[:2]), _letters(*tables[2:]), dict(givens), dict(families), small, often, scale), {w: c[2] for w, c in words.items() if c[2] * scale > 1}
+
+
+def _chance(key: np.ndarray, salt: int) -> np.ndarray:
+    """A number from 0 to 1 for each key, the same wherever its row is."""
+    with np.errstate(over="ignore"):
+        x = key + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+        for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(by))) * np.uint64(times)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def _examples(block: Block, letters: Letters, other: dict, cache: dict) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Training rows by kind: features and weights (rows that trees are fitted to, positive ones of them, rows that calibrate, positive ones of them)."""
+    ids = np.array([i or 0 for i in block.ids], np.int64).astype(np.uint64)
+
+    def made(kind: str, spans: list, x: np.ndarray, y: np.ndarray, turn: int = 0):
+        key = (ids[[s[0] for s in spans]] * np.uint64(1_000_003) + np.array([s[1] for s in spans], np.uint64)) * np.uint64(8) + np.uint64(turn)
+        number = kind in ("phone", "id_number")
+        hide, nothing = HIDDEN["number" if number else kind], [NOTHING.get(j, 0) * _PART if number else 0 for j in HIDDEN["number" if number else kind]]
+        x, blank = x.copy(), np.ones(len(x), bool) if number else _chance(key, 1) < 0.5
         if kind == "name":
             # a name that no wording has announced yet must be known by its letters: in some rows the counts are hidden
-            x[np.ix_(rng.random(len(x)) < UNCOUNTED, COUNTED)] = 0
-        number = kind in ("phone", "id_number")
-        hide = HIDDEN["number" if number else kind]
+            x[np.ix_(_chance(key, 2) < UNCOUNTED, COUNTED)] = 0
+        hidden = x[blank]
+        hidden[:, hide] = nothing
+        hold = _chance(key, 3) < 0.2
+        w = np.stack([~hold, ~hold & y, hold, hold & y], axis=1).astype(np.int64)
         # numbers of persons are few, so each is learnt both with and without its wording
-        rows = np.ones(len(x), bool) if number else rng.random(len(x)) < 0.5
-        blank = x[rows]
-        blank[:, hide] = [NOTHING.get(j, 0) if number else 0 for j in hide]
-        seen = x if number else x[~rows]
-        trees[kind] = boosting.fit(np.concatenate([seen, blank]), np.concatenate([y if number else y[~rows], y[rows]]))
-    return Model(letters, trees)
+        return kind, np.concatenate([x if number else x[~blank], hidden]), np.concatenate([w if number else w[~blank], w[blank]])
+
+    names = [(n, x, y) for n, x in zip(block.spans["name"], block.features["name"]) if (y := _second(n, letters, other)) >= 0]
+    if names:
+        x = np.array([x for _, x, _ in names])
+        x[:, SCORE] = np.rint(np.array([_score(n[3], n[4], y, letters, cache) for n, _, y in names]) * _PART)
+        yield made("name", [n for n, _, _ in names], x, np.array([y for *_, y in names], bool))
+    if spans := block.spans["address"]:
+        yield made("address", spans, block.features["address"], np.ones(len(spans), bool), 1)
+        for k in range(each := len(block.decoys) // len(spans)):
+            yield made("address", spans, block.decoys[k::each], np.zeros(len(spans), bool), 2 + k)
+    if spans := block.spans["email"]:
+        f = block.features["email"]
+        yield made("email", spans, f, ~((f[:, 0] != 0) | (f[:, 8] != 0)))
+    if spans := block.spans["number"]:
+        f = block.features["number"]
+        # what stands last before it; else what follows a mail or street address is a telephone number, and a date is neither
+        kind = np.where(f[:, :3].max(axis=1) >= 0, f[:, :3].argmax(axis=1), np.where(f[:, -1] != 0, 0, np.where(f[:, 22] != 0, 2, -1)))
+        told = np.flatnonzero(kind >= 0)
+        if len(told):
+            for k, name in enumerate(("phone", "id_number")):
+                yield made(name, [spans[i] for i in told], f[told], kind[told] == k)
+
+
+def _alike(parts: list[tuple[str, np.ndarray, np.ndarray]]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Training rows with the same features added up."""
+    for kind in KINDS:
+        if own := [p for p in parts if p[0] == kind]:
+            x = np.ascontiguousarray(np.concatenate([p[1] for p in own]))
+            w = np.concatenate([p[2] for p in own])
+            _, first, at = np.unique(x.view(f"V{x.shape[1] * 2}").ravel(), return_index=True, return_inverse=True)
+            yield kind, x[first], np.stack([np.bincount(at.ravel(), w[:, k], len(first)) for k in range(4)], axis=1).astype(np.int64)
+
+
+def _values(kind: str, x: np.ndarray, w: np.ndarray) -> Iterator[tuple[str, int, int, int]]:
+    """How often each feature has each value."""
+    for j in range(x.shape[1]):
+        v, at = np.unique(x[:, j], return_inverse=True)
+        yield from ((kind, j, a, b) for a, b in zip(v.tolist(), np.bincount(at, w[:, 0] + w[:, 2]).astype(np.int64).tolist()))
+
+
+def _edges(values: list[tuple[str, int, int, int]]) -> dict[str, list[np.ndarray]]:
+    """Edges between the bins of each feature, by kind."""
+    by: dict[str, dict[int, list]] = {}
+    for kind, j, v, n in values:
+        by.setdefault(kind, {}).setdefault(j, []).append((v, n))
+    return {k: [boosting.edges_of(*map(np.array, zip(*x[j]))) for j in range(len(x))] for k, x in by.items()}
+
+
+def train(texts: list[str]) -> Model:
+    """The model of texts, as ``fit`` makes it of a table with their places as row_id."""
+    block, cache = _read(list(range(len(texts))), texts), {}
+    words = _counted(block, _Small())
+    letters, other = _known(words, _tables(words), len(texts))
+    alike = list(_alike(list(_examples(block, letters, other, cache))))
+    edges = _edges([v for a in alike for v in _values(*a)])
+    rows = {k: boosting.Rows(boosting.bins_of(x, edges[k]), w.astype(float)) for k, x, w in alike}
+    return _model(letters, edges, lambda f: boosting.summed([rows], f))
+
+
+def _model(letters: Letters, edges: dict, total: Callable) -> Model:
+    """The model, with trees over the features as they are."""
+    trees = boosting.grow(edges, total)
+    return Model(letters, {k: (t := trees.get(k)) and t._replace(edge=t.edge / _PART) for k in KINDS})
 
 
 _SMALL_NAME = re.compile(rf"([^\W\d_]+){_SP}(?:[^\W\d_]\.{_SP})*([^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)*)(?![\w@+-]|\.\w)")
@@ -415,40 +574,32 @@ _KNOWN: list = [None, {}]
 
 def find(model: Model, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
     """For each text its items: kind, start, end, probability; without overlaps, from left to right."""
-    rows: dict[str, list] = {k: [] for k in KINDS}
-    where: dict[str, list] = {k: [] for k in KINDS}
-    if _KNOWN[0] is not model.letters:
-        _KNOWN[:] = [model.letters, {}]
+    return _decided(model, _read([], texts, learn=False))
+
+
+def _decided(model: Model, block: Block) -> list[list[tuple[str, int, int, float]]]:
+    """``find`` for texts that are read."""
+    texts, letters = block.texts, model.letters
+    if _KNOWN[0] is not letters:
+        _KNOWN[:] = [letters, {}]
     cache = _KNOWN[1]
-    for d, t in enumerate(texts):
-        c = candidates(t)
-        for s in c["email"]:
-            rows["email"].append(_email(t, s))
-            where["email"].append((d, s))
-        ends = _ends(c) if c["number"] else []
-        for s in c["number"]:
-            f = _number(t, s, ends)
-            for kind in ("phone", "id_number"):
-                rows[kind].append(f)
-                where[kind].append((d, s))
-        for s in c["address"]:
-            rows["address"].append(_address(t, s))
-            where["address"].append((d, s))
-        for s in c["name"] + small_names(t, model.letters):
-            rows["name"].append(_name(t, s, model.letters, cache))
-            where["name"].append((d, s))
+    small = [(d, s.start, s.end, s.first, s.last, t, s) for d, t in enumerate(texts) for s in small_names(t, letters)]
+    where = {"email": block.spans["email"], "phone": block.spans["number"], "id_number": block.spans["number"], "address": block.spans["address"], "name": [*block.spans["name"], *small]}
+    names = np.concatenate([block.features["name"], _parts([_name(*x[5:]) for x in small], "name")])
+    if len(names):
+        names[:, SCORE] = np.rint(np.array([_score(x[3], x[4], 0, letters, cache) for x in where["name"]]) * _PART)
+    features = {"email": block.features["email"], "phone": block.features["number"], "id_number": block.features["number"], "address": block.features["address"], "name": names}
     kept: list[list] = [[] for _ in texts]
     for kind in KINDS:
         trees = model.trees.get(kind)
-        p = boosting.predict(trees, np.array(rows[kind], float)) if trees is not None and rows[kind] else np.full(len(rows[kind]), 0.9 if kind in ("email", "address") else 0.0)
+        p = boosting.predict(trees, features[kind] / _PART) if trees is not None else np.full(len(features[kind]), 0.9 if kind in ("email", "address") else 0.0)
         cut = trees.cut if trees is not None else 0.5
         for k in np.flatnonzero(p >= cut).tolist():
-            d, s = where[kind][k]
-            start = s.start
+            d, start, end = where[kind][k][:3]
             if kind == "phone":
-                while start < s.end and not (texts[d][start].isdigit() or texts[d][start] in "+("):
+                while start < end and not (texts[d][start].isdigit() or texts[d][start] in "+("):
                     start += 1
-            kept[d].append((kind, start, s.end, float(p[k])))
+            kept[d].append((kind, start, end, float(p[k])))
     out = []
     for items in kept:
         taken: list = []
@@ -466,39 +617,148 @@ def find(model: Model, texts: list[str]) -> list[list[tuple[str, int, int, float
     return out
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from about ``sample`` rows, chosen by a hash of row_id."""
-    got = sample_rows(rows.where(short()).select("row_id", "text"), sample, "row_id").toPandas().sort_values("row_id")
-    return train(got["text"].tolist())
+def blocks(rows: DataFrame) -> DataFrame:
+    """The rows read, in blocks, with how many of them have a text and the counts of their words."""
+    kind = pa.list_(pa.struct([("word", pa.string()), *((k, pa.int64()) for k in ("given", "family", "other", "small"))]))
+
+    def make(batches):
+        known = _Small()
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                texts = part.column(1).to_pylist()
+                block = _read(part.column(0).to_pylist(), [t or "" for t in texts])
+                words = [dict(zip(("word", "given", "family", "other", "small"), (w, *c))) for w, c in _counted(block, known).items()]
+                yield pa.RecordBatch.from_arrays([pa.array([block.packed()], pa.binary()), pa.array([sum(t is not None for t in texts)], pa.int64()), pa.array([words], kind)], names=["block", "texts", "words"])
+
+    return checkpoint(rows.select("row_id", "text").mapInArrow(make, "block binary, texts bigint, words array<struct<word:string,given:bigint,family:bigint,other:bigint,small:bigint>>"))
+
+
+def _vocabulary(read: DataFrame) -> tuple[Letters, dict]:
+    """Letters and counts of words over all blocks. Only words that are names, or no names often, reach the driver."""
+    n = read.agg(F.sum("texts")).first()[0] or 0
+    scale = min(1.0, PER / max(1, n))
+    kinds = ("given", "family", "other", "small")
+    words = checkpoint(read.select(F.explode("words").alias("w")).groupBy("w.word").agg(*(F.sum(f"w.{k}").alias(k) for k in kinds)))
+
+    def triples(batches):
+        for batch in batches:
+            tables = _tables({w: (g, f, o, 0) for w, g, f, o in zip(*(c.to_pylist() for c in batch.columns))})
+            rows = [(k, g, c) for k, t in enumerate(tables) for g, c in t.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["k", "triple", "n"])
+
+    tables: list[Counter] = [Counter() for _ in range(4)]
+    for k, g, c in words.where("given + family + other > 0").select("word", "given", "family", "other").mapInArrow(triples, "k int, triple string, n bigint").groupBy("k", "triple").agg(F.sum("n").alias("n")).collect():
+        tables[k][g] = c
+    some = words.where((F.col("given") > 0) | (F.col("family") > 0) | (F.col("other") * F.lit(scale) > 1) | (F.col("small") * F.lit(scale) >= 3)).select("word", *kinds).collect()
+    return _known({r[0]: tuple(r[1:]) for r in some}, tables, n)
+
+
+_ALIKE = "kind string, x binary, w0 bigint, w1 bigint, w2 bigint, w3 bigint"
+
 
+def _batch(kind: str, x: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    each = pa.Array.from_buffers(pa.binary(x.shape[1] * 2), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(x), pa.string()), each, *(pa.array(w[:, k], pa.int64()) for k in range(4))], names=["kind", "x", "w0", "w1", "w2", "w3"])
 
-def items(rows: DataFrame, model: Model) -> DataFrame:
-    """row_id, items (kind, start_char, end_char, probability) of every row with any; positions are code points from 0. Null texts have none."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+def _of_batch(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    kinds, xs = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
+    w = np.stack([batch.column(2 + k).to_numpy() for k in range(4)], axis=1)
+    for kind in KINDS:
+        at = np.flatnonzero(kinds == kind)
+        if len(at):
+            yield kind, np.frombuffer(b"".join([xs[i] for i in at]), np.int16).reshape(len(at), -1), w[at]
+
+
+def learn(read: DataFrame, together: int = TOGETHER) -> Model:
+    """The model of all rows in ``blocks``."""
+    letters, other = _vocabulary(read)
+    shared = read.sparkSession.sparkContext.broadcast((letters, other))
+
+    def examples(batches):
+        cache: dict = {}
+        for batch in batches:
+            parts = [p for data in batch.column(0).to_pylist() for p in _examples(_unpacked(data), *shared.value, cache)]
+            yield from (_batch(*a) for a in _alike(parts))
+
+    def values(batches):
+        for batch in batches:
+            rows = [v for a in _of_batch(batch) for v in _values(*a)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["kind", "j", "v", "n"])
+
+    alike = checkpoint(read.select("block").mapInArrow(examples, _ALIKE).groupBy("kind", "x").agg(*(F.sum(f"w{k}").alias(f"w{k}") for k in range(4))))
+    edges = _edges([tuple(r) for r in alike.mapInArrow(values, "kind string, j int, v int, n bigint").groupBy("kind", "j", "v").agg(F.sum("n")).collect()])
+
+    def binned(batches):
+        for batch in batches:
+            rows = [(kind, len(x), boosting.bins_of(x, edges[kind]).tobytes(), w.astype(float).tobytes()) for kind, x, w in _of_batch(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["kind", "n", "x", "w"])
+
+    bins = checkpoint(alike.mapInArrow(binned, "kind string, n bigint, x binary, w binary"))
+    of = lambda n, x, w: (np.frombuffer(x, np.uint8).reshape(n, -1), np.frombuffer(w, float).reshape(n, 4))
+    if (bins.agg(F.sum("n")).first()[0] or 0) <= together:
+        got: dict[str, list] = {}
+        for kind, *x in bins.collect():
+            got.setdefault(kind, []).append(of(*x))
+        rows = {k: boosting.Rows(*(np.concatenate(x) for x in zip(*v))) for k, v in got.items()}
+        return _model(letters, edges, lambda f: boosting.summed([rows], f))
+
+    def total(f: Callable) -> dict:
+        def add(batches):
+            sums = boosting.summed(({kind: boosting.Rows(*of(*x))} for batch in batches for kind, *x in zip(*(c.to_pylist() for c in batch.columns))), f)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(sums)], pa.binary())], names=["sums"])
+
+        return boosting.summed([pickle.loads(r[0]) for r in bins.mapInArrow(add, "sums binary").collect()], lambda _, x: x)
+
+    return _model(letters, edges, total)
+
+
+def fit(rows: DataFrame) -> Model:
+    """The model of all rows."""
+    return learn(blocks(rows))
+
+
+_ITEMS = "row_id bigint, items array<struct<kind:string,start_char:int,end_char:int,probability:double>>"
+
+
+def _listed(ids: list, found: list) -> pa.RecordBatch:
+    """The rows with any items."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("probability", pa.float64())]))
+    some = [i for i, x in enumerate(found) if x]
+    values = [[dict(zip(("kind", "start_char", "end_char", "probability"), x)) for x in found[i]] for i in some]
+    return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in some], pa.int64()), pa.array(values, kind)], names=["row_id", "items"])
+
+
+def items(rows: DataFrame, model: Model | None = None) -> DataFrame:
+    """row_id, items (kind, start_char, end_char, probability) of every row with any; positions are code points from 0. Null texts have none. Without a model, the one of the rows."""
+    read = blocks(rows) if model is None else None
+    shared = rows.sparkSession.sparkContext.broadcast(model or learn(read))
 
     def make(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                found = find(shared.value, [t or "" for t in texts])
-                some = [i for i, x in enumerate(found) if x]
-                values = [[dict(zip(("kind", "start_char", "end_char", "probability"), x)) for x in found[i]] for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in some], pa.int64()), pa.array(values, kind)], names=["row_id", "items"])
+                yield _listed(part.column(0).to_pylist(), find(shared.value, [t or "" for t in part.column(1).to_pylist()]))
+
+    def decide(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                block = _unpacked(data.as_py())
+                yield _listed(block.ids, _decided(shared.value, block))
 
-    return rows.select("row_id", "text").mapInArrow(make, "row_id bigint, items array<struct<kind:string,start_char:int,end_char:int,probability:double>>")
+    return rows.select("row_id", "text").mapInArrow(make, _ITEMS) if read is None else read.select("block").mapInArrow(decide, _ITEMS)
 
 
 def found(rows: DataFrame, model: Model | None = None) -> DataFrame:
     """row_id, kind, start_char of every item."""
-    each = items(rows, model or fit(rows)).select("row_id", F.explode("items").alias("i"))
+    each = items(rows, model).select("row_id", F.explode("items").alias("i"))
     return each.select("row_id", F.col("i.kind").alias("kind"), F.col("i.start_char").alias("start_char"))
 
 
 def redact(rows: DataFrame, model: Model | None = None) -> DataFrame:
     """row_id, text with placeholders, email_addresses (whether a mail address was found) and the number of items; every row, null texts stay null."""
-    got = items(rows, model or fit(rows))
+    got = items(rows, model)
     both = rows.select("row_id", "text").join(got, "row_id", "left")
 
     def make(batches):

@@ -302,3 +302,29 @@ def test_queries_agree_with_their_sql(spark, small):
         got, want = queries.queries()[name](spark, small).toPandas(), c.execute(sql).df()
         key = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).itertuples(index=False, name=None)))
         assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
+
+
+def test_personal_model_is_of_all_rows(spark):
+    """Counts, trees and thresholds come from every row, whether the sums are taken on the driver or in tasks; a long text counts too."""
+    names = [("Ada", "Velt"), ("Bram", "Ostor"), ("Cleo", "Marwick"), ("Dunja", "Pell")]
+    texts = []
+    for i in range(9000):
+        first, last = names[i % 4]
+        texts.append(f"From: {first} {last} <{first.lower()}@x.test>\ncall 07700 900{i % 900 + 100:03d}, passport {i % 9}66-61-8417" if i % 2 == 0 else f"They met in Grand Harbour near docket 7913-45/{i % 90 + 10}, at {i % 80 + 1} Mill Road")
+    texts.append("From: Zeno Quill <z@x.test>\n" + "word " * 20_000)
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string").repartition(3)
+    read = personal.blocks(df)
+    models = [personal.learn(read), personal.learn(read, together=0), personal.train(texts)]
+    assert models[0].letters.givens["ada"] == models[0].letters.givens["cleo"] == 2250 and models[0].letters.families["quill"] == 1
+    for m in models[1:]:
+        assert m.letters == models[0].letters
+        assert all(np.array_equal(a, b) for k in personal.KINDS for a, b in zip(m.trees[k] or (), models[0].trees[k] or ()))
+    assert models[0].trees["name"] is not None and {r["kind"] for r in personal.found(df).where("row_id < 2").collect()} >= {"email", "phone", "name"}
+    assert personal.found(df.limit(0)).count() == 0 and personal.found(spark.createDataFrame([(1, None), (None, "x")], "row_id long, text string")).count() == 0
+
+
+def test_thresholds_of_rows_that_are_told_apart_without_error():
+    x = np.repeat(np.arange(2.0), 100_000)[:, None]
+    m = boosting.fit(x, x[:, 0])
+    assert np.isfinite([m.slope, m.shift]).all() and ((boosting.predict(m, x) >= m.cut) == (x[:, 0] > 0)).all()
+    assert boosting.fit(x, np.ones(len(x))) is None
