@@ -296,7 +296,7 @@ def _name(t: str, s: Span) -> list[float]:
     low = before.lower().rstrip(" \t (:")
     after = t[s.end : s.end + 3]
     initial = len(s.first) == 2 and s.first[1] == "."
-    word = low.rsplit(None, 1)[-1] if low else ""
+    word = (low.rsplit(None, 1) or [""])[-1]  # what is before may be blank lines only
     nxt = after.lstrip("  ")[:1]
     return [
         _announced(low, "title"), _announced(low, "name"), _announced(low, "place"), before[-1:] in ("", "\n", ",", " ") and (not low or before.rstrip(" ")[-1:] in ("\n", ",", "·")), nxt == "<", nxt in ",·(", before.rstrip("  ")[-1:] == ":",

@@ -200,6 +200,13 @@ def test_personal_items_where_nothing_announces_them(held_out):
     assert sum(any(k == "name" and a == at for k, a, _, _ in r) for r, (_, at, _) in zip(found, heads)) >= 0.9 * len(heads)
 
 
+def test_names_after_nothing_but_blanks(held_out):
+    blanks = ["\n", "\r\n ", "\u2028", "x." + "\n" * 30, "\n\t \n", ""]
+    model = personal.train(held_out[:900] + [f"{b}Quilric Pellinowara" for b in blanks])
+    found = personal.find(model, [f"{b}By Quilric Pellinowara\nFrom: Quilric Pellinowara <ada@x.test>" for b in blanks] + [f"{b}Quilric Pellinowara <ada@x.test> wrote:" for b in blanks])
+    assert [[x[:2] for x in r if x[0] == "name"][-1:] for r in found] == [[("name", len(b) + 29)] for b in blanks] + [[("name", len(b))] for b in blanks]
+
+
 def test_redaction_keeps_the_rest(spark, held_out):
     model = personal.train(held_out[:400])
     df = spark.createDataFrame([(1, "mail ann@x.test now"), (2, None), (3, ""), (4, "nothing")], "row_id long, text string")
