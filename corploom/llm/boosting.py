@@ -12,6 +12,8 @@ from typing import NamedTuple
 import numpy as np
 
 BINS = 24
+#: Trees after which the margins of rows that lie elsewhere are kept, so that they are not found again from the first tree on.
+KEEP = 5
 _UNIT = float(1 << 20)
 #: Margins are told apart by this much where thresholds are found, and up to this size.
 _STEP, _FAR = 1 / 256, 24
@@ -32,9 +34,9 @@ class Trees(NamedTuple):
 class Rows:
     """Binned rows with the weights of those trees are fitted to and of those that calibrate: all and positive ones of each."""
 
-    def __init__(self, binned: np.ndarray, weights: np.ndarray):
+    def __init__(self, binned: np.ndarray, weights: np.ndarray, margin: np.ndarray | None = None, trees: int = 0):
         self.binned, self.weights = binned, weights
-        self.margin, self.trees = None, 0  # what is known of the trees so far
+        self.margin, self.trees = margin, trees  # what is known of the trees so far
 
 
 def _margin(model: Trees, x: np.ndarray) -> np.ndarray:
@@ -121,8 +123,8 @@ def _places(rows: Rows, g: Grown, trees: int) -> np.ndarray:
     return np.stack([np.bincount(at, w[:, k], 2 * int(_FAR / _STEP) + 1) for k in (0, 1)])
 
 
-def grow(edges: dict[str, list[np.ndarray]], total: Callable, trees: int = 50, depth: int = 4, rate: float = 0.25, ridge: float = 1.0) -> dict[str, Trees | None]:
-    """The trees of every kind, None where all rows are alike. total(f): the sums over all blocks of f(kind, rows), by kind."""
+def grow(edges: dict[str, list[np.ndarray]], total: Callable, trees: int = 50, depth: int = 4, rate: float = 0.25, ridge: float = 1.0, keep: Callable | None = None) -> dict[str, Trees | None]:
+    """The trees of every kind, None where all rows are alike. total(f): the sums over all blocks of f(kind, rows), by kind. keep(f): rows from now on have the margins f(kind, rows) and the number of trees these are of."""
     inner = (1 << depth) - 1
     state: dict[str, Grown] = {}
     for kind, (n, y, n2, y2) in total(lambda kind, rows: _sums(rows)).items():
@@ -149,6 +151,8 @@ def grow(edges: dict[str, list[np.ndarray]], total: Callable, trees: int = 50, d
                     if level == depth - 1:
                         for side, (a, b) in enumerate((left[k, j, i], right[k, j, i]) if split else (every[k, 0, 0], np.zeros(2))):
                             g.value[t, 2 * k + side] = -rate * a / (b + ridge) if b > 0 else 0.0
+        if keep and t % KEEP == KEEP - 1:
+            keep(lambda kind, rows: _margins(rows, known[kind], t + 1) if kind in known else None)  # noqa: B023
     if not state:
         return dict.fromkeys(edges)
     out: dict[str, Trees | None] = dict.fromkeys(edges)

@@ -16,6 +16,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +30,7 @@ from . import boosting
 #: Rows to which counts of words are referred in tables with more rows: a word is often a name, or written small, by its count in so many rows.
 PER = 4000
 
-#: Rows of a block, and distinct training rows up to which the trees are grown on the driver; more stay in blocks that tasks add up. Both ways give the same trees.
+#: Rows of a block, and training rows that are told apart by their bins up to which the trees are grown on the driver; more stay in blocks that tasks add up. Both ways give the same trees.
 BLOCK, TOGETHER = 2000, 1_000_000
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -92,15 +93,30 @@ def _words(words: tuple[str, ...]) -> re.Pattern:
 
 
 _PHONE, _ID, _OTHER, _LIVES = map(_words, (PHONE_WORDS, ID_WORDS, OTHER_WORDS, LIVES_WORDS))
-_ENDS = {k: re.compile(r"(?<!\w)(?:" + "|".join(re.escape(w) for w in sorted(set(v), key=len, reverse=True)) + r")[\s.:(]*$") for k, v in (("title", TITLES), ("name", NAME_WORDS), ("place", PLACE_WORDS))}
-_LAST = {"title": TITLES, "name": NAME_WORDS, "place": PLACE_WORDS}
 _LOOSE = "".join(c for c in map(chr, range(0x3001)) if re.match(r"[\s.:(]", c))
 _GROUP = frozenset(GROUP_WORDS)
 
+#: What words announce, as bits, and the words with theirs.
+TITLE, NAME, PLACE = 1, 2, 4
+_ENDING = {w: TITLE * (w in TITLES) | NAME * (w in NAME_WORDS) | PLACE * (w in PLACE_WORDS) for w in TITLES + NAME_WORDS + PLACE_WORDS}
+_SIZES, _TAILS = sorted({len(w) for w in _ENDING}), frozenset(w[-2:] for w in _ENDING)
+
+
+def _announced(low: str) -> int:
+    """What the words at the end of the text announce."""
+    low, out = low.rstrip(_LOOSE), 0
+    for n in _SIZES if low[-2:] in _TAILS or low[-1:] in _TAILS else ():
+        if n > len(low):
+            break
+        bits = _ENDING.get(low[-n:])
+        if bits and (n == len(low) or not (low[-n - 1].isalnum() or low[-n - 1] == "_")):
+            out |= bits
+    return out
+
 
-def _announced(low: str, kind: str) -> bool:
-    """Whether a word of the kind ends the text; most texts are told without the pattern."""
-    return low.rstrip(_LOOSE).endswith(_LAST[kind]) and _ENDS[kind].search(low) is not None
+def _said(t: str, s: Span) -> int:
+    """What the words before a name announce."""
+    return _announced(t[max(0, s.start - 24) : s.start].lower())
 
 
 _BEFORE_NAMES = frozenset(TITLES + NAME_WORDS)
@@ -129,19 +145,24 @@ def candidates(text: str) -> dict[str, list[Span]]:
         begin, end = text.rfind("\n", 0, hit.start()) + 1, text.find("\n", hit.end())
         end = len(text) if end < 0 else end
         out["email"] += [Span(m.start(), m.end()) for m in EMAIL.finditer(text, begin, end) if any(c.isalpha() for c in m.group()[-4:])]
-    end = -1
-    for hit in _DIGITS.finditer(text):  # only lines with so many digits are read for numbers
-        if hit.start() < end:
+    runs, end = [m.start() for m in _RUN.finditer(text)], -1
+    for at in runs:  # only lines with so many digits are read for numbers
+        if at < end or not _DIGITS.match(text, at):
             continue
-        begin, end = text.rfind("\n", 0, hit.start()) + 1, text.find("\n", hit.end())
+        begin, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
         end = len(text) if end < 0 else end
         for m in NUMBER.finditer(text, begin, end):
             s = m.group()
             if sum(map(str.isdigit, s)) >= 6:
                 loose = s.count(")") > s.count("(") and s[-1] == ")"
                 out["number"].append(Span(m.start(), m.end() - loose))
-    out["address"] = _addresses(text)
+    out["address"] = _addresses(text, runs)
     for m in WORDS.finditer(text):
+        words = m.group().split()
+        if len(words) == 2:
+            if not (len(words[1]) == 2 and words[1][1] == "."):
+                out["name"].append(Span(m.start(), m.end(), *words))
+            continue
         parts = [(m.start() + x.start(), m.start() + x.end(), x.group()) for x in _TOKEN.finditer(m.group())]
         for i, (a, _, w) in enumerate(parts[:-1]):
             j = i + 1
@@ -153,11 +174,10 @@ def candidates(text: str) -> dict[str, list[Span]]:
     return out
 
 
-def _addresses(text: str) -> list[Span]:
-    """Spans that look like street addresses. They are looked for at numbers, which every address has and most lines have not."""
+def _addresses(text: str, runs: list[int]) -> list[Span]:
+    """Spans that look like street addresses. They are looked for at numbers (runs: where they begin), which every address has and most lines have not."""
     found: set[tuple[int, int]] = set()
-    for m in _RUN.finditer(text):
-        a = m.start()
+    for a in runs:
         if a and (text[a - 1].isalnum() or text[a - 1] in "_-"):
             continue
         if x := NUMBER_FIRST.match(text, a):
@@ -167,7 +187,8 @@ def _addresses(text: str) -> list[Span]:
         if a and text[a - 1] in _BLANK and text[max(0, a - 16) : a].rstrip(" \t\u00a0").lower().endswith(STREET_END):
             line, end = text.rfind("\n", 0, a) + 1, text.find("\n", a)
             found.update(x.span() for x in KIND_LAST.finditer(text, line, end if end >= 0 else len(text)))
-    if _FIRST_SIGN.search(text.lower()):
+    low = text.lower() if runs else ""
+    if any(w in low for w in STREET_FIRST) and _FIRST_SIGN.search(low):
         found.update(x.span() for x in KIND_FIRST.finditer(text))
     return [Span(a, b) for a, b in sorted(found)]
 
@@ -232,7 +253,7 @@ def _address_facts(before: str, x: str, after: str) -> list[float]:
     year = len(digits) == 4 and digits[:2] in ("18", "19", "20")
     kind = next((i for i, w in enumerate(words) if w.strip(",").lower() in _KINDS), -1)
     return [
-        bool(_LIVES.search(low)), low.endswith((",", "·", ":", ";")), _announced(low, "place"), low.endswith((".", "!", "?")) or not low, bool(number), x[:1].isdigit(), len(digits), year, x.count(","), bool(re.search(r",\s\d{4,5}\b", x)),
+        bool(_LIVES.search(low)), low.endswith((",", "·", ":", ";")), bool(_announced(low) & PLACE), low.endswith((".", "!", "?")) or not low, bool(number), x[:1].isdigit(), len(digits), year, x.count(","), bool(re.search(r",\s\d{4,5}\b", x)),
         any(x.rstrip(" 0123456789abcdiI-").lower().endswith(w) for w in STREET_END), kind >= 0, kind, len(words), bool(follows) and follows.group()[:1].isupper(), bool(follows) and follows.group().lower() in _GROUP, nxt[:1] in (",", "·"), nxt[:1] in (".", "\n", ""), x.lower().startswith(("flat", "apt", "apartment", "unit", "suite")),
     ]
 
@@ -290,8 +311,8 @@ def _score(first: str, last: str, own: int, letters: Letters, cache: dict) -> tu
     return 0.0 if len(first) == 2 and first[1] == "." else a[0], b[1], b[0], min(6, max(0, a[2] - own) * letters.scale), min(3, max(0, b[3] - own) * letters.scale), a[4], b[4]
 
 
-def _name(t: str, s: Span) -> list[float]:
-    """Wording and format of a name; the places of its score are left empty."""
+def _name(t: str, s: Span, said: int) -> list[float]:
+    """Wording (said: what it announces) and format of a name; the places of its score are left empty."""
     before = t[max(0, s.start - 24) : s.start]
     low = before.lower().rstrip(" \t (:")
     after = t[s.end : s.end + 3]
@@ -299,7 +320,7 @@ def _name(t: str, s: Span) -> list[float]:
     word = (low.rsplit(None, 1) or [""])[-1]  # what is before may be blank lines only
     nxt = after.lstrip("  ")[:1]
     return [
-        _announced(low, "title"), _announced(low, "name"), _announced(low, "place"), before[-1:] in ("", "\n", ",", " ") and (not low or before.rstrip(" ")[-1:] in ("\n", ",", "·")), nxt == "<", nxt in ",·(", before.rstrip("  ")[-1:] == ":",
+        bool(said & TITLE), bool(said & NAME), bool(said & PLACE), before[-1:] in ("", "\n", ",", " ") and (not low or before.rstrip(" ")[-1:] in ("\n", ",", "·")), nxt == "<", nxt in ",·(", before.rstrip("  ")[-1:] == ":",
         initial, *_NO_SCORE, s.first.lower() in _GROUP, s.last.lower() in _GROUP, s.first.isupper() and not initial, "-" in s.last, len(s.first), len(s.last), s.end - s.start, word.istitle(), after[:1] == "-", nxt.isalpha() and nxt.isupper(),
     ]
 
@@ -320,24 +341,22 @@ _REPLY = re.compile(rf"(?m)^(?:On .{{0,60}})?((?:[{_UP}]\.|[{_UP}][\w'’]+)(?:{
 _INITIAL = re.compile(r".\.$")
 
 
-def _label_names(t: str, spans: list[Span]) -> list[int]:
+def _label_names(t: str, spans: list[Span], said: list[int]) -> list[int]:
     """1 for names that a mail header or a title announces, 0 for places and groups, -1 where the wording is silent."""
-    known = {m.start(1) for p in (_HEADER, _REPLY) for m in p.finditer(t)}
+    known = {m.start(1) for p in (_HEADER, _REPLY) for m in p.finditer(t)} if "<" in t else set()
     out = []
-    for s in spans:
-        low = t[max(0, s.start - 24) : s.start].lower().rstrip(" \t ")
-        if s.start in known and not (s.first.lower() in _GROUP or s.last.lower() in _GROUP):
+    for s, announced in zip(spans, said):
+        group = s.first.lower() in _GROUP or s.last.lower() in _GROUP
+        if s.start in known and not group:
             out.append(1)
-        elif any(abs(s.start - k) < 40 and s.start > k for k in known):
+        elif known and any(0 < s.start - k < 40 for k in known):
             out.append(-1)
-        elif s.first.lower() in _GROUP or s.last.lower() in _GROUP:
+        elif group:
             out.append(0)
-        elif _announced(low, "title"):
+        elif announced & TITLE:
             out.append(1)
-        elif _announced(low, "place") and not _announced(low, "name"):
-            out.append(0)
         else:
-            out.append(-1)
+            out.append(0 if announced & PLACE and not announced & NAME else -1)
     return out
 
 
@@ -374,13 +393,19 @@ class Block(NamedTuple):
     decoys: np.ndarray
 
     def packed(self) -> bytes:
-        raw = marshal.dumps((self.ids, self.texts, self.spans, {k: v.tobytes() for k, v in self.features.items()}, self.decoys.tobytes()))
-        return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+        return _pressed(marshal.dumps((self.ids, self.texts, self.spans, {k: v.tobytes() for k, v in self.features.items()}, self.decoys.tobytes())))
+
+
+def _pressed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loosened(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> Block:
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    ids, texts, spans, features, decoys = marshal.loads(raw)
+    ids, texts, spans, features, decoys = marshal.loads(_loosened(data))
     of = lambda x, kind: np.frombuffer(x, np.int16).reshape(-1, WIDTH[kind])
     return Block(ids, texts, spans, {k: of(v, k) for k, v in features.items()}, of(decoys, "address"))
 
@@ -400,9 +425,10 @@ def _read(ids: list, texts: list[str], learn: bool = True) -> Block:
         for s in c["number"]:
             spans["number"].append((d, s.start, s.end))
             rows["number"].append(_number(t, s, ends))
-        for s, y in zip(c["name"], _label_names(t, c["name"]) if learn else [-1] * len(c["name"])):
+        said = [_said(t, s) for s in c["name"]]
+        for s, announced, y in zip(c["name"], said, _label_names(t, c["name"], said) if learn else [-1] * len(said)):
             spans["name"].append((d, s.start, s.end, s.first, s.last, y))
-            rows["name"].append(_name(t, s))
+            rows["name"].append(_name(t, s, announced))
         for s in c["address"] if learn else ():
             decoys += _decoys(t, s)
     return Block(ids, texts, spans, {k: _parts(v, k) for k, v in rows.items()}, _parts(decoys, "address"))
@@ -418,7 +444,7 @@ class _Small(dict):
         return words
 
     def of(self, text: str) -> set[str]:
-        return set().union(*map(self.__getitem__, set(text.split())))
+        return set(chain.from_iterable(map(self.__getitem__, set(text.split()))))
 
 
 def _counted(block: Block, known: _Small) -> dict[str, list[int]]:
@@ -432,7 +458,6 @@ def _counted(block: Block, known: _Small) -> dict[str, list[int]]:
         elif y == 0:
             other.update((first, last))
     for t in block.texts:
-        # single words in capitals after words of place
         other.update(_PLACED.findall(t))
         small.update(known.of(t))
     out: dict[str, list[int]] = {}
@@ -499,11 +524,11 @@ def _examples(block: Block, letters: Letters, other: dict, cache: dict) -> Itera
         # numbers of persons are few, so each is learnt both with and without its wording
         return kind, np.concatenate([x if number else x[~blank], hidden]), np.concatenate([w if number else w[~blank], w[blank]])
 
-    names = [(n, x, y) for n, x in zip(block.spans["name"], block.features["name"]) if (y := _second(n, letters, other)) >= 0]
+    names = [(k, n, y) for k, n in enumerate(block.spans["name"]) if (y := _second(n, letters, other)) >= 0]
     if names:
-        x = np.array([x for _, x, _ in names])
-        x[:, SCORE] = np.rint(np.array([_score(n[3], n[4], y, letters, cache) for n, _, y in names]) * _PART)
-        yield made("name", [n for n, _, _ in names], x, np.array([y for *_, y in names], bool))
+        x = block.features["name"][[k for k, *_ in names]]
+        x[:, SCORE] = np.rint(np.array([_score(n[3], n[4], y, letters, cache) for _, n, y in names]) * _PART)
+        yield made("name", [n for _, n, _ in names], x, np.array([y for *_, y in names], bool))
     if spans := block.spans["address"]:
         yield made("address", spans, block.features["address"], np.ones(len(spans), bool), 1)
         for k in range(each := len(block.decoys) // len(spans)):
@@ -527,7 +552,7 @@ def _alike(parts: list[tuple[str, np.ndarray, np.ndarray]]) -> Iterator[tuple[st
         if own := [p for p in parts if p[0] == kind]:
             x = np.ascontiguousarray(np.concatenate([p[1] for p in own]))
             w = np.concatenate([p[2] for p in own])
-            _, first, at = np.unique(x.view(f"V{x.shape[1] * 2}").ravel(), return_index=True, return_inverse=True)
+            _, first, at = np.unique(x.view(f"V{x.shape[1] * x.itemsize}").ravel(), return_index=True, return_inverse=True)
             yield kind, x[first], np.stack([np.bincount(at.ravel(), w[:, k], len(first)) for k in range(4)], axis=1).astype(np.int64)
 
 
@@ -553,19 +578,21 @@ def train(texts: list[str]) -> Model:
     letters, other = _known(words, _tables(words), len(texts))
     alike = list(_alike(list(_examples(block, letters, other, cache))))
     edges = _edges([v for a in alike for v in _values(*a)])
-    rows = {k: boosting.Rows(boosting.bins_of(x, edges[k]), w.astype(float)) for k, x, w in alike}
+    rows = {k: boosting.Rows(x, w.astype(float)) for k, x, w in _alike([(k, boosting.bins_of(x, edges[k]), w) for k, x, w in alike])}
     return _model(letters, edges, lambda f: boosting.summed([rows], f))
 
 
-def _model(letters: Letters, edges: dict, total: Callable) -> Model:
+def _model(letters: Letters, edges: dict, total: Callable, keep: Callable | None = None) -> Model:
     """The model, with trees over the features as they are."""
-    trees = boosting.grow(edges, total)
+    trees = boosting.grow(edges, total, keep=keep)
     return Model(letters, {k: (t := trees.get(k)) and t._replace(edge=t.edge / _PART) for k in KINDS})
 
 
 _SMALL_NAME = re.compile(rf"([^\W\d_]+){_SP}(?:[^\W\d_]\.{_SP})*([^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)*)(?![\w@+-]|\.\w)")
 _SMALL = re.compile(r"(?<![\w@.+_-])[^\W\d_]{2,}(?![\w@+_-]|\.\w)")
-_PLACED = re.compile(rf"(?<!\w)(?:in|near|around|from|of|à|de|aus|um|bei|en|em|uit|rond|bij|the|der|die|das|dem|den|des|het|le|la|el|o|a) ([{_UP}][\w'’]+)(?![\w'’-]| [{_UP}])")
+_BEFORE_PLACES = "in near around from of à de aus um bei en em uit rond bij the der die das dem den des het le la el o a".split()
+#: Single words in capitals after words of place. They are looked for at the blank, since most words of place have no such word after them.
+_PLACED = re.compile(" (?:" + "|".join(rf"(?<=\b(?:{'|'.join(w for w in _BEFORE_PLACES if len(w) == n)}) )" for n in sorted({len(w) for w in _BEFORE_PLACES})) + rf")([{_UP}][\w'’]+)(?![\w'’-]| [{_UP}])")
 
 
 #: The letters of the last model used by a worker, and the scores of names under them.
@@ -585,7 +612,7 @@ def _decided(model: Model, block: Block) -> list[list[tuple[str, int, int, float
     cache = _KNOWN[1]
     small = [(d, s.start, s.end, s.first, s.last, t, s) for d, t in enumerate(texts) for s in small_names(t, letters)]
     where = {"email": block.spans["email"], "phone": block.spans["number"], "id_number": block.spans["number"], "address": block.spans["address"], "name": [*block.spans["name"], *small]}
-    names = np.concatenate([block.features["name"], _parts([_name(*x[5:]) for x in small], "name")])
+    names = np.concatenate([block.features["name"], _parts([_name(*x[5:], _said(*x[5:])) for x in small], "name")])
     if len(names):
         names[:, SCORE] = np.rint(np.array([_score(x[3], x[4], 0, letters, cache) for x in where["name"]]) * _PART)
     features = {"email": block.features["email"], "phone": block.features["number"], "id_number": block.features["number"], "address": block.features["address"], "name": names}
@@ -654,11 +681,11 @@ def _vocabulary(read: DataFrame) -> tuple[Letters, dict]:
     return _known({r[0]: tuple(r[1:]) for r in some}, tables, n)
 
 
-_ALIKE = "kind string, x binary, w0 bigint, w1 bigint, w2 bigint, w3 bigint"
+_BINNED = "kind string, x binary, w0 bigint, w1 bigint, w2 bigint, w3 bigint"
 
 
 def _batch(kind: str, x: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
-    each = pa.Array.from_buffers(pa.binary(x.shape[1] * 2), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+    each = pa.Array.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(x), pa.string()), each, *(pa.array(w[:, k], pa.int64()) for k in range(4))], names=["kind", "x", "w0", "w1", "w2", "w3"])
 
 
@@ -668,7 +695,7 @@ def _of_batch(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarr
     for kind in KINDS:
         at = np.flatnonzero(kinds == kind)
         if len(at):
-            yield kind, np.frombuffer(b"".join([xs[i] for i in at]), np.int16).reshape(len(at), -1), w[at]
+            yield kind, np.frombuffer(b"".join([xs[i] for i in at]), np.uint8).reshape(len(at), -1), w[at]
 
 
 def learn(read: DataFrame, together: int = TOGETHER) -> Model:
@@ -679,39 +706,66 @@ def learn(read: DataFrame, together: int = TOGETHER) -> Model:
     def examples(batches):
         cache: dict = {}
         for batch in batches:
-            parts = [p for data in batch.column(0).to_pylist() for p in _examples(_unpacked(data), *shared.value, cache)]
-            yield from (_batch(*a) for a in _alike(parts))
+            for a in range(0, batch.num_rows, 16):
+                parts = [p for data in batch.column(0)[a : a + 16] for p in _examples(_unpacked(data.as_py()), *shared.value, cache)]
+                rows = [(kind, _pressed(x.tobytes()), _pressed(w.tobytes())) for kind, x, w in _alike(parts)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["kind", "x", "w"])
+
+    def read_again(batch):
+        for kind, x, w in zip(*(c.to_pylist() for c in batch.columns)):
+            yield kind, np.frombuffer(_loosened(x), np.int16).reshape(-1, WIDTH.get(kind, WIDTH["number"])), np.frombuffer(_loosened(w), np.int64).reshape(-1, 4)
 
     def values(batches):
         for batch in batches:
-            rows = [v for a in _of_batch(batch) for v in _values(*a)]
+            rows = [v for a in read_again(batch) for v in _values(*a)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["kind", "j", "v", "n"])
 
-    alike = checkpoint(read.select("block").mapInArrow(examples, _ALIKE).groupBy("kind", "x").agg(*(F.sum(f"w{k}").alias(f"w{k}") for k in range(4))))
+    alike = checkpoint(read.select("block").mapInArrow(examples, "kind string, x binary, w binary"))
     edges = _edges([tuple(r) for r in alike.mapInArrow(values, "kind string, j int, v int, n bigint").groupBy("kind", "j", "v").agg(F.sum("n")).collect()])
 
     def binned(batches):
         for batch in batches:
-            rows = [(kind, len(x), boosting.bins_of(x, edges[kind]).tobytes(), w.astype(float).tobytes()) for kind, x, w in _of_batch(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["kind", "n", "x", "w"])
+            for a in _alike([(kind, boosting.bins_of(x, edges[kind]), w) for kind, x, w in read_again(batch)]):
+                yield _batch(*a)
 
-    bins = checkpoint(alike.mapInArrow(binned, "kind string, n bigint, x binary, w binary"))
-    of = lambda n, x, w: (np.frombuffer(x, np.uint8).reshape(n, -1), np.frombuffer(w, float).reshape(n, 4))
+    def together_by_kind(batches):
+        for batch in batches:
+            rows = [(kind, len(x), x.tobytes(), w.astype(float).tobytes(), None, 0) for kind, x, w in _of_batch(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+    names, types = ["kind", "n", "x", "w", "margin", "trees"], (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+    schema = "kind string, n bigint, x binary, w binary, margin binary, trees int"
+    # rows that are alike to the trees, in the same bins, are added up: names have many counts and few bins
+    bins = checkpoint(alike.mapInArrow(binned, _BINNED).groupBy("kind", "x").agg(*(F.sum(f"w{k}").alias(f"w{k}") for k in range(4))).mapInArrow(together_by_kind, schema))
+    of = lambda n, x, w, margin, trees: boosting.Rows(np.frombuffer(x, np.uint8).reshape(n, -1), np.frombuffer(w, float).reshape(n, 4), None if margin is None else np.frombuffer(margin, float).copy(), trees)
     if (bins.agg(F.sum("n")).first()[0] or 0) <= together:
         got: dict[str, list] = {}
         for kind, *x in bins.collect():
             got.setdefault(kind, []).append(of(*x))
-        rows = {k: boosting.Rows(*(np.concatenate(x) for x in zip(*v))) for k, v in got.items()}
+        rows = {k: boosting.Rows(np.concatenate([r.binned for r in v]), np.concatenate([r.weights for r in v])) for k, v in got.items()}
         return _model(letters, edges, lambda f: boosting.summed([rows], f))
 
     def total(f: Callable) -> dict:
         def add(batches):
-            sums = boosting.summed(({kind: boosting.Rows(*of(*x))} for batch in batches for kind, *x in zip(*(c.to_pylist() for c in batch.columns))), f)
+            sums = boosting.summed(({kind: of(*x)} for batch in batches for kind, *x in zip(*(c.to_pylist() for c in batch.columns))), f)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(sums)], pa.binary())], names=["sums"])
 
         return boosting.summed([pickle.loads(r[0]) for r in bins.mapInArrow(add, "sums binary").collect()], lambda _, x: x)
 
-    return _model(letters, edges, total)
+    def keep(f: Callable) -> None:
+        def grown(batches):
+            for batch in batches:
+                rows = []
+                for kind, n, x, w, *known in zip(*(c.to_pylist() for c in batch.columns)):
+                    r = of(n, x, w, *known)
+                    m = f(kind, r)
+                    rows.append((kind, n, x, w, m if m is None else m.tobytes(), r.trees))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+        nonlocal bins
+        bins = checkpoint(bins.mapInArrow(grown, schema))
+
+    return _model(letters, edges, total, keep)
 
 
 def fit(rows: DataFrame) -> Model:

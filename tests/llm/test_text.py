@@ -335,3 +335,30 @@ def test_thresholds_of_rows_that_are_told_apart_without_error():
     m = boosting.fit(x, x[:, 0])
     assert np.isfinite([m.slope, m.shift]).all() and ((boosting.predict(m, x) >= m.cut) == (x[:, 0] > 0)).all()
     assert boosting.fit(x, np.ones(len(x))) is None
+
+
+def test_rows_in_the_same_bins_are_added_up(monkeypatch, held_out):
+    seen, made = [], personal._model
+    monkeypatch.setattr(personal, "_model", lambda letters, edges, total, *keep: seen.append(total(lambda kind, rows: np.array([len(rows.binned), len(np.unique(rows.binned, axis=0))]))) or made(letters, edges, total, *keep))
+    personal.train(held_out[:300])
+    assert seen[0]["name"][0] > 100 and all(a == b for a, b in seen[0].values())
+
+
+def test_margins_are_kept_between_trees(monkeypatch):
+    """Rows that lie elsewhere are never taken through more than some of the last trees, and the trees are those of rows that lie here."""
+    x = np.random.default_rng(2).integers(0, 20, (4000, 3)).astype(float)
+    w = np.stack([np.ones(4000), (x[:, 0] * x[:, 1] > 70) * 1.0, np.ones(4000), (x[:, 0] * x[:, 1] > 70) * 1.0], axis=1)
+    edges = [boosting.edges_of(x[:, j], np.ones(4000)) for j in range(3)]
+    kept = (boosting.bins_of(x, edges), w)
+    here, most, margins = boosting.Rows(*kept), [], boosting._margins
+    monkeypatch.setattr(boosting, "_margins", lambda rows, g, trees: most.append(trees - rows.trees) or margins(rows, g, trees))
+
+    def keep(f):
+        nonlocal kept
+        rows = boosting.Rows(*kept)
+        kept = (*kept[:2], f("", rows).copy(), rows.trees)
+
+    fresh = lambda: boosting.Rows(*kept[:2], *((kept[2].copy(), kept[3]) if len(kept) > 2 else ()))
+    far = boosting.grow({"": edges}, lambda f: boosting.summed([{"": fresh()}], f), keep=keep)[""]
+    assert max(most) <= boosting.KEEP
+    assert all(np.array_equal(a, b) for a, b in zip(far, boosting.grow({"": edges}, lambda f: boosting.summed([{"": here}], f))[""]))
